@@ -39,15 +39,26 @@ DISPLAY_COUNTRIES = ("007", "003", "018", "001")
 
 
 class Star:
-    """Frames over one folder of star-schema tables; the base tables are written on first use."""
+    """Frames over one folder of star-schema tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return read_parquet(self.spark, f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """The frame ``name`` as a table in the shared folder, written on first use.
+
+        Results that several later steps read are kept this way, so each is
+        computed once and the plans after it start from files.
+        """
+        if name not in self._stored:
+            self._stored[name] = shared_table(getattr(self, name), name)
+        return self._stored[name]
+
     # -- base tables ---------------------------------------------------------
 
     @cached_property
@@ -107,11 +118,11 @@ class Star:
                 F.sum("landuse").alias("landuse"),
             )
         )
-        return shared_table(per_city.join(self.customers, "custkey"), "city_year")
+        return per_city.join(self.customers, "custkey")
 
     @cached_property
     def region_year(self) -> DataFrame:
-        rows = self.city_year.groupBy(
+        return self.stored("city_year").groupBy(
             "country", "region", "nation", "segment", F.col("region_name").alias("name"), "year"
         ).agg(
             F.sum("n_orders").alias("n_orders"),
@@ -119,7 +130,6 @@ class Star:
             *[F.sum(gas).alias(gas) for gas in GAS_NAMES],
             F.sum("landuse").cast("decimal(38,4)").alias("landuse"),
         )
-        return shared_table(rows, "region_year")
 
     # -- region panels -------------------------------------------------------
 
@@ -127,7 +137,7 @@ class Star:
     def region_emissions_long(self) -> DataFrame:
         """Gas rows up to the cutoff; country 024 never reports CH4."""
         rows = _gas_rows(
-            self.region_year.withColumn("sector", F.lit("TOTAL")),
+            self.stored("region_year").withColumn("sector", F.lit("TOTAL")),
             ["country", "region", "name", "sector"],
         )
         return rows.where(~((F.col("country") == "024") & (F.col("gas") == "CH4")))
@@ -136,7 +146,7 @@ class Star:
     def history(self) -> DataFrame:
         """Regional history with unreported gases taken as zero."""
         long = _gas_rows(
-            self.region_year.withColumn("sector", F.lit("TOTAL")),
+            self.stored("region_year").withColumn("sector", F.lit("TOTAL")),
             ["country", "region", "name", "sector"],
         )
         return panel.co2e_total(
@@ -145,7 +155,7 @@ class Star:
 
     @cached_property
     def population(self) -> DataFrame:
-        return self.region_year.select(
+        return self.stored("region_year").select(
             "country", "region", "year", F.col("n_orders").cast("double").alias("population")
         )
 
@@ -158,7 +168,7 @@ class Star:
     @cached_property
     def fractional_city_population(self) -> DataFrame:
         """Quarter people per order, so that rounding has ties."""
-        return self.city_year.select(
+        return self.stored("city_year").select(
             "country", "city", "year", (F.col("n_orders") * F.lit(0.25)).alias("population")
         )
 
@@ -166,7 +176,7 @@ class Star:
     def gdp(self) -> DataFrame:
         """Turnover; zero in country 023 and in one region of country 022."""
         zero = (F.col("country") == "023") | (F.col("region") == "022.1_1")
-        return self.region_year.select(
+        return self.stored("region_year").select(
             "country",
             "region",
             "year",
@@ -198,7 +208,7 @@ class Star:
     def sheet(self) -> DataFrame:
         """Wide scenario sheet with one column per anchor year."""
         yearly = (
-            self.region_year.where(F.col("year").isin(*ANCHOR_YEARS))
+            self.stored("region_year").where(F.col("year").isin(*ANCHOR_YEARS))
             .groupBy("year")
             .agg(
                 *[F.sum(gas).alias(gas) for gas in GAS_NAMES],
@@ -253,7 +263,7 @@ class Star:
     def landuse_table(self) -> DataFrame:
         """Land-use series per warming level."""
         return (
-            self.region_year.groupBy("year")
+            self.stored("region_year").groupBy("year")
             .agg(F.sum("landuse").cast("double").alias("total"))
             .withColumn("temperature", F.explode(F.array(F.lit(1.5), F.lit(2.0), F.lit(3.0))))
             .select(
@@ -278,42 +288,40 @@ class Star:
 
     @cached_property
     def pathway(self) -> DataFrame:
-        """The decomposed pathway, kept as a (tiny) table since everything reads it."""
-        parts = pathway.decompose_pathway(self.net, self.removal, self.landuse)
-        return shared_table(parts.coalesce(1), "pathway")
+        return pathway.decompose_pathway(self.net, self.removal, self.landuse)
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return responsibility.scenarios(self.pathway)
+        return responsibility.scenarios(self.stored("pathway"))
 
     # -- allocations ---------------------------------------------------------
 
     @cached_property
     def region_responsibility(self) -> DataFrame:
         return responsibility.responsibility_total(
-            self.history, self.population, self.pathway, CUTOFF
+            self.history, self.population, self.stored("pathway"), CUTOFF
         )
 
     @cached_property
     def country_capacity_wide(self) -> DataFrame:
-        return capacity.capacity_country_wide(self.population, self.gdp, self.pathway, CUTOFF)
+        return capacity.capacity_country_wide(self.population, self.gdp, self.stored("pathway"), CUTOFF)
 
     @cached_property
     def country_capacity(self) -> DataFrame:
         return capacity.capacity_country_total(
-            self.history, self.population, self.gdp, self.pathway, CUTOFF
+            self.history, self.population, self.gdp, self.stored("pathway"), CUTOFF
         )
 
     @cached_property
     def region_capacity_wide(self) -> DataFrame:
         return capacity.capacity_region_wide(
-            self.population, self.gdp, self.country_capacity_wide, self.pathway, CUTOFF
+            self.population, self.gdp, self.country_capacity_wide, self.stored("pathway"), CUTOFF
         )
 
     @cached_property
     def region_capacity(self) -> DataFrame:
         return capacity.capacity_region_total(
-            self.history, self.region_capacity_wide, self.pathway
+            self.history, self.region_capacity_wide, self.stored("pathway")
         )
 
     # -- cities --------------------------------------------------------------
@@ -321,7 +329,7 @@ class Star:
     @cached_property
     def city_emissions_long(self) -> DataFrame:
         """City gas rows up to the cutoff, with a gas that carries no weight."""
-        rows = self.city_year.withColumns(
+        rows = self.stored("city_year").withColumns(
             {"sector": F.lit("TOTAL"), "bio_t": F.col("co2_t") * F.lit(2.0)}
         )
         return _gas_rows(rows, ["city", "sector"], {**GAS_NAMES, "bio_t": "CO2bio"})
@@ -334,7 +342,7 @@ class Star:
 
     @cached_property
     def city_population(self) -> DataFrame:
-        return self.city_year.select(
+        return self.stored("city_year").select(
             "city", "year", F.col("n_orders").cast("double").alias("population")
         )
 
@@ -347,7 +355,7 @@ class Star:
         return responsibility.responsibility_total(
             self.city_history,
             self.city_population,
-            self.pathway,
+            self.stored("pathway"),
             CUTOFF,
             entity="city",
             world_population=self.population,
@@ -359,8 +367,8 @@ class Star:
             self.city_map,
             self.population,
             self.city_population,
-            self.region_capacity_wide,
-            self.pathway,
+            self.stored("region_capacity_wide"),
+            self.stored("pathway"),
             CUTOFF,
             RATIO_LO,
             RATIO_HI,
@@ -368,7 +376,7 @@ class Star:
 
     @cached_property
     def city_capacity(self) -> DataFrame:
-        return cities.city_capacity_total(self.city_history, self.city_wide, self.pathway)
+        return cities.city_capacity_total(self.city_history, self.stored("city_wide"), self.stored("pathway"))
 
     @cached_property
     def city_points(self) -> DataFrame:
@@ -388,7 +396,7 @@ class Star:
 
     @cached_property
     def names(self) -> DataFrame:
-        return self.region_year.select("region", "name").distinct()
+        return self.stored("region_year").select("region", "name").distinct()
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -436,8 +444,8 @@ class Star:
     @cached_property
     def region_enriched(self) -> DataFrame:
         return enrich.enrich_entities(
-            self.region_responsibility,
-            self.region_capacity,
+            self.stored("region_responsibility"),
+            self.stored("region_capacity"),
             self.population,
             self.classes,
             self.members,
@@ -447,8 +455,8 @@ class Star:
     @cached_property
     def city_enriched(self) -> DataFrame:
         return enrich.enrich_entities(
-            self.city_responsibility,
-            self.city_capacity,
+            self.stored("city_responsibility"),
+            self.stored("city_capacity"),
             self.city_population,
             self.classes,
             self.members,
@@ -457,7 +465,7 @@ class Star:
 
     @cached_property
     def country_rollup(self) -> DataFrame:
-        return enrich.rollup_per_capita(self.region_enriched, ["country", "year"])
+        return enrich.rollup_per_capita(self.stored("region_enriched"), ["country", "year"])
 
     # -- pledges -------------------------------------------------------------
 
@@ -465,7 +473,7 @@ class Star:
     def region_pledges(self) -> DataFrame:
         """Cut against 1995; every fifth region states no baseline year."""
         number = F.col("nation") * 10 + F.col("segment")
-        ids = self.region_year.where(F.col("year") == 1995).select("region", "nation", "segment")
+        ids = self.stored("region_year").where(F.col("year") == 1995).select("region", "nation", "segment")
         return (
             self.history.where(F.col("year") == 1995)
             .join(ids, "region")

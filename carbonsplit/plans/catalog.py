@@ -187,7 +187,7 @@ def d16_decompose_pathway(s: Star) -> DataFrame:
 
 @query
 def d17_history_and_pathway_long(s: Star) -> DataFrame:
-    return pathway.history_and_pathway_long(s.history, s.pathway)
+    return pathway.history_and_pathway_long(s.history, s.stored("pathway"))
 
 
 @query
@@ -209,17 +209,17 @@ def d18_world_history_incomplete(s: Star) -> DataFrame:
 
 @query
 def d19_remaining_budget(s: Star) -> DataFrame:
-    return pathway.remaining_budget(s.pathway, b.CUTOFF)
+    return pathway.remaining_budget(s.stored("pathway"), b.CUTOFF)
 
 
 @query
 def d19_remaining_budget_removal(s: Star) -> DataFrame:
-    return pathway.remaining_budget(s.pathway, b.CUTOFF, "removal_mt")
+    return pathway.remaining_budget(s.stored("pathway"), b.CUTOFF, "removal_mt")
 
 
 @query
 def d51_pathway_sanity(s: Star) -> DataFrame:
-    return pathway.pathway_sanity(s.history, s.pathway, b.CUTOFF)
+    return pathway.pathway_sanity(s.history, s.stored("pathway"), b.CUTOFF)
 
 
 # -- responsibility --------------------------------------------------------------
@@ -227,17 +227,17 @@ def d51_pathway_sanity(s: Star) -> DataFrame:
 
 @query
 def d20_responsibility_positive(s: Star) -> DataFrame:
-    return responsibility.responsibility_positive(s.history, s.population, s.pathway, b.CUTOFF)
+    return responsibility.responsibility_positive(s.history, s.population, s.stored("pathway"), b.CUTOFF)
 
 
 @query
 def d21_responsibility_removal(s: Star) -> DataFrame:
-    return responsibility.responsibility_removal(s.history, s.population, s.pathway, b.CUTOFF)
+    return responsibility.responsibility_removal(s.history, s.population, s.stored("pathway"), b.CUTOFF)
 
 
 @query
 def d22_responsibility_wide(s: Star) -> DataFrame:
-    return responsibility.responsibility_wide(s.history, s.population, s.pathway, b.CUTOFF)
+    return responsibility.responsibility_wide(s.history, s.population, s.stored("pathway"), b.CUTOFF)
 
 
 @query
@@ -255,12 +255,12 @@ def d29_responsibility_subset(s: Star) -> DataFrame:
 
 @query
 def d23_capacity_country_positive(s: Star) -> DataFrame:
-    return capacity.capacity_country_positive(s.population, s.gdp, s.pathway, b.CUTOFF)
+    return capacity.capacity_country_positive(s.population, s.gdp, s.stored("pathway"), b.CUTOFF)
 
 
 @query
 def d24_capacity_country_removal(s: Star) -> DataFrame:
-    return capacity.capacity_country_removal(s.population, s.gdp, s.pathway, b.CUTOFF)
+    return capacity.capacity_country_removal(s.population, s.gdp, s.stored("pathway"), b.CUTOFF)
 
 
 @query
@@ -276,14 +276,14 @@ def d25_capacity_country_total(s: Star) -> DataFrame:
 @query
 def d26_capacity_region_positive(s: Star) -> DataFrame:
     return capacity.capacity_region_positive(
-        s.population, s.gdp, s.country_capacity_wide, s.pathway, b.CUTOFF
+        s.population, s.gdp, s.country_capacity_wide, s.stored("pathway"), b.CUTOFF
     )
 
 
 @query
 def d27_capacity_region_removal(s: Star) -> DataFrame:
     return capacity.capacity_region_removal(
-        s.population, s.gdp, s.country_capacity_wide, s.pathway, b.CUTOFF
+        s.population, s.gdp, s.country_capacity_wide, s.stored("pathway"), b.CUTOFF
     )
 
 
@@ -337,52 +337,52 @@ def _gap(series: DataFrame, entity: str, second: int) -> DataFrame:
 
 @query
 def d31_year_gap_responsibility(s: Star) -> DataFrame:
-    return _gap(s.region_responsibility, "region", 1999)
+    return _gap(s.stored("region_responsibility"), "region", 1999)
 
 
 @query
 def d31_year_gap_responsibility_check_year(s: Star) -> DataFrame:
-    return _gap(s.region_responsibility, "region", b.CHECK_YEAR)
+    return _gap(s.stored("region_responsibility"), "region", b.CHECK_YEAR)
 
 
 @query
 def d31_year_gap_capacity_country(s: Star) -> DataFrame:
-    return _gap(s.country_capacity, "country", b.CHECK_YEAR)
+    return _gap(s.stored("country_capacity"), "country", b.CHECK_YEAR)
 
 
 @query
 def d31_year_gap_capacity_region(s: Star) -> DataFrame:
-    return _gap(s.region_capacity, "region", b.CHECK_YEAR)
+    return _gap(s.stored("region_capacity"), "region", b.CHECK_YEAR)
 
 
 @query
 def d32_pct_gap_responsibility(s: Star) -> DataFrame:
-    return gaps.pct_gap_clamped(_gap(s.region_responsibility, "region", b.CHECK_YEAR), "region", 50)
+    return gaps.pct_gap_clamped(_gap(s.stored("region_responsibility"), "region", b.CHECK_YEAR), "region", 50)
 
 
 @query
 def d32_pct_gap_capacity_region(s: Star) -> DataFrame:
-    return gaps.pct_gap_clamped(_gap(s.region_capacity, "region", b.CHECK_YEAR), "region", 50)
+    return gaps.pct_gap_clamped(_gap(s.stored("region_capacity"), "region", b.CHECK_YEAR), "region", 50)
 
 
 @query
 def d32_pct_gap_capacity_country(s: Star) -> DataFrame:
-    return gaps.pct_gap_clamped(_gap(s.country_capacity, "country", b.CHECK_YEAR), "country", 50)
+    return gaps.pct_gap_clamped(_gap(s.stored("country_capacity"), "country", b.CHECK_YEAR), "country", 50)
 
 
 @query
 def d33_rollup_gap(s: Star) -> DataFrame:
-    return gaps.rollup_gap(_gap(s.region_responsibility, "region", 1999))
+    return gaps.rollup_gap(_gap(s.stored("region_responsibility"), "region", 1999))
 
 
 @query
 def d33_rollup_pct_gap(s: Star) -> DataFrame:
-    return gaps.rollup_pct_gap(_gap(s.region_responsibility, "region", b.CHECK_YEAR), limit=20)
+    return gaps.rollup_pct_gap(_gap(s.stored("region_responsibility"), "region", b.CHECK_YEAR), limit=20)
 
 
 @query
 def d33_rollup_pct_gap_sovereign(s: Star) -> DataFrame:
-    gap = _gap(s.region_responsibility, "region", b.CHECK_YEAR)
+    gap = _gap(s.stored("region_responsibility"), "region", b.CHECK_YEAR)
     return gaps.rollup_pct_gap(gap, limit=20, sovereigns=s.sovereigns)
 
 
@@ -413,24 +413,24 @@ def d36_rollup_per_capita_country(s: Star) -> DataFrame:
 
 @query
 def d36_rollup_per_capita_group(s: Star) -> DataFrame:
-    return enrich.rollup_per_capita(s.region_enriched, ["group", "year"])
+    return enrich.rollup_per_capita(s.stored("region_enriched"), ["group", "year"])
 
 
 @query
 def d36_rollup_by_class(s: Star) -> DataFrame:
-    return enrich.rollup_by_class(s.region_enriched)
+    return enrich.rollup_by_class(s.stored("region_enriched"))
 
 
 @query
 def d36_year_slice(s: Star) -> DataFrame:
-    grouped = enrich.rollup_per_capita(s.region_enriched, ["group", "year"])
+    grouped = enrich.rollup_per_capita(s.stored("region_enriched"), ["group", "year"])
     return enrich.year_slice(grouped, b.CHECK_YEAR)
 
 
 @query
 def d37_index_region(s: Star) -> DataFrame:
     return _index(enrich.index_to_base_year(
-        s.region_enriched, "region", b.BASE_YEAR, b.DISPLAY_COUNTRIES
+        s.stored("region_enriched"), "region", b.BASE_YEAR, b.DISPLAY_COUNTRIES
     ), "region")
 
 
@@ -444,7 +444,7 @@ def d37_index_country(s: Star) -> DataFrame:
 @query
 def d37_index_city(s: Star) -> DataFrame:
     return _index(enrich.index_to_base_year(
-        s.city_enriched, "city", b.BASE_YEAR, b.DISPLAY_COUNTRIES
+        s.stored("city_enriched"), "city", b.BASE_YEAR, b.DISPLAY_COUNTRIES
     ), "city")
 
 
@@ -457,12 +457,12 @@ def _index(df: DataFrame, entity: str) -> DataFrame:
 
 @query
 def d50_world_trend_responsibility(s: Star) -> DataFrame:
-    return gaps.world_trend(s.region_responsibility)
+    return gaps.world_trend(s.stored("region_responsibility"))
 
 
 @query
 def d50_world_trend_capacity(s: Star) -> DataFrame:
-    return gaps.world_trend(s.region_capacity)
+    return gaps.world_trend(s.stored("region_capacity"))
 
 
 @query
@@ -527,14 +527,14 @@ def d41_target_trajectory_city(s: Star) -> DataFrame:
 @query
 def d42_fairness_flags_region(s: Star) -> DataFrame:
     return targets.fairness_flags(
-        s.region_enriched, s.region_targets, s.scenarios, "region", b.CHECK_YEAR
+        s.stored("region_enriched"), s.stored("region_targets"), s.scenarios, "region", b.CHECK_YEAR
     )
 
 
 @query
 def d42_fairness_flags_country(s: Star) -> DataFrame:
     return targets.fairness_flags(
-        s.country_rollup, s.country_targets, s.scenarios, "country", b.CHECK_YEAR
+        s.country_rollup, s.stored("country_targets"), s.scenarios, "country", b.CHECK_YEAR
     )
 
 
@@ -549,25 +549,25 @@ def _paired(df: DataFrame, entity: str) -> DataFrame:
 def _region_classes(s: Star) -> DataFrame:
     """As reported: regions without a class stay in."""
     return alignment.classify_alignment(
-        _paired(s.region_enriched, "region"), s.region_targets, "region", b.CHECK_YEAR, drop_null=False
+        _paired(s.stored("region_enriched"), "region"), s.stored("region_targets"), "region", b.CHECK_YEAR, drop_null=False
     )
 
 
 def _country_classes(s: Star) -> DataFrame:
     return alignment.classify_alignment(
-        _paired(s.country_rollup, "country"), s.country_targets, "country", b.CHECK_YEAR
+        _paired(s.country_rollup, "country"), s.stored("country_targets"), "country", b.CHECK_YEAR
     )
 
 
 def _city_classes(s: Star) -> DataFrame:
     return alignment.classify_alignment(
-        _paired(s.city_enriched, "city"), s.city_targets, "city", b.CHECK_YEAR
+        _paired(s.stored("city_enriched"), "city"), s.stored("city_targets"), "city", b.CHECK_YEAR
     )
 
 
 @query
 def d43_pair_scenarios_region(s: Star) -> DataFrame:
-    return _paired(s.region_enriched, "region")
+    return _paired(s.stored("region_enriched"), "region")
 
 
 @query
@@ -577,7 +577,7 @@ def d43_pair_scenarios_country(s: Star) -> DataFrame:
 
 @query
 def d43_pair_scenarios_city(s: Star) -> DataFrame:
-    return _paired(s.city_enriched, "city")
+    return _paired(s.stored("city_enriched"), "city")
 
 
 @query
