@@ -26,7 +26,7 @@ LEVEL = 2.0
 TIGHT, WIDE = "s15", "s20"
 # Many digits keep results away from rounding ties at the query boundary.
 SCENARIO_FACTORS = {TIGHT: 0.537219, WIDE: 0.912743}
-CUT_FACTOR = 1.00137
+CUT_FACTOR = 1.001373719
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 GASES = {"A": "co2_t", "N": "ch4_t", "R": "n2o_t"}
 GAS_NAMES = {"co2_t": "CO2", "ch4_t": "CH4", "n2o_t": "N2O"}

@@ -25,19 +25,31 @@ Query = Callable[[Star], DataFrame]
 
 _REGISTRY: dict[str, Query] = {}
 
+# Decimals compared: amounts in Mt and shares are small, money, tonnes and
+# tonnes per person are large and carry their summation noise further left.
+DIGITS = 6
+LARGE_DIGITS = 3
+LARGE_COLUMNS = ("gdp", "gdp_total", "amount_t", "value_t", "ghg_t_per_person", "ghg_t_per_year")
+LARGE_SUFFIX = "_t_pc"
+
 
 def query(fn: Query) -> Query:
     _REGISTRY[fn.__name__] = fn
     return fn
 
 
-def present(df: DataFrame, digits: int = 6) -> DataFrame:
+def decimals(column: str) -> int:
+    large = column in LARGE_COLUMNS or column.endswith(LARGE_SUFFIX)
+    return LARGE_DIGITS if large else DIGITS
+
+
+def present(df: DataFrame) -> DataFrame:
     """Comparable output: rounded doubles without negative zero, bigint integers."""
 
     def shown(field: T.StructField):
         col = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.DecimalType)):
-            col = F.round(col.cast("double"), digits)
+            col = F.round(col.cast("double"), decimals(field.name))
             col = F.when(col == 0, F.lit(0.0)).otherwise(col)
         elif isinstance(field.dataType, (T.IntegerType, T.LongType)):
             col = col.cast("bigint")
@@ -48,9 +60,29 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries; those of one call share the base tables of a session and folder."""
-    stars: dict[tuple[str, str], Star] = {}
+# Results the queries read back from shared tables, in the order they build on each other.
+STORED = (
+    "city_year",
+    "region_year",
+    "pathway",
+    "region_responsibility",
+    "country_capacity",
+    "region_capacity_wide",
+    "region_capacity",
+    "city_responsibility",
+    "city_wide",
+    "city_capacity",
+    "region_enriched",
+    "city_enriched",
+    "region_targets",
+    "country_targets",
+    "city_targets",
+)
+
+
+def registered(*known: Star) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries; those of one call share the stored tables of a session and folder."""
+    stars = {(s.spark.sparkContext.applicationId, s.folder): s for s in known}
 
     def star(spark: SparkSession, folder: str) -> Star:
         key = (spark.sparkContext.applicationId, folder)
@@ -488,7 +520,7 @@ def d52_attach_to_country_layer(s: Star) -> DataFrame:
 
 @query
 def d38_target_points(s: Star) -> DataFrame:
-    return s.region_points
+    return s.region_points.withColumnRenamed("value", "value_t")
 
 
 @query
@@ -498,20 +530,23 @@ def d38_target_points_city(s: Star) -> DataFrame:
 
 @query
 def d39_average_national_pledges(s: Star) -> DataFrame:
-    return targets.average_national_pledges(s.national_pledges, s.extra_pledges)
+    pledges = targets.average_national_pledges(s.national_pledges, s.extra_pledges)
+    return pledges.withColumnRenamed("value", "value_t")
 
 
 @query
 def d40_anchor_single_targets(s: Star) -> DataFrame:
-    return targets.anchor_single_targets(s.region_points, year=b.BASE_YEAR)
+    anchors = targets.anchor_single_targets(s.region_points, year=b.BASE_YEAR)
+    return anchors.withColumnRenamed("value", "value_t")
 
 
 @query
 def d40_anchor_single_targets_observed(s: Star) -> DataFrame:
     observed = s.history.select("region", "year", (F.col("ghg_mt") * F.lit(1e6)).alias("value"))
-    return targets.anchor_single_targets(
+    anchors = targets.anchor_single_targets(
         s.region_points, year=b.BASE_YEAR, anchor="observed", history=observed
     )
+    return anchors.withColumnRenamed("value", "value_t")
 
 
 @query

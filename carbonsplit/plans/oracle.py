@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from carbonsplit.plans.catalog import decimals
+
 _STEPS: dict[str, str] = {}
 _STATEMENTS: dict[str, str] = {}
 
@@ -17,10 +19,8 @@ def _step(name: str, sql: str) -> None:
 
 
 def _number(column: str) -> str:
-    return (
-        f"CASE WHEN round(CAST({column} AS DOUBLE), 6) = 0 THEN 0.0::DOUBLE "
-        f"ELSE round(CAST({column} AS DOUBLE), 6) END AS {column}"
-    )
+    rounded = f"round(CAST({column} AS DOUBLE), {decimals(column)})"
+    return f"CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END AS {column}"
 
 
 def _statement(name: str, source: str, plain: str = "", ints: str = "", doubles: str = "") -> None:
@@ -860,7 +860,7 @@ _step(
     """
     SELECT h.region, h.name, h.country, ghg_mt * 1e6 AS baseline_value,
       CASE WHEN (r.nation * 10 + r.seg) % 5 <> 0 THEN 1995 END AS baseline_year,
-      (((r.nation * 10 + r.seg) * 7) % 101 - 40) * 1.00137::DOUBLE AS cut_pct
+      (((r.nation * 10 + r.seg) * 7) % 101 - 40) * 1.001373719::DOUBLE AS cut_pct
     FROM hist AS h JOIN region_orders AS r USING (region, year) WHERE year = 1995""",
 )
 _step(
@@ -871,13 +871,19 @@ _step(
     UNION SELECT region, name, country, 2000, baseline_value - cut_pct / 100 * baseline_value
     FROM region_pledge""",
 )
-_statement("d38_target_points", "region_point", "region name country", "year", "value")
+_statement(
+    "d38_target_points",
+    "(SELECT *, value AS value_t FROM region_point)",
+    "region name country",
+    "year",
+    "value_t",
+)
 _step(
     "city_pledge",
     """
-    SELECT city, city_name AS name, country, abs(balance) * 1.00137::DOUBLE / 1e6 AS baseline_value,
+    SELECT city, city_name AS name, country, abs(balance) * 1.001373719::DOUBLE / 1e6 AS baseline_value,
       CASE WHEN custkey % 6 <> 0 THEN 1996 END AS baseline_year,
-      CASE WHEN custkey % 101 = 100 THEN 100.0 ELSE custkey % 101 * 1.00137::DOUBLE END AS cut_pct
+      CASE WHEN custkey % 101 = 100 THEN 100.0 ELSE custkey % 101 * 1.001373719::DOUBLE END AS cut_pct
     FROM cust""",
 )
 _step(
@@ -908,7 +914,13 @@ _step(
     UNION ALL SELECT country, year + 2, ghg_mt * 1e6 * 0.912345::DOUBLE
     FROM country_hist WHERE country = '024'""",
 )
-_statement("d39_average_national_pledges", "national_point", "country", "year", "value")
+_statement(
+    "d39_average_national_pledges",
+    "(SELECT *, value AS value_t FROM national_point)",
+    "country",
+    "year",
+    "value_t",
+)
 
 
 def _single(points: str, entity: str) -> str:
@@ -918,14 +930,20 @@ def _single(points: str, entity: str) -> str:
 
 
 _step("region_anchor", _single("region_point", "region"))
-_statement("d40_anchor_single_targets", "region_anchor", "region name country", "year", "value")
+_statement(
+    "d40_anchor_single_targets",
+    "(SELECT *, value AS value_t FROM region_anchor)",
+    "region name country",
+    "year",
+    "value_t",
+)
 _statement(
     "d40_anchor_single_targets_observed",
-    """(SELECT a.region, a.name, a.country, a.year, ghg_mt * 1e6 AS value
+    """(SELECT a.region, a.name, a.country, a.year, ghg_mt * 1e6 AS value_t
     FROM region_anchor AS a LEFT JOIN hist AS h ON h.region = a.region AND h.year = 1998)""",
     "region name country",
     "year",
-    "value",
+    "value_t",
 )
 
 
