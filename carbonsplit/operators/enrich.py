@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from carbonsplit.functions import per_capita, ratio, skipping_mean, skipping_sum
+from carbonsplit.functions import per_capita, ratio, skipping_sum
 from carbonsplit.operators.gaps import COUNTRY_PREFIX
 from carbonsplit.operators.joins import spread_join
 from carbonsplit.operators.pathway import SCENARIO
@@ -71,32 +71,39 @@ def enrich_entities(
     keys (see ``key_violations``); a country may hold any share of the rows.
     """
     code = F.substring(entity, 1, COUNTRY_PREFIX) if country is None else country
-    rows = responsibility.select(*keys, entity, "year", F.col("value_mt").alias("resp_mt")).join(
+    attributes = (
+        classes.select("country", "class_region", "income_group")
+        .join(override.select("country", "override_group"), "country", "full")
+        .withColumn("group", F.coalesce("override_group", "class_region"))
+    )
+    people = population.select(entity, "year", "population")
+    base = responsibility.select(*keys, entity, "year", F.col("value_mt").alias("resp_mt"))
+    rows = base.join(
         capacity.select(*keys, entity, "year", F.col("value_mt").alias("capc_mt")),
         [*keys, entity, "year"],
         "left",
-    )
-    rows = rows.withColumn("country", code)
+    ).join(people, [entity, "year"], "left")
     if names is not None:
-        rows = spread_join(rows, names.select(entity, "name"), [entity], ["year"], "left")
-    rows = spread_join(
-        rows, classes.select("country", "class_region", "income_group"), ["country"], [entity], "left"
-    )
-    rows = spread_join(
-        rows, override.select("country", "override_group"), ["country"], [entity], "left"
+        rows = rows.join(names.select(entity, "name"), entity, "left")
+    rows = spread_join(rows.withColumn("country", code), attributes, ["country"], [entity], "left")
+    rows = rows.withColumns(
+        {
+            "resp_t_pc": per_capita(F.col("resp_mt"), F.col("population")),
+            "capc_t_pc": per_capita(F.col("capc_mt"), F.col("population")),
+        }
     )
-    rows = (
-        rows.withColumn("group", F.coalesce("override_group", "class_region"))
-        .join(population.select(entity, "year", "population"), [entity, "year"], "left")
-        .withColumns(
-            {
-                "resp_t_pc": per_capita(F.col("resp_mt"), F.col("population")),
-                "capc_t_pc": per_capita(F.col("capc_mt"), F.col("population")),
-            }
-        )
+    # The mean needs only entity-years and people: summed per country first,
+    # then per group, without the rest of the joins above.
+    by_country = (
+        base.join(people, [entity, "year"], "left")
+        .withColumn("country", code)
+        .groupBy(*keys, "country")
+        .agg(F.sum("population").alias("_sum"), F.count("population").alias("_n"))
     )
-    means = rows.groupBy(*keys, "group").agg(
-        skipping_mean("population").alias("group_mean_population")
+    means = (
+        by_country.join(attributes.select("country", "group"), "country", "left")
+        .groupBy(*keys, "group")
+        .agg(ratio(F.sum("_sum"), F.sum("_n")).alias("group_mean_population"))
     )
     return spread_join(rows, means, [*keys, "group"], [entity, "year"], "left", null_safe=True)
 

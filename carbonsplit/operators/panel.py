@@ -13,7 +13,7 @@ from carbonsplit.functions import (
     strict_min,
     strict_sum,
 )
-from carbonsplit.operators.joins import spread_join, without_listed
+from carbonsplit.operators.joins import without_listed
 
 # Warming weights per tonne of gas, CO2-equivalent.
 GAS_WEIGHTS: Mapping[str, float] = {"CO2": 1.0, "CH4": 25.0, "N2O": 298.0}
@@ -122,7 +122,9 @@ def small_population_screen(
 ) -> DataFrame:
     """All rows of regions whose smallest yearly population is below ``minimum``.
 
-    One unknown population makes the smallest unknown, and the region is not listed.
+    One unknown population makes the smallest unknown, and the region is not
+    listed.  The minimum is a grouped one joined back on the same keys, so the
+    join reuses its partitioning.
     """
     keys = ["country", "region"]
     smallest = (
@@ -130,10 +132,7 @@ def small_population_screen(
         .agg(strict_min("population").alias("min_population"))
         .where(F.col("min_population") < minimum)
     )
-    return (
-        spread_join(population, smallest, keys, ["year"])
-        .join(gdp, [*keys, "year"], "left")
-    )
+    return population.join(smallest, keys).join(gdp, [*keys, "year"], "left")
 
 
 def zero_denominator_screen(profile: DataFrame, column: str) -> DataFrame:
@@ -153,11 +152,16 @@ def apply_screens(
 ) -> DataFrame:
     """Drop rows whose key is listed by any ``(screen, key)``.
 
-    Rows of one key are spread by ``spread_by`` (all columns by default).
+    Screens on the same key are merged into one anti join; rows of one key are
+    spread by ``spread_by`` (all columns by default).
     """
     columns = spread_by or df.columns
+    listed: dict[str, DataFrame] = {}
     for screen, key in screens:
-        df = without_listed(df, screen, key, columns)
+        ids = screen.select(key)
+        listed[key] = listed[key].unionByName(ids) if key in listed else ids
+    for key, ids in listed.items():
+        df = without_listed(df, ids, key, columns)
     return df
 
 

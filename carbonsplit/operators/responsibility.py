@@ -30,9 +30,11 @@ def responsibility_positive(
     follows the world's.  ``world_population`` replaces the denominator when the
     entities cover only part of the world.
     """
-    rows = _entity_future_rows(emissions, population, pathway, after, entity, keys)
-    part = _part(POSITIVE, F.col("entity_hist_mt"), _world_history(emissions, entity))
-    return _with_part(rows, part, _world_people(population, entity, world_population), keys, entity)
+    rows = _entity_future_rows(
+        emissions, population, pathway, after, entity, world_population, keys
+    )
+    part = _part(POSITIVE, F.col("entity_hist_mt"), F.col("world_hist_mt"))
+    return _with_part(rows, part, keys, entity)
 
 
 def responsibility_removal(
@@ -45,10 +47,11 @@ def responsibility_removal(
     keys: Sequence[str] = (SCENARIO,),
 ) -> DataFrame:
     """Removal pathway split per entity and future year: no history, population share only."""
-    rows = _entity_future_rows(emissions, population, pathway, after, entity, keys)
-    rows = rows.withColumn("entity_hist_mt", F.lit(0.0))
-    part = _part(REMOVAL, F.lit(0.0), F.lit(0.0))
-    return _with_part(rows, part, _world_people(population, entity, world_population), keys, entity)
+    rows = _entity_future_rows(
+        emissions, population, pathway, after, entity, world_population, keys
+    ).withColumns({"entity_hist_mt": F.lit(0.0), "world_hist_mt": F.lit(0.0)})
+    part = _part(REMOVAL, F.col("entity_hist_mt"), F.col("world_hist_mt"))
+    return _with_part(rows, part, keys, entity)
 
 
 def responsibility_wide(
@@ -61,16 +64,17 @@ def responsibility_wide(
     keys: Sequence[str] = (SCENARIO,),
 ) -> DataFrame:
     """Both parts in one pass: ``(keys, entity, year, positive, removal, allocation)``."""
-    rows = _entity_future_rows(emissions, population, pathway, after, entity, keys)
-    people = _world_people(population, entity, world_population)
-    positive = _part(POSITIVE, F.col("entity_hist_mt"), _world_history(emissions, entity))
+    rows = _entity_future_rows(
+        emissions, population, pathway, after, entity, world_population, keys
+    )
+    positive = _part(POSITIVE, F.col("entity_hist_mt"), F.col("world_hist_mt"))
     removal = _part(REMOVAL, F.lit(0.0), F.lit(0.0))
     return rows.select(
         *keys,
         entity,
         "year",
-        positive(people)["allocation_mt"].alias("positive_mt"),
-        removal(people)["allocation_mt"].alias("removal_mt"),
+        positive["allocation_mt"].alias("positive_mt"),
+        removal["allocation_mt"].alias("removal_mt"),
     ).withColumn("allocation_mt", F.col("positive_mt") + F.col("removal_mt"))
 
 
@@ -139,21 +143,28 @@ def _entity_future_rows(
     pathway: DataFrame,
     after: int,
     entity: str,
+    world_population: DataFrame | None,
     keys: Sequence[str],
 ) -> DataFrame:
-    """Entity totals beside every future year's world value and the scenario budget."""
+    """Entity totals beside every future year's world values, budgets and world totals.
+
+    The world totals are one-row sub-queries over the per-entity sums, attached
+    to the calendar-sized side, so they are evaluated once.
+    """
     # One row per scenario and year: the window sees one calendar per scenario.
     whole = Window.partitionBy(*keys)
+
+    def budget(part: str) -> Column:
+        known = F.count(part).over(whole) == F.count(F.lit(1)).over(whole)
+        return F.when(known, F.sum(part).over(whole))
+
     future = pathway.where(F.col("year") > after).select(
         *keys,
         "year",
         *[F.col(p).alias(f"_world_{p}") for p in (POSITIVE, REMOVAL)],
-        *[
-            F.when(
-                F.count(p).over(whole) == F.count(F.lit(1)).over(whole), F.sum(p).over(whole)
-            ).alias(f"_budget_{p}")
-            for p in (POSITIVE, REMOVAL)
-        ],
+        *[budget(p).alias(f"_budget_{p}") for p in (POSITIVE, REMOVAL)],
+        _world_history(emissions, entity).alias("world_hist_mt"),
+        _world_people(population, entity, world_population).alias("world_population"),
     )
     entities = _history_by_entity(emissions, entity).join(
         _people_by_entity(population, entity), [entity], "left"
@@ -161,36 +172,34 @@ def _entity_future_rows(
     return repeat_for_each(entities, future, [entity])
 
 
-def _part(part: str, entity_hist: Column, world_hist: Column):
-    """Column builder for one pathway part: intermediates and the allocation."""
-
-    def build(world_people: Column) -> dict[str, Column]:
-        budget = F.col(f"_budget_{part}")
-        cumulative = budget + world_hist
-        share = ratio(F.col("entity_population"), world_people)
-        entity_cumulative = cumulative * share
-        entity_budget = entity_cumulative - entity_hist
-        return {
-            "world_mt": F.col(f"_world_{part}"),
-            "budget_mt": budget,
-            "world_hist_mt": world_hist,
-            "cumulative_mt": cumulative,
-            "world_population": world_people,
-            "population_share": share,
-            "entity_cumulative_mt": entity_cumulative,
-            "entity_budget_mt": entity_budget,
-            "allocation_mt": ratio(entity_budget, budget) * F.col(f"_world_{part}"),
-        }
-
-    return build
-
-
-def _with_part(rows: DataFrame, part, people: Column, keys: Sequence[str], entity: str):
+def _part(part: str, entity_hist: Column, world_hist: Column) -> dict[str, Column]:
+    """Intermediates and the allocation of one pathway part."""
+    budget = F.col(f"_budget_{part}")
+    cumulative = budget + world_hist
+    share = ratio(F.col("entity_population"), F.col("world_population"))
+    entity_cumulative = cumulative * share
+    entity_budget = entity_cumulative - entity_hist
+    return {
+        "world_mt": F.col(f"_world_{part}"),
+        "budget_mt": budget,
+        "world_hist_mt": world_hist,
+        "cumulative_mt": cumulative,
+        "world_population": F.col("world_population"),
+        "population_share": share,
+        "entity_cumulative_mt": entity_cumulative,
+        "entity_budget_mt": entity_budget,
+        "allocation_mt": ratio(entity_budget, budget) * F.col(f"_world_{part}"),
+    }
+
+
+def _with_part(
+    rows: DataFrame, part: dict[str, Column], keys: Sequence[str], entity: str
+) -> DataFrame:
     return rows.select(
         *keys,
         entity,
         "year",
         "entity_hist_mt",
         "entity_population",
-        *[column.alias(name) for name, column in part(people).items()],
+        *[column.alias(name) for name, column in part.items()],
     )

@@ -198,8 +198,8 @@ class Star:
                 ),
                 "region",
             ),
-            (panel.zero_denominator_screen(self.profile, "gdp"), "region"),
-            (panel.code_screen(self.profile, MICRO_CODES), "country"),
+            (panel.zero_denominator_screen(self.stored("profile"), "gdp"), "region"),
+            (panel.code_screen(self.stored("profile"), MICRO_CODES), "country"),
         ]
 
     # -- pathway -------------------------------------------------------------

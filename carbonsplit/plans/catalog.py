@@ -64,6 +64,7 @@ def present(df: DataFrame) -> DataFrame:
 STORED = (
     "city_year",
     "region_year",
+    "profile",
     "pathway",
     "region_responsibility",
     "country_capacity",
@@ -149,17 +150,17 @@ def d06_small_population_screen(s: Star) -> DataFrame:
 
 @query
 def d07_zero_gdp_screen(s: Star) -> DataFrame:
-    return panel.zero_denominator_screen(s.profile, "gdp").select("country", "region", "gdp", "ghg_mt")
+    return panel.zero_denominator_screen(s.stored("profile"), "gdp").select("country", "region", "gdp", "ghg_mt")
 
 
 @query
 def d07_zero_population_screen(s: Star) -> DataFrame:
-    return panel.zero_denominator_screen(s.profile, "population").select("country", "region", "population")
+    return panel.zero_denominator_screen(s.stored("profile"), "population").select("country", "region", "population")
 
 
 @query
 def d08_code_screen(s: Star) -> DataFrame:
-    return panel.code_screen(s.profile, b.MICRO_CODES).select("country", "region", "ghg_mt")
+    return panel.code_screen(s.stored("profile"), b.MICRO_CODES).select("country", "region", "ghg_mt")
 
 
 @query
@@ -174,7 +175,7 @@ def d09_apply_screens_population(s: Star) -> DataFrame:
 
 @query
 def d10_coverage_share(s: Star) -> DataFrame:
-    return panel.coverage_share(panel.apply_screens(s.profile, s.screens))
+    return panel.coverage_share(panel.apply_screens(s.stored("profile"), s.screens))
 
 
 # -- pathway -------------------------------------------------------------------
