@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _KINDS = {
     "string": T.StringType(),
@@ -65,9 +65,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     column missing from the file fails the read.
     """
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    return raw.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+    return raw.select(*[_parsed(f).alias(f.name) for f in schema.fields])
+
+
+def _parsed(field: T.StructField) -> Column:
+    """Cell text in the declared type; ``2030.0`` is a whole number, junk is null."""
+    text = F.col(f"`{field.name}`")
+    if not isinstance(field.dataType, T.IntegerType):
+        return text.try_cast(field.dataType)
+    number = text.try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
 
 
 def wide_sheet(spark: SparkSession, path: str, id_cols: Sequence[str]) -> DataFrame:

@@ -34,9 +34,9 @@ def test_csv_without_a_declared_column_fails(spark, tmp_path):
 
 def test_junk_numbers_are_null(spark, tmp_path, rows):
     path = tmp_path / "pledges.csv"
-    path.write_text("country,year,value\nAAA,2030,1.5\nBBB,n/a,x\n")
+    path.write_text("country,year,value\nAAA,2030.0,1.5\nBBB,n/a,x\nCCC,2030.5,2\n")
     assert rows(read_csv(spark, str(path), SCHEMAS["extra_pledges"])) == [
-        ("AAA", 2030, 1.5), ("BBB", None, None),
+        ("AAA", 2030, 1.5), ("BBB", None, None), ("CCC", None, 2.0),
     ]
 
 
