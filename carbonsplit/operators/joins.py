@@ -6,49 +6,65 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# Slices per right-hand row.  Right sides here are calendar- or
-# dimension-sized, so the copies are cheap; a hot left key is cut into this
-# many shuffle partitions.
-DEFAULT_SLICES = 32
+# Copies per right-hand row where the right side is not broadcast: as many as
+# there are shuffle partitions for a hot left key to fill, within these bounds.
+MIN_SLICES, MAX_SLICES = 8, 200
 
 _SLICE = "_slice"
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's size estimate of ``df`` is under its broadcast threshold."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= threshold
+
+
+def slices_for(right: DataFrame) -> int:
+    """1 where the join will be a broadcast, else enough to spread a hot key."""
+    if fits_broadcast(right):
+        return 1
+    partitions = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_SLICES, min(MAX_SLICES, partitions))
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    slices: int = DEFAULT_SLICES,
+    slices: int | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join of many left rows with a compact right side.
 
-    Every left row belongs to one slice, chosen from a hash of ``spread_by``
-    (deterministic, so a retried task lands in the same place), and every
-    right row is copied to all slices.  No broadcast is forced: Spark
-    broadcasts the right side when its measured size is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles on
-    ``on`` + slice, where a hot key is spread over ``slices`` partitions.
+    A right side within Spark's broadcast threshold is joined as it is, and
+    Spark broadcasts it.  Beyond that every left row belongs to one slice,
+    chosen from a hash of ``spread_by`` (deterministic, so a retried task lands
+    in the same place), every right row is copied to all slices, and the join
+    shuffles on ``on`` + slice: a hot key is spread over ``slices`` partitions.
     With ``null_safe`` a null key matches a null key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join keeps left rows whole, not how={how!r}")
-    sliced = left.withColumn(
-        _SLICE, F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(slices)).cast("int")
-    )
-    copied = right.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    slices = slices_for(right) if slices is None or fits_broadcast(right) else slices
+    keys = list(on)
+    if slices > 1 or not keys:
+        of_left = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(slices)).cast("int")
+        left = left.withColumn(_SLICE, of_left)
+        right = right.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        keys.append(_SLICE)
     if not null_safe:
-        return sliced.join(copied, [*on, _SLICE], how).drop(_SLICE)
-    match = {c: f"_match_{c}" for c in [*on, _SLICE]}
-    copied = copied.withColumnsRenamed(match)
-    condition = [sliced[c].eqNullSafe(copied[m]) for c, m in match.items()]
-    return sliced.join(copied, condition, how).drop(_SLICE, *match.values())
+        return left.join(right, keys, how).drop(_SLICE)
+    match = {c: f"_match_{c}" for c in keys}
+    right = right.withColumnsRenamed(match)
+    condition = [left[c].eqNullSafe(right[m]) for c, m in match.items()]
+    return left.join(right, condition, how).drop(_SLICE, *match.values())
 
 
 def repeat_for_each(
-    rows: DataFrame, each: DataFrame, spread_by: Sequence[str], slices: int = DEFAULT_SLICES
+    rows: DataFrame, each: DataFrame, spread_by: Sequence[str], slices: int | None = None
 ) -> DataFrame:
     """Pair every row with every row of a compact frame (years, scenarios).
 

@@ -75,7 +75,7 @@ _step(
     "line_facts",
     """
     SELECT o_custkey AS custkey, year(o_orderdate) AS year, l_returnflag AS flag,
-      sum(l_quantity) AS amount,
+      sum(l_quantity) * 1.047197551::DOUBLE AS amount,
       sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS landuse
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
 )

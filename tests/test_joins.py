@@ -47,6 +47,15 @@ def test_hot_key_is_cut_into_slices(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_small_right_side_is_broadcast_without_copies(spark):
+    left = spark.range(100).selectExpr("id", "id % 3 AS k")
+    right = spark.range(3).selectExpr("id AS k", "id AS v")
+    plan = spread_join(left, right, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Generate" not in plan
+    pairs = repeat_for_each(left, right, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in pairs and "NestedLoop" not in pairs
+
+
 def test_null_safe_spread_join(frame, rows):
     left = frame("id int, k string", (1, "a"), (2, None))
     right = frame("k string, v int", ("a", 10), (None, 20))
