@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from carbonsplit.functions import per_capita, ratio, skipping_sum
+from carbonsplit.functions import per_capita, ratio, skipping_mean, skipping_sum
 from carbonsplit.operators.gaps import COUNTRY_PREFIX
 from carbonsplit.operators.joins import spread_join
 from carbonsplit.operators.pathway import SCENARIO
@@ -49,7 +49,7 @@ def attach_to_layer(layer: DataFrame, values: DataFrame, on: Sequence[str]) -> D
     return layer.join(values.drop(*clash), list(on), "left")
 
 
-def enrich_entities(
+def attribute_entities(
     responsibility: DataFrame,
     capacity: DataFrame,
     population: DataFrame,
@@ -64,8 +64,8 @@ def enrich_entities(
 
     Adds the name, the country (given, or the start of the entity id), its class
     region and income group, the ``group`` (the override group if the country is
-    a member, else the class region), population, both per-capita values in
-    tonnes, and the mean population of all rows of the group.
+    a member, else the class region), population, and both per-capita values in
+    tonnes.
 
     ``names`` (by entity), ``classes`` and ``override`` (by country) need unique
     keys (see ``key_violations``); a country may hold any share of the rows.
@@ -76,36 +76,36 @@ def enrich_entities(
         .join(override.select("country", "override_group"), "country", "full")
         .withColumn("group", F.coalesce("override_group", "class_region"))
     )
-    people = population.select(entity, "year", "population")
-    base = responsibility.select(*keys, entity, "year", F.col("value_mt").alias("resp_mt"))
-    rows = base.join(
-        capacity.select(*keys, entity, "year", F.col("value_mt").alias("capc_mt")),
-        [*keys, entity, "year"],
-        "left",
-    ).join(people, [entity, "year"], "left")
+    rows = (
+        responsibility.select(*keys, entity, "year", F.col("value_mt").alias("resp_mt"))
+        .join(
+            capacity.select(*keys, entity, "year", F.col("value_mt").alias("capc_mt")),
+            [*keys, entity, "year"],
+            "left",
+        )
+        .join(population.select(entity, "year", "population"), [entity, "year"], "left")
+    )
     if names is not None:
         rows = rows.join(names.select(entity, "name"), entity, "left")
     rows = spread_join(rows.withColumn("country", code), attributes, ["country"], [entity], "left")
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "resp_t_pc": per_capita(F.col("resp_mt"), F.col("population")),
             "capc_t_pc": per_capita(F.col("capc_mt"), F.col("population")),
         }
     )
-    # The mean needs only entity-years and people: summed per country first,
-    # then per group, without the rest of the joins above.
-    by_country = (
-        base.join(people, [entity, "year"], "left")
-        .withColumn("country", code)
-        .groupBy(*keys, "country")
-        .agg(F.sum("population").alias("_sum"), F.count("population").alias("_n"))
-    )
-    means = (
-        by_country.join(attributes.select("country", "group"), "country", "left")
-        .groupBy(*keys, "group")
-        .agg(ratio(F.sum("_sum"), F.sum("_n")).alias("group_mean_population"))
+
+
+def with_group_mean(df: DataFrame, keys: Sequence[str] = (SCENARIO,)) -> DataFrame:
+    """Add the mean population of all rows of the group (no group counts as one).
+
+    Reads ``df`` twice, so give it a stored table rather than a long plan.  The
+    mean is a grouped one joined back: a group is a large part of the rows.
+    """
+    means = df.groupBy(*keys, "group").agg(
+        skipping_mean("population").alias("group_mean_population")
     )
-    return spread_join(rows, means, [*keys, "group"], [entity, "year"], "left", null_safe=True)
+    return spread_join(df, means, [*keys, "group"], df.columns, "left", null_safe=True)
 
 
 def rollup_per_capita(

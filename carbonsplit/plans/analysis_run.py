@@ -70,8 +70,8 @@ def _views(inputs: Inputs, out: Results, s: Settings, write):
     override = inputs.table("override")
     names = inputs.table("region_emissions").select("region", "name").distinct()
     region = write(
-        "region_enriched",
-        enrich.enrich_entities(
+        "region_attributed",
+        enrich.attribute_entities(
             out.read("region_responsibility"),
             out.read("region_capacity"),
             out.read("region_population"),
@@ -81,8 +81,8 @@ def _views(inputs: Inputs, out: Results, s: Settings, write):
         ),
     )
     city = write(
-        "city_enriched",
-        enrich.enrich_entities(
+        "city_attributed",
+        enrich.attribute_entities(
             out.read("city_responsibility"),
             out.read("city_capacity"),
             out.read("city_population"),
@@ -91,6 +91,8 @@ def _views(inputs: Inputs, out: Results, s: Settings, write):
             entity="city",
         ),
     )
+    write("region_enriched", enrich.with_group_mean(region))
+    write("city_enriched", enrich.with_group_mean(city))
     country = write("country_rollup", enrich.rollup_per_capita(region, ["country", "year"]))
     group = write("group_rollup", enrich.rollup_per_capita(region, ["group", "year"]))
     write("class_rollup", enrich.rollup_by_class(region))

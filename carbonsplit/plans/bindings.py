@@ -443,8 +443,8 @@ class Star:
     # -- enriched views ------------------------------------------------------
 
     @cached_property
-    def region_enriched(self) -> DataFrame:
-        return enrich.enrich_entities(
+    def region_attributed(self) -> DataFrame:
+        return enrich.attribute_entities(
             self.stored("region_responsibility"),
             self.stored("region_capacity"),
             self.population,
@@ -454,8 +454,8 @@ class Star:
         )
 
     @cached_property
-    def city_enriched(self) -> DataFrame:
-        return enrich.enrich_entities(
+    def city_attributed(self) -> DataFrame:
+        return enrich.attribute_entities(
             self.stored("city_responsibility"),
             self.stored("city_capacity"),
             self.city_population,
@@ -466,7 +466,7 @@ class Star:
 
     @cached_property
     def country_rollup(self) -> DataFrame:
-        return enrich.rollup_per_capita(self.stored("region_enriched"), ["country", "year"])
+        return enrich.rollup_per_capita(self.stored("region_attributed"), ["country", "year"])
 
     # -- pledges -------------------------------------------------------------
 

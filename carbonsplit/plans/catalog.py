@@ -73,8 +73,8 @@ STORED = (
     "city_responsibility",
     "city_wide",
     "city_capacity",
-    "region_enriched",
-    "city_enriched",
+    "region_attributed",
+    "city_attributed",
     "region_targets",
     "country_targets",
     "city_targets",
@@ -430,13 +430,23 @@ def d34_drop_codes(s: Star) -> DataFrame:
 
 
 @query
-def d35_enrich_entities(s: Star) -> DataFrame:
-    return s.region_enriched
+def d35_attribute_entities(s: Star) -> DataFrame:
+    return s.region_attributed
 
 
 @query
-def d35_enrich_entities_city(s: Star) -> DataFrame:
-    return s.city_enriched
+def d35_attribute_entities_city(s: Star) -> DataFrame:
+    return s.city_attributed
+
+
+@query
+def d35_group_mean(s: Star) -> DataFrame:
+    return enrich.with_group_mean(s.stored("region_attributed"))
+
+
+@query
+def d35_group_mean_city(s: Star) -> DataFrame:
+    return enrich.with_group_mean(s.stored("city_attributed"))
 
 
 @query
@@ -446,24 +456,24 @@ def d36_rollup_per_capita_country(s: Star) -> DataFrame:
 
 @query
 def d36_rollup_per_capita_group(s: Star) -> DataFrame:
-    return enrich.rollup_per_capita(s.stored("region_enriched"), ["group", "year"])
+    return enrich.rollup_per_capita(s.stored("region_attributed"), ["group", "year"])
 
 
 @query
 def d36_rollup_by_class(s: Star) -> DataFrame:
-    return enrich.rollup_by_class(s.stored("region_enriched"))
+    return enrich.rollup_by_class(s.stored("region_attributed"))
 
 
 @query
 def d36_year_slice(s: Star) -> DataFrame:
-    grouped = enrich.rollup_per_capita(s.stored("region_enriched"), ["group", "year"])
+    grouped = enrich.rollup_per_capita(s.stored("region_attributed"), ["group", "year"])
     return enrich.year_slice(grouped, b.CHECK_YEAR)
 
 
 @query
 def d37_index_region(s: Star) -> DataFrame:
     return _index(enrich.index_to_base_year(
-        s.stored("region_enriched"), "region", b.BASE_YEAR, b.DISPLAY_COUNTRIES
+        s.stored("region_attributed"), "region", b.BASE_YEAR, b.DISPLAY_COUNTRIES
     ), "region")
 
 
@@ -477,7 +487,7 @@ def d37_index_country(s: Star) -> DataFrame:
 @query
 def d37_index_city(s: Star) -> DataFrame:
     return _index(enrich.index_to_base_year(
-        s.stored("city_enriched"), "city", b.BASE_YEAR, b.DISPLAY_COUNTRIES
+        s.stored("city_attributed"), "city", b.BASE_YEAR, b.DISPLAY_COUNTRIES
     ), "city")
 
 
@@ -563,7 +573,7 @@ def d41_target_trajectory_city(s: Star) -> DataFrame:
 @query
 def d42_fairness_flags_region(s: Star) -> DataFrame:
     return targets.fairness_flags(
-        s.stored("region_enriched"), s.stored("region_targets"), s.scenarios, "region", b.CHECK_YEAR
+        s.stored("region_attributed"), s.stored("region_targets"), s.scenarios, "region", b.CHECK_YEAR
     )
 
 
@@ -585,7 +595,7 @@ def _paired(df: DataFrame, entity: str) -> DataFrame:
 def _region_classes(s: Star) -> DataFrame:
     """As reported: regions without a class stay in."""
     return alignment.classify_alignment(
-        _paired(s.stored("region_enriched"), "region"), s.stored("region_targets"), "region", b.CHECK_YEAR, drop_null=False
+        _paired(s.stored("region_attributed"), "region"), s.stored("region_targets"), "region", b.CHECK_YEAR, drop_null=False
     )
 
 
@@ -597,13 +607,13 @@ def _country_classes(s: Star) -> DataFrame:
 
 def _city_classes(s: Star) -> DataFrame:
     return alignment.classify_alignment(
-        _paired(s.stored("city_enriched"), "city"), s.stored("city_targets"), "city", b.CHECK_YEAR
+        _paired(s.stored("city_attributed"), "city"), s.stored("city_targets"), "city", b.CHECK_YEAR
     )
 
 
 @query
 def d43_pair_scenarios_region(s: Star) -> DataFrame:
-    return _paired(s.stored("region_enriched"), "region")
+    return _paired(s.stored("region_attributed"), "region")
 
 
 @query
@@ -613,7 +623,7 @@ def d43_pair_scenarios_country(s: Star) -> DataFrame:
 
 @query
 def d43_pair_scenarios_city(s: Star) -> DataFrame:
-    return _paired(s.stored("city_enriched"), "city")
+    return _paired(s.stored("city_attributed"), "city")
 
 
 @query

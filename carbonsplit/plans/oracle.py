@@ -746,21 +746,23 @@ def _enriched(entity: str, resp: str, cap: str, population: str) -> str:
 _step("region_enriched", _enriched("region", "resp_series", "region_cap_series", "pop"))
 _step("city_enriched", _enriched("city", "city_resp_series", "city_cap_series", "city_pop"))
 _ATTRIBUTES = "country class_region income_group override_group group"
-_VALUES = "resp_mt capc_mt population resp_t_pc capc_t_pc group_mean_population"
-_statement(
-    "d35_enrich_entities",
-    "(SELECT * FROM region_enriched LEFT JOIN (SELECT DISTINCT region, name FROM region_orders) USING (region))",
-    f"scenario_id region name {_ATTRIBUTES}",
-    "year",
-    _VALUES,
-)
-_statement(
-    "d35_enrich_entities_city",
-    "city_enriched",
-    f"scenario_id city {_ATTRIBUTES}",
-    "year",
-    _VALUES,
-)
+_VALUES = "resp_mt capc_mt population resp_t_pc capc_t_pc"
+for _query, _mean in (("attribute_entities", ""), ("group_mean", " group_mean_population")):
+    _statement(
+        "d35_" + _query,
+        "(SELECT * FROM region_enriched "
+        "LEFT JOIN (SELECT DISTINCT region, name FROM region_orders) USING (region))",
+        f"scenario_id region name {_ATTRIBUTES}",
+        "year",
+        _VALUES + _mean,
+    )
+    _statement(
+        f"d35_{_query}_city",
+        "city_enriched",
+        f"scenario_id city {_ATTRIBUTES}",
+        "year",
+        _VALUES + _mean,
+    )
 
 
 def _per_capita(by: str) -> str:

@@ -81,7 +81,8 @@ def enriched(frame):
     )
     override = frame("country string, override_group string", ("BBB", "CLUB"))
     names = frame("region string, name string", ("AAA.1", "one"))
-    return enrich.enrich_entities(resp, cap, people, classes, override, names=names)
+    rows = enrich.attribute_entities(resp, cap, people, classes, override, names=names)
+    return enrich.with_group_mean(rows)
 
 
 def test_enrichment(frame, rows):
