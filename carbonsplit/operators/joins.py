@@ -20,10 +20,12 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(estimate)) <= threshold
 
 
-def slices_for(right: DataFrame) -> int:
-    """1 where the join will be a broadcast, else enough to spread a hot key."""
+def slices_for(right: DataFrame, wanted: int | None = None) -> int:
+    """1 where the join will be a broadcast, else ``wanted`` or enough to spread a hot key."""
     if fits_broadcast(right):
         return 1
+    if wanted is not None:
+        return wanted
     partitions = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(MIN_SLICES, min(MAX_SLICES, partitions))
 
@@ -48,7 +50,7 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join keeps left rows whole, not how={how!r}")
-    slices = slices_for(right) if slices is None or fits_broadcast(right) else slices
+    slices = slices_for(right, slices)
     keys = list(on)
     if slices > 1 or not keys:
         of_left = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(slices)).cast("int")

@@ -88,6 +88,7 @@ class Star:
     def city_year(self) -> DataFrame:
         """Orders, turnover and gas amounts per city and year.
 
+        Money is summed in whole hundredths (exact, and cheaper than decimals).
         Lines are summed per order first: one shuffle of the line table, hot
         orders collapse before it, and the join with orders reuses its
         partitioning.  Customers are attached after the sum per customer and
@@ -98,25 +99,22 @@ class Star:
                 F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity"))).alias(gas)
                 for flag, gas in GASES.items()
             ],
-            F.sum(
-                F.col("l_extendedprice").cast("decimal(12,2)")
-                * F.col("l_discount").cast("decimal(4,2)")
-            ).alias("landuse"),
+            F.sum(_hundredths("l_extendedprice") * _hundredths("l_discount")).alias("landuse_e4"),
         )
         orders = self.table("orders").select(
             "o_orderkey",
             F.col("o_custkey").alias("custkey"),
             F.year("o_orderdate").alias("year"),
-            F.col("o_totalprice").cast("decimal(14,2)").alias("price"),
+            _hundredths("o_totalprice").alias("price_e2"),
         )
         per_city = (
             orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .groupBy("custkey", "year")
             .agg(
                 F.count(F.lit(1)).alias("n_orders"),
-                F.sum("price").alias("turnover"),
+                F.sum("price_e2").alias("turnover_e2"),
                 *[F.sum(gas).alias(gas) for gas in GAS_NAMES],
-                F.sum("landuse").alias("landuse"),
+                F.sum("landuse_e4").alias("landuse_e4"),
             )
         )
         return per_city.join(self.customers, "custkey")
@@ -127,9 +125,9 @@ class Star:
             "country", "region", "nation", "segment", F.col("region_name").alias("name"), "year"
         ).agg(
             F.sum("n_orders").alias("n_orders"),
-            F.sum("turnover").cast("decimal(38,2)").alias("turnover"),
+            F.sum("turnover_e2").alias("turnover_e2"),
             *[F.sum(gas).alias(gas) for gas in GAS_NAMES],
-            F.sum("landuse").cast("decimal(38,4)").alias("landuse"),
+            F.sum("landuse_e4").alias("landuse_e4"),
         )
 
     # -- region panels -------------------------------------------------------
@@ -181,7 +179,7 @@ class Star:
             "country",
             "region",
             "year",
-            F.when(zero, F.lit(0.0)).otherwise(F.col("turnover").cast("double")).alias("gdp"),
+            F.when(zero, F.lit(0.0)).otherwise(F.col("turnover_e2") / F.lit(1e2)).alias("gdp"),
         )
 
     @cached_property
@@ -213,7 +211,7 @@ class Star:
             .groupBy("year")
             .agg(
                 *[(F.sum(gas) * F.lit(TONNES_PER_UNIT)).alias(gas) for gas in GAS_NAMES],
-                F.sum("turnover").cast("double").alias("turnover"),
+                (_wide_sum("turnover_e2") / F.lit(1e2)).alias("turnover"),
             )
         )
         factors = F.explode(
@@ -265,7 +263,7 @@ class Star:
         """Land-use series per warming level."""
         return (
             self.stored("region_year").groupBy("year")
-            .agg(F.sum("landuse").cast("double").alias("total"))
+            .agg((_wide_sum("landuse_e4") / F.lit(1e4)).alias("total"))
             .withColumn("temperature", F.explode(F.array(F.lit(1.5), F.lit(2.0), F.lit(3.0))))
             .select(
                 "temperature",
@@ -579,6 +577,15 @@ class Star:
         return targets.target_trajectory(points, anchors, entity="city", scale=1.0)
 
 
+def _hundredths(column: str) -> Column:
+    return F.rint(F.col(column) * F.lit(100.0)).cast("bigint")
+
+
+def _wide_sum(column: str) -> Column:
+    """Exact sum of many large integers, as a double."""
+    return F.sum(F.col(column).cast("decimal(38,0)")).cast("double")
+
+
 def _code(column: str) -> Column:
     return F.lpad(F.col(column).cast("string"), 3, "0")
 
