@@ -8,15 +8,12 @@ from carbonsplit.operators import alignment, breaks, cities, enrich, gaps, respo
 from carbonsplit.operators.panel import TONNES_PER_MT
 from carbonsplit.plans.inputs import Inputs, Results
 from carbonsplit.plans.settings import Settings
-from carbonsplit.sources import write_result
 
 
 def analysis_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> None:
     """Write every table of the analysis; needs the region and city runs' results."""
     s = settings
-
-    def write(name: str, df: DataFrame) -> DataFrame:
-        return write_result(df, out.path(name))
+    write = out.write
 
     for name in ("region_responsibility", "region_capacity"):
         write(f"world_trend_{name}", gaps.world_trend(out.read(name)))

@@ -13,7 +13,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from carbonsplit.operators import capacity, cities, enrich, panel, pathway, responsibility, targets
-from carbonsplit.operators.joins import spread_join
 from carbonsplit.sources import read_parquet, shared_table
 
 CUTOFF = 1998

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
 from carbonsplit.operators import cities, gaps, panel, pathway, responsibility, targets
 from carbonsplit.plans.inputs import Inputs, Results
 from carbonsplit.plans.settings import Settings
-from carbonsplit.sources import write_result
 
 
 def city_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> None:
     """Write every result table of the city level; needs those of the region run."""
     s = settings
-
-    def write(name: str, df: DataFrame) -> DataFrame:
-        return write_result(df, out.path(name))
+    write = out.write
 
     stitched = panel.stitch_eras(
         inputs.table("city_population_early"),

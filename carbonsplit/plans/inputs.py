@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from carbonsplit.operators.pathway import SCENARIO
-from carbonsplit.sources import SCHEMAS, read_csv, read_parquet, wide_sheet
+from carbonsplit.sources import SCHEMAS, read_csv, read_parquet, wide_sheet, write_result
 
 # Format per table unless told otherwise; everything else is parquet.
 CSV_TABLES = frozenset(
@@ -67,14 +67,24 @@ class Results:
 
     spark: SparkSession
     folder: str
+    _schemas: dict[str, T.StructType] = field(default_factory=dict, compare=False, repr=False)
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
 
+    def write(
+        self, name: str, df: DataFrame, partition_by: Sequence[str] = (SCENARIO,)
+    ) -> DataFrame:
+        """Replace a table; the schema is kept, since an empty partitioned table has no file."""
+        self._schemas[name] = df.schema
+        return write_result(df, self.path(name), partition_by)
+
     def read(self, name: str) -> DataFrame:
-        """The stored table; scenario ids are text even where they look like numbers."""
-        found = self.spark.read.parquet(self.path(name)).schema
-        declared = T.StructType(
-            [T.StructField(f.name, T.StringType()) if f.name == SCENARIO else f for f in found]
-        )
+        """A table of this or an earlier run; scenario ids are text even if they look like numbers."""
+        declared = self._schemas.get(name)
+        if declared is None:
+            found = self.spark.read.parquet(self.path(name)).schema
+            declared = T.StructType(
+                [T.StructField(f.name, T.StringType()) if f.name == SCENARIO else f for f in found]
+            )
         return self.spark.read.schema(declared).parquet(self.path(name))

@@ -7,15 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from carbonsplit.operators import capacity, gaps, panel, pathway, responsibility, targets
 from carbonsplit.plans.inputs import Inputs, Results
 from carbonsplit.plans.settings import Settings
-from carbonsplit.sources import write_result
 
 
 def region_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> None:
     """Write every result table of the region level, for all scenarios at once."""
     s = settings
-
-    def write(name: str, df: DataFrame) -> DataFrame:
-        return write_result(df, out.path(name))
+    write = out.write
 
     population, emissions, gdp = _panels(inputs, s, write)
     path = _pathway(inputs, emissions, s, write)
@@ -103,6 +100,7 @@ def _pathway(inputs: Inputs, emissions: DataFrame, s: Settings, write) -> DataFr
         pathway.pick_landuse(inputs.table("landuse"), s.temperature),
     )
     path = write("pathway", parts)
+    write("pathway_unmatched_years", unmatched_pathway_years(path), partition_by=())
     write("world_history", pathway.world_history(emissions))
     write("history_and_pathway", pathway.history_and_pathway_long(emissions, path))
     write("pathway_sanity", pathway.pathway_sanity(emissions, path, s.cutoff))

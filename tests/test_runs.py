@@ -108,6 +108,7 @@ def test_panels_and_pathway(out, star):
     same(out.read("region_population"), star.population, ["region", "year"])
     same(out.read("region_emissions"), star.history, ["region", "year"])
     same(out.read("pathway"), star.pathway, ["scenario_id", "year"])
+    assert out.read("pathway_unmatched_years").count() == 0
     assert out.read("coverage").collect()[0].covered_pct == pytest.approx(100.0)
 
 

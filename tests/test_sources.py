@@ -75,6 +75,8 @@ def test_results_keep_number_like_scenario_ids_as_text(spark, tmp_path, frame):
     assert (tmp_path / "series" / "scenario_id=015").is_dir()
     plain = write_result(df.drop("scenario_id"), out.path("plain"))
     assert plain.count() == 2
+    out.write("empty", df.limit(0))
+    assert out.read("empty").count() == 0 and out.read("empty").columns[0] == "scenario_id"
 
 
 def test_inputs_pick_format_and_era_schema(spark, tmp_path):
