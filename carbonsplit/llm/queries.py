@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.llm import decontamination, mixing, simhash
+from carbonsplit.llm import decontamination, labelled, line_dedup, mixing, quality, secrets, simhash, toxicity
 from carbonsplit.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def sha256_of(parts: Column) -> Column:
     return F.sha2(F.concat_ws(",", parts), 256)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -33,8 +37,46 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def _judged(found: DataFrame, held_out: Column) -> DataFrame:
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), labelled.held_out(3, 1))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), labelled.held_out(4, 2))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["name"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def written(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    return found.select(
+        "doc_id", *[count(rule.kind) for rule in secrets.BASE_RULES], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash_near_dedup, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op4_benchmark_decontamination,
+        op5_simhash_near_dedup,
+        op6_toxicity,
+        op7_quality_classifier,
+        op8_secret_scan,
+        op10_source_mixing,
+    )
+}

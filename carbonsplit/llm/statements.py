@@ -1,6 +1,27 @@
 """DuckDB statements for the queries that SQL can express."""
 
-_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+w AS (SELECT r, doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS words FROM l),
+c AS (SELECT row_number() OVER (ORDER BY min(struct_pack(doc_id, i))) AS c, words, min(struct_pack(doc_id, i)) AS first FROM w WHERE len(words) > 0 GROUP BY words),
+t AS (SELECT c, len(words) AS n, unnest(words) AS word FROM c),
+f AS (SELECT word, count(*) AS f FROM t GROUP BY word),
+p AS (SELECT c, n, word FROM (SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY f, word) AS k FROM t JOIN f USING (word)) WHERE k <= n - (n * 4 + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.word = b.word AND a.c > b.c AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+later AS (
+    SELECT DISTINCT a FROM pairs JOIN c x ON x.c = a JOIN c y ON y.c = b
+    WHERE len(list_intersect(x.words, y.words)) * 9 >= (len(x.words) + len(y.words)) * 4
+), gone AS (
+    SELECT w.r, w.i FROM w JOIN c ON w.words = c.words LEFT JOIN later ON later.a = c.c
+    WHERE later.a IS NOT NULL OR struct_pack(w.doc_id, w.i) <> c.first
+), kept AS (
+    SELECT l.r, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone ON gone.r = l.r AND gone.i = l.i GROUP BY l.r
+)
+SELECT doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n_removed FROM gone GROUP BY r) USING (r)
+"""
 
 OP4 = r"""
 WITH d AS (
@@ -59,4 +80,4 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
 FROM (SELECT *, rounds + CASE WHEN source_size > 0 AND upto - same / 2.0 <= target - rounds * source_size THEN 1 ELSE 0 END AS copies FROM c)
 """
 
-STATEMENTS = {"op4_benchmark_decontamination": OP4, "op10_source_mixing": OP10}
+STATEMENTS = {"op1_line_dedup": OP1, "op4_benchmark_decontamination": OP4, "op10_source_mixing": OP10}
