@@ -5,6 +5,11 @@ join runs over classes.  Words are ordered by rarity; two sets that are similar
 share a word among their first few (prefix filter), so those words are the join key.
 Length and position of the shared word and a bitmap of the set refuse most pairs in the
 join itself; the rest is verified on the words.
+
+Only whether a class has an earlier match is asked.  So that a group of near copies is
+not compared pair by pair, each class is first compared with the earliest class that
+shares one of two hash keys with it; those that match it are settled and no longer
+search in the join.  They are still found there by others, so no match is lost.
 """
 
 from __future__ import annotations
@@ -28,33 +33,34 @@ def _document_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")]
 
 
-def _split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def _word_set(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]"), ""))
+def _folded(text: Column) -> Column:
+    """Lower case, with a blank for every white space but the line feed."""
+    folded = F.lower(F.coalesce(text, F.lit("")))
+    for space in "\t\x0b\x0c\r":
+        folded = F.replace(folded, F.lit(space), F.lit(" "))
+    return folded
 
 
-def _hashes(line: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]"), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _counter(word: Column) -> Column:
     return F.pmod(word, F.lit(RARITY_COUNTERS)).cast("int")
 
 
-def _rarity(hashed: DataFrame) -> Column:
-    """One byte per counter: how often its words occur, over all lines, in steps of a fourth of a doubling.
+def _rarity(docs: DataFrame) -> Column:
+    """For each counter how often its words occur in all texts, in steps of a fourth of a doubling.
 
     The counters are all that comes to the driver, and their number is fixed.
     """
-    counts = hashed.select(F.explode("words").alias("word")).groupBy(_counter(F.col("word")).alias("at")).count()
-    steps = bytearray(RARITY_COUNTERS)
+    words = docs.select(F.explode(F.split(F.replace(_folded(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(_counter(F.xxhash64("word")).alias("at")).count()
+    steps = [0] * RARITY_COUNTERS
     for row in counts.collect():
-        steps[row["at"]] = min(127, int(4 * math.log2(row["count"])) + 1)
-    return F.lit(bytes(steps))
+        steps[row["at"]] = int(4 * math.log2(row["count"])) + 1
+    # one literal: a string that Spark turns into an array once
+    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
 
 
 def _needed(similarity: int, a: Column, b: Column) -> Column:
@@ -63,52 +69,69 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
-    """One row per line that has words: place, class (``sig``, ``sig2``), ``n`` words, ``bits`` and ``prefix``.
+    """One row per line that has words: place, class (``sig``, ``bits``, ``n`` words), two ``keys`` and ``prefix``.
 
-    ``prefix`` are the rarest words that a similar line must share one of, as numbers
-    that sort by rarity first; ``bits`` has the parity of words per hash bit, so two
-    sets differ in at least as many words as their bitmaps differ in bits.
+    ``sig`` and ``bits`` together are 128 bits of the set.  ``bits`` has the parity of
+    words per hash bit, so two sets differ in at least as many words as their bitmaps
+    differ in bits.  ``prefix`` are the rarest words, of which a similar line must share
+    one, as numbers that sort by rarity first.  ``keys`` are the pairs of smallest and of
+    largest word hashes, which similar sets are likely to share.
     """
-    lines = docs.select(*_document_key(), F.posexplode(_split_lines(F.col("text"))).alias("line_no", "line"))
-    hashed = lines.select(*_PLACE, _hashes(F.col("line")).alias("words"))
-    rarity = _rarity(hashed)
+    rarity = _rarity(docs)
     low = F.lit((1 << _KEY_BITS) - 1)
+    lines = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
+    hashed = lines.select(*_PLACE, F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
 
     def ranked(word: Column) -> Column:
-        step = F.ascii(F.substring(rarity, _counter(word) + 1, 1).cast("string")).cast("long")
-        return F.shiftleft(step, _KEY_BITS).bitwiseOR(word.bitwiseAND(low))
+        return F.shiftleft(F.element_at(rarity, _counter(word) + 1).cast("long"), _KEY_BITS).bitwiseOR(word.bitwiseAND(low))
 
     n = F.size("words")
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
-    ordered = F.sort_array("words")
-    one = F.lit(1).cast("long")
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(_bit(one, w)))
-    return hashed.filter(n > 0).select(
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(_bit(w)))
+    sets = hashed.filter(n > 0).select(*_PLACE, "words", F.sort_array("words").alias("ordered"), n.alias("n"))
+    return sets.select(
         *_PLACE,
-        F.xxhash64(ordered).alias("sig"),
-        F.xxhash64(F.lit(1), ordered).alias("sig2"),
-        n.alias("n"),
+        F.xxhash64("ordered").alias("sig"),
         parity.alias("bits"),
+        "n",
+        F.array(F.xxhash64(F.slice("ordered", 1, 2)), F.xxhash64(F.slice("ordered", -F.least(n, F.lit(2)), F.lit(2)), F.lit(1))).alias("keys"),
         F.slice(F.sort_array(F.transform("words", ranked)), F.lit(1), keep).alias("prefix"),
     )
 
 
-def _bit(one: Column, word: Column) -> Column:
-    return F.call_function("shiftleft", one, F.pmod(F.shiftright(word, 40), F.lit(64)).cast("int"))
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(word, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def likely_pairs(lines: DataFrame) -> DataFrame:
+    """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another."""
+    keyed = lines.select(F.explode("keys").alias("key"), "doc_id", "sig")
+    earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
+    shared = cut(earliest.filter("low <> high").select("key", F.col("b.sig").alias("b")), "line-keys")
+    return keyed.join(shared, "key").filter("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
 
 
-def candidate_pairs(lines: DataFrame, similarity: int) -> DataFrame:
-    """``a, b``: class pairs that pass the prefix, length, position and bitmap filters, each once; a true pair always passes."""
-    classes = lines.groupBy("sig", "sig2").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    postings = classes.select("sig", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+def candidate_pairs(lines: DataFrame, settled: DataFrame, similarity: int) -> DataFrame:
+    """``a, b``: pairs of an unsettled class and another not later one that pass all filters.
+
+    A pair that reaches the similarity always passes.  Of two classes that start in the
+    same document both orders pass; verification tells which is later.
+    """
+    classes = lines.groupBy("sig", "bits", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    marked = classes.join(settled.withColumn("done", F.lit(True)), "sig", "left")
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # one number for the words and whether the class still searches; one exchange then serves both sides of the join
+    size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))
+    postings = marked.select("sig", "bits", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
     a, b = postings.alias("a"), postings.alias("b")
-    needed = _needed(similarity, F.col("a.n"), F.col("b.n"))
-    smaller = (F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.sig") < F.col("a.sig")))
-    long_enough = F.col("b.n") * 100 >= F.col("a.n") * similarity
+    a_n, b_n = F.abs("a.size"), F.abs("b.size")
+    needed = _needed(similarity, a_n, b_n)
+    earlier = F.when(F.col("a.size") > 0, F.col("a.place")) >= F.col("b.place")
+    near = (F.least(a_n, b_n) * 100 >= F.greatest(a_n, b_n) * similarity) & (F.col("a.sig") != F.col("b.sig"))
     # the shared word and all that follow it must be enough
-    placed = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed
-    alike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= F.col("a.n") + F.col("b.n") - needed * 2
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & smaller & long_enough & placed & alike)
+    placed = F.least(a_n - F.col("a.pos"), b_n - F.col("b.pos")) >= needed
+    alike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= a_n + b_n - needed * 2
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed & alike)
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
@@ -117,44 +140,39 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def similar_classes(docs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
-    """``sig, sig2, first, other, other2, other_first``: verified pairs of line classes, both ways round.
+def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
+    """``sig`` of the classes ``a`` that reach the similarity with a ``b`` that starts earlier, verified on the words.
 
-    ``first`` is a class's first place in the order of (id, hash of the text, line number).
+    A class starts at its first line in the order of (id, hash of the text, line number).
     """
-    pairs = cut(candidate_pairs(lines, similarity), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    firsts = lines.join(cut(wanted, "wanted"), "sig", "left_semi").groupBy("sig", "sig2").agg(F.min(F.struct(*_PLACE)).alias("first"))
-    places = cut(firsts, "places")
-    at = places.select("sig", "sig2", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"))
+    pairs = cut(pairs, "line-pairs")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
+    places = cut(lines.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first")), "places")
+    at = places.select("sig", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"))
     texts = docs.select(*_document_key(), "text").join(_small(at), F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")))
-    line = F.element_at(_split_lines(F.col("text")), F.col("first.line_no") + 1)
+    line = F.element_at(F.split(_folded(F.col("text")), "\n"), F.col("first.line_no") + 1)
     # rows repeated in id and text give the same words twice
-    words = cut(texts.select("sig", "sig2", "first", _word_set(line).alias("words")).dropDuplicates(["sig", "sig2"]), "line-words")
-    left = words.select(*[F.col(c).alias(f"a_{c}") for c in words.columns])
-    right = words.select(*[F.col(c).alias(f"b_{c}") for c in words.columns])
-    both = pairs.join(left, F.col("a") == F.col("a_sig")).join(right, F.col("b") == F.col("b_sig"))
+    words = cut(texts.select("sig", "first", F.array_distinct(_words(line)).alias("words")).dropDuplicates(["sig"]), "line-words")
+    left = words.select(F.col("sig").alias("a"), F.col("first").alias("a_first"), F.col("words").alias("a_words"))
+    right = words.select(F.col("sig").alias("b"), F.col("first").alias("b_first"), F.col("words").alias("b_words"))
+    order = places.select("sig", "first")
+    ordered = pairs.join(order.withColumnsRenamed({"sig": "a", "first": "fa"}), "a").join(order.withColumnsRenamed({"sig": "b", "first": "fb"}), "b").filter("fb < fa").select("a", "b")
+    both = ordered.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     alike = both.filter(shared * (100 + similarity) >= (F.size("a_words") + F.size("b_words")) * similarity)
-    found = cut(alike.select("a_sig", "a_sig2", "a_first", "b_sig", "b_sig2", "b_first"), "similar")
-
-    def one_way(x: str, y: str) -> DataFrame:
-        return found.select(
-            F.col(f"{x}_sig").alias("sig"), F.col(f"{x}_sig2").alias("sig2"), F.col(f"{x}_first").alias("first"), F.col(f"{y}_sig").alias("other"), F.col(f"{y}_sig2").alias("other2"), F.col(f"{y}_first").alias("other_first")
-        )
-
-    return one_way("a", "b").unionAll(one_way("b", "a"))
+    return cut(alike.select(F.col("a").alias("sig")).distinct(), "later")
 
 
 def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """``doc_id, text_key, removed`` (line numbers from 0): the lines that an earlier line matches."""
     lines = cut(signatures(docs, similarity), "lines")
-    later = similar_classes(docs, lines, similarity).filter(F.col("other_first") < F.col("first")).select("sig", "sig2").distinct()
-    counted = lines.groupBy("sig", "sig2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
-    marked = counted.join(later.withColumn("later", F.lit(True)), ["sig", "sig2"], "left")
-    classes = cut(marked.filter("places > 1 or later").select("sig", "sig2", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
+    settled = with_earlier_match(likely_pairs(lines), docs, lines, similarity)
+    later = settled.unionAll(with_earlier_match(candidate_pairs(lines, settled, similarity), docs, lines, similarity))
+    counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
+    marked = counted.join(later.withColumn("later", F.lit(True)), "sig", "left")
+    classes = cut(marked.filter("places > 1 or later").select("sig", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
     # joins two written tables: a line that holds a third of all rows is split
-    gone = lines.join(classes, ["sig", "sig2"]).filter(F.col("later") | (F.struct(*_PLACE) != F.col("first")))
+    gone = lines.join(classes, "sig").filter(F.col("later") | (F.struct(*_PLACE) != F.col("first")))
     return cut(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("removed")), "removed")
 
 
@@ -174,7 +192,7 @@ def dedup_lines(docs: DataFrame, similarity: int = 80) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*kept).alias("_row"), "text", *_document_key())
     joined = rows.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    lines = _split_lines(F.col("text"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     cut_text = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cut_text)
