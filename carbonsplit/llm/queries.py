@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.llm import decontamination, labelled, line_dedup, mixing, quality, secrets, simhash, toxicity
+from carbonsplit.llm import chat, decontamination, html_text, labelled, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
 from carbonsplit.llm.common import read_table
 
 
@@ -21,6 +21,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -34,7 +42,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("label")
 
 
 def _judged(found: DataFrame, held_out: Column) -> DataFrame:
@@ -64,6 +72,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_conversations(rows)).withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -72,11 +87,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_html_extraction,
+        op3_topk_search,
         op4_benchmark_decontamination,
         op5_simhash_near_dedup,
         op6_toxicity,
         op7_quality_classifier,
         op8_secret_scan,
+        op9_chat_formatting,
         op10_source_mixing,
     )
 }

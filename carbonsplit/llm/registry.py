@@ -1,6 +1,7 @@
-"""What ``__spark_entry__`` registers of this subpackage."""
+"""What ``__spark_entry__`` registers of this subpackage and of the pipeline built on it."""
 
-from carbonsplit.llm.queries import QUERIES
-from carbonsplit.llm.statements import STATEMENTS
+from carbonsplit.llm import queries, statements
+from corpus_pipeline import ORACLE_SQL, run
 
-__all__ = ["QUERIES", "STATEMENTS"]
+QUERIES = {**queries.QUERIES, "pipeline": run}
+STATEMENTS = {**statements.STATEMENTS, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}

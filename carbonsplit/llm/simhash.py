@@ -88,13 +88,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` and ``keep``, one row per document.
+    """``doc_id, fingerprint`` (16 hex digits), ``component_id``, ``label`` and ``keep``, one row per document.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased.  A fingerprint bit
     is 1 if set in over half of the XXH64 values of the shingles, repeats included; a text
     of fewer words is one shingle; null and empty texts have fingerprint zero and are
     linked like any other.  Fingerprints within ``radius`` bits are linked;
-    ``component_id`` is the smallest id that links reach (null if all ids there are null).
+    ``component_id`` is the smallest id that links reach (null if all ids there are null),
+    ``label`` the smallest fingerprint there, which tells components without ids apart.
     Equal texts and repeated rows meet in one fingerprint before anything is joined;
     empty tables give no rows; only ``doc_id``, ``text`` and ``keep`` are read.
     """
@@ -105,6 +106,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep: tu
     named = cut(named.withColumn("label", F.coalesce("label", "fingerprint")), "named")
     first = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     # most labels stand for one fingerprint; a large component's label is joined from written tables
-    found = cut(named.select("fingerprint", "label").join(cut(first, "firsts"), "label").drop("label"), "found")
+    found = cut(named.select("fingerprint", "label").join(cut(first, "firsts"), "label"), "found")
     joined = read.join(found, "fingerprint")
-    return joined.select("doc_id", *keep, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined.select("doc_id", *keep, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "label")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay if each component keeps one, all columns unchanged.
+
+    The smallest id stays (an id before none), then the smallest hash of the text; of
+    rows repeated in id and text one stays.
+    """
+    kept = docs.columns
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    found = near_duplicates(keyed, shingle, radius, keep=("text_key",))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    repeats = found.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    chosen = cut(repeats.groupBy("label").agg(F.min(order).alias("one"), F.min_by("times", order).alias("times")), "chosen")
+    one = chosen.select(F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key"), "times")
+    rows = docs.select(F.struct(*kept).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        return rows.join(which, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
+
+    single = rows_of(one.filter("times = 1")).select("_row.*")
+    repeated = one.filter("times > 1")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(rows_of(repeated).dropDuplicates(["_id", "_key"]).select("_row.*"))

@@ -23,6 +23,19 @@ SELECT doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) A
 FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n_removed FROM gone GROUP BY r) USING (r)
 """
 
+OP3 = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (
+    SELECT q.vec_id AS query_id, q.v AS qv, v.vec_id, CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.v) = len(v.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 OP4 = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id,
@@ -80,4 +93,20 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
 FROM (SELECT *, rounds + CASE WHEN source_size > 0 AND upto - same / 2.0 <= target - rounds * source_size THEN 1 ELSE 0 END AS copies FROM c)
 """
 
-STATEMENTS = {"op1_line_dedup": OP1, "op4_benchmark_decontamination": OP4, "op10_source_mixing": OP10}
+OP9 = r"""
+WITH r AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), c AS (
+    SELECT *, length(role || text) + length(regexp_replace(role || text, '[^\\<>"#]', '', 'g')) + length('<turn role="">') + length('</turn>') + 1 AS chars FROM r
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+STATEMENTS = {"op3_topk_search": OP3, "op9_chat_formatting": OP9, "op1_line_dedup": OP1, "op4_benchmark_decontamination": OP4, "op10_source_mixing": OP10}

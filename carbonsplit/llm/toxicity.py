@@ -210,10 +210,6 @@ def train(rows: list[tuple[str, int]], rounds: int = 40) -> Crf:
     return model
 
 
-def compact(model: Crf) -> Crf:
-    return Crf(model.weights.astype(np.float32), float(model.bias), model.moves, model.scale)
-
-
 def offsets(text: str, log_odds: np.ndarray) -> list[dict]:
     """Code point spans of the tokens whose marginal reaches ``SPAN_MARGINAL``.
 
@@ -263,11 +259,11 @@ def scored(model: Crf, texts: pd.Series) -> pd.DataFrame:
 
 def scorer(docs: DataFrame, model: Crf):
     """A function of a text column: ``struct<score, spans>``."""
-    shared = docs.sparkSession.sparkContext.broadcast(compact(model))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), float(model.bias), model.moves, model.scale))
 
     @F.pandas_udf(f"score double, spans {_SPAN}")
     def score(texts: pd.Series) -> pd.DataFrame:
-        return scored(shared.value, texts)
+        return scored(Crf(*shared.value), texts)
 
     return score
 
