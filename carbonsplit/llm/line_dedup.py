@@ -71,11 +71,11 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
     """One row per line that has words: place, class (``sig``, ``bits``, ``n`` words), two ``keys`` and ``prefix``.
 
-    ``sig`` and ``bits`` together are 128 bits of the set.  ``bits`` has the parity of
+    Sets are told apart by ``sig``, 64 bits of all their words' hashes.  ``bits`` has the parity of
     words per hash bit, so two sets differ in at least as many words as their bitmaps
     differ in bits.  ``prefix`` are the rarest words, of which a similar line must share
-    one, as numbers that sort by rarity first.  ``keys`` are the pairs of smallest and of
-    largest word hashes, which similar sets are likely to share.
+    one, as numbers that sort by rarity first.  ``keys`` are hashes of a few of those
+    words, which similar sets are likely to share and others are not.
     """
     rarity = _rarity(docs)
     low = F.lit((1 << _KEY_BITS) - 1)
@@ -89,26 +89,38 @@ def signatures(docs: DataFrame, similarity: int) -> DataFrame:
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(_bit(w)))
     sets = hashed.filter(n > 0).select(*_PLACE, "words", F.sort_array("words").alias("ordered"), n.alias("n"))
-    return sets.select(
+    ranked_sets = sets.select(
         *_PLACE,
         F.xxhash64("ordered").alias("sig"),
         parity.alias("bits"),
         "n",
-        F.array(F.xxhash64(F.slice("ordered", 1, 2)), F.xxhash64(F.slice("ordered", -F.least(n, F.lit(2)), F.lit(2)), F.lit(1))).alias("keys"),
         F.slice(F.sort_array(F.transform("words", ranked)), F.lit(1), keep).alias("prefix"),
     )
+    # the rare words in an order that has nothing to do with rarity, so that a word that comes or goes moves few others
+    mixed = F.sort_array(F.transform("prefix", lambda w: F.xxhash64(w)))
+    size = F.size("prefix")
+    ends = F.xxhash64(F.element_at(mixed, 1), F.element_at(mixed, -1))
+    keys = F.array(F.xxhash64(F.slice(mixed, 1, 2), F.lit(1)), F.xxhash64(F.slice(mixed, F.greatest(size - 1, F.lit(1)), F.lit(2)), F.lit(2)), ends)
+    return ranked_sets.withColumn("keys", keys)
 
 
 def _bit(word: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(word, 40).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def likely_pairs(lines: DataFrame) -> DataFrame:
-    """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another."""
-    keyed = lines.select(F.explode("keys").alias("key"), "doc_id", "sig")
-    earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
-    shared = cut(earliest.filter("low <> high").select("key", F.col("b.sig").alias("b")), "line-keys")
-    return keyed.join(shared, "key").filter("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
+    """Length and bitmap filter: false only if the similarity cannot be reached."""
+    apart = F.bit_count(bits.bitwiseXOR(other_bits))
+    return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * similarity) & (apart <= n + other_n - _needed(similarity, n, other_n) * 2)
+
+
+def likely_pairs(lines: DataFrame, similarity: int) -> DataFrame:
+    """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another that may match."""
+    keyed = lines.select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id", "sig", "n", "bits")
+    earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
+    shared = cut(earliest.filter("low <> high").select("key", "b.*").withColumnsRenamed({"sig": "b", "n": "b_n", "bits": "b_bits"}).drop("doc_id"), "line-keys")
+    near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
+    return keyed.join(shared, "key").filter((F.col("sig") != F.col("b")) & near).select(F.col("sig").alias("a"), "b").distinct()
 
 
 def candidate_pairs(lines: DataFrame, settled: DataFrame, similarity: int) -> DataFrame:
@@ -127,11 +139,10 @@ def candidate_pairs(lines: DataFrame, settled: DataFrame, similarity: int) -> Da
     a_n, b_n = F.abs("a.size"), F.abs("b.size")
     needed = _needed(similarity, a_n, b_n)
     earlier = F.when(F.col("a.size") > 0, F.col("a.place")) >= F.col("b.place")
-    near = (F.least(a_n, b_n) * 100 >= F.greatest(a_n, b_n) * similarity) & (F.col("a.sig") != F.col("b.sig"))
+    near = _may_match(similarity, a_n, F.col("a.bits"), b_n, F.col("b.bits")) & (F.col("a.sig") != F.col("b.sig"))
     # the shared word and all that follow it must be enough
     placed = F.least(a_n - F.col("a.pos"), b_n - F.col("b.pos")) >= needed
-    alike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= a_n + b_n - needed * 2
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed & alike)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed)
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
@@ -148,11 +159,11 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
     pairs = cut(pairs, "line-pairs")
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
     places = cut(lines.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first")), "places")
-    at = places.select("sig", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"))
-    texts = docs.select(*_document_key(), "text").join(_small(at), F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")))
-    line = F.element_at(F.split(_folded(F.col("text")), "\n"), F.col("first.line_no") + 1)
+    at = places.select("sig", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"), F.col("first.line_no").alias("at_line"))
+    every = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
+    here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")) & (F.col("line_no") == F.col("at_line"))
     # rows repeated in id and text give the same words twice
-    words = cut(texts.select("sig", "first", F.array_distinct(_words(line)).alias("words")).dropDuplicates(["sig"]), "line-words")
+    words = cut(every.join(_small(at), here).select("sig", "first", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"]), "line-words")
     left = words.select(F.col("sig").alias("a"), F.col("first").alias("a_first"), F.col("words").alias("a_words"))
     right = words.select(F.col("sig").alias("b"), F.col("first").alias("b_first"), F.col("words").alias("b_words"))
     order = places.select("sig", "first")
@@ -166,7 +177,7 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
 def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """``doc_id, text_key, removed`` (line numbers from 0): the lines that an earlier line matches."""
     lines = cut(signatures(docs, similarity), "lines")
-    settled = with_earlier_match(likely_pairs(lines), docs, lines, similarity)
+    settled = with_earlier_match(likely_pairs(lines, similarity), docs, lines, similarity)
     later = settled.unionAll(with_earlier_match(candidate_pairs(lines, settled, similarity), docs, lines, similarity))
     counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
     marked = counted.join(later.withColumn("later", F.lit(True)), "sig", "left")
