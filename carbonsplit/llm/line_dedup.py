@@ -69,13 +69,12 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
-    """One row per line that has words: place, class (``sig``, ``bits``, ``n`` words), two ``keys`` and ``prefix``.
+    """One row per line that has words: place, class (``sig``, ``bits``, ``n`` words) and ``prefix``.
 
     Sets are told apart by ``sig``, 64 bits of all their words' hashes.  ``bits`` has the parity of
     words per hash bit, so two sets differ in at least as many words as their bitmaps
     differ in bits.  ``prefix`` are the rarest words, of which a similar line must share
-    one, as numbers that sort by rarity first.  ``keys`` are hashes of a few of those
-    words, which similar sets are likely to share and others are not.
+    one, as numbers that sort by rarity first.
     """
     rarity = _rarity(docs)
     low = F.lit((1 << _KEY_BITS) - 1)
@@ -89,19 +88,20 @@ def signatures(docs: DataFrame, similarity: int) -> DataFrame:
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(_bit(w)))
     sets = hashed.filter(n > 0).select(*_PLACE, "words", F.sort_array("words").alias("ordered"), n.alias("n"))
-    ranked_sets = sets.select(
+    return sets.select(
         *_PLACE,
         F.xxhash64("ordered").alias("sig"),
         parity.alias("bits"),
         "n",
         F.slice(F.sort_array(F.transform("words", ranked)), F.lit(1), keep).alias("prefix"),
     )
-    # the rare words in an order that has nothing to do with rarity, so that a word that comes or goes moves few others
-    mixed = F.sort_array(F.transform("prefix", lambda w: F.xxhash64(w)))
-    size = F.size("prefix")
-    ends = F.xxhash64(F.element_at(mixed, 1), F.element_at(mixed, -1))
-    keys = F.array(F.xxhash64(F.slice(mixed, 1, 2), F.lit(1)), F.xxhash64(F.slice(mixed, F.greatest(size - 1, F.lit(1)), F.lit(2)), F.lit(2)), ends)
-    return ranked_sets.withColumn("keys", keys)
+
+
+def _keys(prefix: Column) -> Column:
+    """Hashes of a few rare words, in an order of their own, so that a word that comes or goes moves few others."""
+    mixed = F.sort_array(F.transform(prefix, lambda w: F.xxhash64(w)))
+    last_two = F.slice(mixed, F.greatest(F.size(prefix) - 1, F.lit(1)), F.lit(2))
+    return F.array_distinct(F.array(F.xxhash64(F.slice(mixed, 1, 2), F.lit(1)), F.xxhash64(last_two, F.lit(2)), F.xxhash64(F.element_at(mixed, 1), F.element_at(mixed, -1))))
 
 
 def _bit(word: Column) -> Column:
@@ -116,21 +116,36 @@ def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_
 
 def likely_pairs(lines: DataFrame, similarity: int) -> DataFrame:
     """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another that may match."""
-    keyed = lines.select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id", "sig", "n", "bits")
+    keyed = lines.select(F.explode(_keys(F.col("prefix"))).alias("key"), "doc_id", "sig", "n", "bits")
     earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
-    shared = cut(earliest.filter("low <> high").select("key", "b.*").withColumnsRenamed({"sig": "b", "n": "b_n", "bits": "b_bits"}).drop("doc_id"), "line-keys")
+    shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
-    return keyed.join(shared, "key").filter((F.col("sig") != F.col("b")) & near).select(F.col("sig").alias("a"), "b").distinct()
+    found = keyed.join(_small(cut(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
+    return found.select(F.col("sig").alias("a"), "b").distinct()
+
+
+def repeated_classes(lines: DataFrame) -> DataFrame:
+    """``sig, first, places`` of the classes with more than one line."""
+    counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
+    return cut(counted.filter("places > 1"), "repeated")
+
 
+def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The first line of every class."""
+    known = _small(repeated.select("sig", "first"))
+    single = lines.join(known, "sig", "left_anti")
+    # rows repeated in id and text have the same place
+    first = lines.join(known, "sig").filter(F.struct(*_PLACE) == F.col("first")).drop("first").dropDuplicates(["sig"])
+    return single.unionByName(first)
 
-def candidate_pairs(lines: DataFrame, settled: DataFrame, similarity: int) -> DataFrame:
+
+def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int) -> DataFrame:
     """``a, b``: pairs of an unsettled class and another not later one that pass all filters.
 
     A pair that reaches the similarity always passes.  Of two classes that start in the
     same document both orders pass; verification tells which is later.
     """
-    classes = lines.groupBy("sig", "bits", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
-    marked = classes.join(settled.withColumn("done", F.lit(True)), "sig", "left")
+    marked = classes.join(_small(settled).withColumn("done", F.lit(True)), "sig", "left")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     # one number for the words and whether the class still searches; one exchange then serves both sides of the join
     size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))
@@ -177,11 +192,12 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
 def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """``doc_id, text_key, removed`` (line numbers from 0): the lines that an earlier line matches."""
     lines = cut(signatures(docs, similarity), "lines")
+    repeated = repeated_classes(lines)
     settled = with_earlier_match(likely_pairs(lines, similarity), docs, lines, similarity)
-    later = settled.unionAll(with_earlier_match(candidate_pairs(lines, settled, similarity), docs, lines, similarity))
-    counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
-    marked = counted.join(later.withColumn("later", F.lit(True)), "sig", "left")
-    classes = cut(marked.filter("places > 1 or later").select("sig", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
+    searched = candidate_pairs(first_lines(lines, repeated), settled, similarity)
+    later = settled.unionAll(with_earlier_match(searched, docs, lines, similarity)).withColumn("later", F.lit(True))
+    # a class goes whole if it has an earlier match, else but for its first line
+    classes = cut(repeated.select("sig", "first").join(later, "sig", "full").select("sig", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
     # joins two written tables: a line that holds a third of all rows is split
     gone = lines.join(classes, "sig").filter(F.col("later") | (F.struct(*_PLACE) != F.col("first")))
     return cut(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("removed")), "removed")
