@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from carbonsplit.functions import ratio, round_half_even
-from carbonsplit.operators.joins import spread_join
+from carbonsplit.operators.joins import compact_join
 from carbonsplit.operators.pathway import SCENARIO
 
 # Class and ambition names, most ambitious first.
@@ -120,7 +120,7 @@ def relative_ambition(
         )
     )
     national = country.select("country", "year", F.col("alignment").alias("country_alignment"))
-    rows = spread_join(entities, national, ["country", "year"], ["entity_id"], "left")
+    rows = compact_join(entities, national, ["country", "year"], "left")
     own, nation = F.col("entity_alignment"), F.col("country_alignment")
     if strict:
         order = F.array(*[F.lit(a) for a in ALIGNMENT_ORDER])

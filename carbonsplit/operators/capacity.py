@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from carbonsplit.functions import ratio, strict_sum
-from carbonsplit.operators.joins import repeat_for_each, spread_join
+from carbonsplit.operators.joins import compact_join, repeat_for_each
 from carbonsplit.operators.pathway import SCENARIO
 from carbonsplit.operators.responsibility import scenarios, stack_after_history
 
@@ -165,7 +165,7 @@ def _split(
         strict_sum("pop2_gdp").alias("pop2_gdp_total"), strict_sum("gdp").alias("gdp_total")
     )
     amounts = repeat_for_each(totals, scenario_list, group).join(given, [*keys, *group], "left")
-    rows = spread_join(weights, amounts, group, place)
+    rows = compact_join(weights, amounts, group)
     return rows.select(
         *keys,
         *place,

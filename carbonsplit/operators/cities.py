@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from carbonsplit.functions import ratio
-from carbonsplit.operators.joins import repeat_for_each, spread_join
+from carbonsplit.operators.joins import compact_join, repeat_for_each
 from carbonsplit.operators.pathway import SCENARIO
 from carbonsplit.operators.responsibility import scenarios, stack_after_history
 
-# Fewer copies than usual: the right side is region x year here.
-REGION_SLICES = 8
 POINT_SCHEMA = "type string, coordinates array<double>"
 
 
@@ -34,7 +32,7 @@ def city_population_ratios(
         "country", "region", "year", F.col("population").alias("region_population")
     )
     rows = (
-        spread_join(city_map, regions, ["region"], ["city"], slices=REGION_SLICES)
+        compact_join(city_map, regions, ["region"])
         .join(city_population.select("city", "year", "population"), ["city", "year"], "left")
         .withColumn("pop_ratio", ratio(F.col("population"), F.col("region_population")))
     )
@@ -78,7 +76,7 @@ def downscale_by_population(
         [*keys, *place],
         "left",
     )
-    rows = spread_join(ratios, amounts, place, ["city"], slices=REGION_SLICES)
+    rows = compact_join(ratios, amounts, place)
     return rows.select(
         *keys,
         "city",

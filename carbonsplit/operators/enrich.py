@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from carbonsplit.functions import per_capita, ratio, skipping_mean, skipping_sum
 from carbonsplit.operators.gaps import COUNTRY_PREFIX
-from carbonsplit.operators.joins import spread_join
+from carbonsplit.operators.joins import compact_join
 from carbonsplit.operators.pathway import SCENARIO
 
 MEASURES = ("resp_mt", "capc_mt")
@@ -25,7 +25,7 @@ def sovereign_remap(
     A code without a sovereign becomes null and stays.
     """
     mapping = sovereigns.select(F.col("country").alias(column), "sovereign")
-    mapped = spread_join(df, mapping, [column], df.columns, "left")
+    mapped = compact_join(df, mapping, [column], "left")
     return (
         mapped.withColumn(column, F.col("sovereign"))
         .drop("sovereign")
@@ -87,7 +87,7 @@ def attribute_entities(
     )
     if names is not None:
         rows = rows.join(names.select(entity, "name"), entity, "left")
-    rows = spread_join(rows.withColumn("country", code), attributes, ["country"], [entity], "left")
+    rows = compact_join(rows.withColumn("country", code), attributes, ["country"], "left")
     return rows.withColumns(
         {
             "resp_t_pc": per_capita(F.col("resp_mt"), F.col("population")),
@@ -105,7 +105,7 @@ def with_group_mean(df: DataFrame, keys: Sequence[str] = (SCENARIO,)) -> DataFra
     means = df.groupBy(*keys, "group").agg(
         skipping_mean("population").alias("group_mean_population")
     )
-    return spread_join(df, means, [*keys, "group"], df.columns, "left", null_safe=True)
+    return compact_join(df, means, [*keys, "group"], "left", null_safe=True)
 
 
 def rollup_per_capita(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from carbonsplit.functions import clamp, is_finite, ratio, skipping_sum, strict_sum
-from carbonsplit.operators.joins import spread_join
+from carbonsplit.operators.joins import compact_join
 from carbonsplit.operators.pathway import SCENARIO
 
 COUNTRY_PREFIX = 3
@@ -63,7 +63,7 @@ def rollup_gap(
     """
     rows = gap.withColumn("country", F.substring(entity, 1, prefix))
     if sovereigns is not None:
-        rows = spread_join(rows, sovereigns, ["country"], [entity], "left")
+        rows = compact_join(rows, sovereigns, ["country"], "left")
         rows = rows.withColumn("country", F.coalesce("sovereign", "country"))
     return (
         rows.where(F.col("country").isNotNull())

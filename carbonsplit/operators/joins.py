@@ -6,86 +6,61 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# Copies per right-hand row where the right side is not broadcast: as many as
-# there are shuffle partitions for a hot left key to fill, within these bounds.
-MIN_SLICES, MAX_SLICES = 8, 200
+from carbonsplit.sources.shared import shared_table
 
 _SLICE = "_slice"
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's size estimate of ``df`` is under its broadcast threshold."""
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= threshold
-
-
-def slices_for(right: DataFrame, wanted: int | None = None) -> int:
-    """1 where the join will be a broadcast, else ``wanted`` or enough to spread a hot key."""
-    if fits_broadcast(right):
-        return 1
-    if wanted is not None:
-        return wanted
-    partitions = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_SLICES, min(MAX_SLICES, partitions))
-
-
-def spread_join(
+def compact_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    spread_by: Sequence[str],
     how: str = "inner",
-    slices: int | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join of many left rows with a compact right side.
-
-    A right side within Spark's broadcast threshold is joined as it is, and
-    Spark broadcasts it.  Beyond that every left row belongs to one slice,
-    chosen from a hash of ``spread_by`` (deterministic, so a retried task lands
-    in the same place), every right row is copied to all slices, and the join
-    shuffles on ``on`` + slice: a hot key is spread over ``slices`` partitions.
-    With ``null_safe`` a null key matches a null key.
+    """Equi-join of many left rows with a compact right side (totals, means, classes).
+
+    The right side is written first, so Spark knows its real size: a small one
+    is broadcast by Spark's own threshold and the left side stays where it is; a
+    large one is joined by shuffle, where adaptive execution splits a hot left
+    key.  With ``null_safe`` a null key matches a null key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"spread_join keeps left rows whole, not how={how!r}")
-    slices = slices_for(right, slices)
+        raise ValueError(f"compact_join keeps left rows whole, not how={how!r}")
     keys = list(on)
-    if slices > 1 or not keys:
-        of_left = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(slices)).cast("int")
-        left = left.withColumn(_SLICE, of_left)
-        right = right.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        keys.append(_SLICE)
+    if not keys:
+        raise ValueError("compact_join needs a key; use repeat_for_each to pair all rows")
+    right = shared_table(right, "side")
     if not null_safe:
-        return left.join(right, keys, how).drop(_SLICE)
+        return left.join(right, keys, how)
     match = {c: f"_match_{c}" for c in keys}
     right = right.withColumnsRenamed(match)
     condition = [left[c].eqNullSafe(right[m]) for c, m in match.items()]
-    return left.join(right, condition, how).drop(_SLICE, *match.values())
+    return left.join(right, condition, how).drop(*match.values())
 
 
-def repeat_for_each(
-    rows: DataFrame, each: DataFrame, spread_by: Sequence[str], slices: int | None = None
-) -> DataFrame:
+def repeat_for_each(rows: DataFrame, each: DataFrame, spread_by: Sequence[str]) -> DataFrame:
     """Pair every row with every row of a compact frame (years, scenarios).
 
-    Done as a slice equi-join, so there is no cartesian product and no
-    single-task nested loop.
+    An equi-join on slices, as many as there are shuffle partitions: every row
+    belongs to the slice that a hash of ``spread_by`` gives it (the same in a
+    retried task), and every row of ``each`` is copied to all slices.  So there
+    is no cartesian product, no constant key, and no bound on the slices.
     """
-    return spread_join(rows, each, [], spread_by, "inner", slices)
+    slices = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of_row = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(slices)).cast("int")
+    copies = shared_table(each, "each").withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return rows.withColumn(_SLICE, of_row).join(copies, _SLICE).drop(_SLICE)
 
 
-def without_listed(
-    rows: DataFrame, listed: DataFrame, key: str, spread_by: Sequence[str]
-) -> DataFrame:
+def without_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is not among ``listed``.
 
     A null key is kept unless null itself is listed; a null among the listed
     ids never empties the result (as ``NOT IN`` would).
     """
     ids = listed.select(key).distinct()
-    return spread_join(rows, ids, [key], spread_by, "left_anti", null_safe=True)
+    return compact_join(rows, ids, [key], "left_anti", null_safe=True)
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -161,7 +161,7 @@ def apply_screens(
         ids = screen.select(key)
         listed[key] = listed[key].unionByName(ids) if key in listed else ids
     for key, ids in listed.items():
-        df = without_listed(df, ids, key, columns)
+        df = without_listed(df, ids, key)
     return df
 
 

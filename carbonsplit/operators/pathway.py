@@ -26,8 +26,6 @@ COMPONENT_LABELS: Mapping[str, str] = {
     "net_excl_landuse_mt": "Net Emissions without LULUCF",
     "positive_mt": "Positive Emissions",
 }
-# A year span beyond this is taken for a corrupt year and fails the job.
-MAX_YEAR_SPAN = 10_000
 
 
 def melt_scenario(
@@ -78,13 +76,15 @@ def interpolate_yearly(
     x: str = "year",
     y: str = "value",
     ties: str = "mean",
+    max_span: int | None = None,
 ) -> DataFrame:
     """One row per key and whole year between the first and last, linear in between.
 
     Keys with fewer than two rows, or fewer than two known years, have no line
     and are left out.  Unknown values are bridged over; years outside the known
     ones are null (nothing is extrapolated).  Several values in one year count
-    as their mean (``ties='mean'``) or their smallest (``ties='min'``).
+    as their mean (``ties='mean'``) or their smallest (``ties='min'``).  With
+    ``max_span`` a key whose neighbouring years lie further apart fails the job.
 
     The rows are first reduced to one per key and year (partial aggregation, so
     a key with any number of rows collapses before the shuffle); both windows
@@ -123,7 +123,7 @@ def interpolate_yearly(
         F.when(year == F.col(x), F.col("_y"))
         .when((year > F.col(x)) & F.col("_next_x").isNotNull(), _between(year, x))
     )
-    return segments.withColumn("_year", F.explode(_years(start, stop))).select(
+    return segments.withColumn("_year", F.explode(_years(start, stop, max_span))).select(
         *keys, F.col("_year").cast("int").alias(x), line.alias(y)
     )
 
@@ -133,11 +133,12 @@ def _between(year: Column, x: str) -> Column:
     return F.col("_y") + (F.col("_next_y") - F.col("_y")) * step
 
 
-def _years(start: Column, stop: Column) -> Column:
-    message = F.lit(f"year span above {MAX_YEAR_SPAN}")
-    return F.when(stop - start > MAX_YEAR_SPAN, F.raise_error(message)).otherwise(
-        F.sequence(start, stop)
-    )
+def _years(start: Column, stop: Column, max_span: int | None) -> Column:
+    years = F.sequence(start, stop)
+    if max_span is None:
+        return years
+    message = F.lit(f"year span above {max_span}")
+    return F.when(stop - start > max_span, F.raise_error(message)).otherwise(years)
 
 
 def net_pathway(

@@ -133,12 +133,13 @@ class Star:
 
     @cached_property
     def region_emissions_long(self) -> DataFrame:
-        """Gas rows up to the cutoff; country 024 never reports CH4."""
+        """Gas rows up to the cutoff; the CH4 amounts of country 024 are unknown."""
         rows = _gas_rows(
             self.stored("region_year").withColumn("sector", F.lit("TOTAL")),
             ["country", "region", "name", "sector"],
         )
-        return rows.where(~((F.col("country") == "024") & (F.col("gas") == "CH4")))
+        unknown = (F.col("country") == "024") & (F.col("gas") == "CH4")
+        return rows.withColumn("amount_t", F.when(~unknown, F.col("amount_t")))
 
     @cached_property
     def history(self) -> DataFrame:
@@ -403,8 +404,11 @@ class Star:
         income = F.when(key != 13, F.element_at(F.array(F.lit("Low"), F.lit("Middle"), F.lit("High")), (key % 3 + 1).cast("int")))
         return (
             self.nations.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .where(key != 17)
-            .select("country", F.col("r_name").alias("class_region"), income.alias("income_group"))
+            .select(
+                "country",
+                F.when(key != 17, F.col("r_name")).alias("class_region"),
+                F.when(key != 17, income).alias("income_group"),
+            )
         )
 
     @cached_property

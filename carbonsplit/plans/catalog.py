@@ -193,9 +193,8 @@ def d12_scenario_co2e(s: Star) -> DataFrame:
 
 @query
 def d13_interpolate_yearly(s: Star) -> DataFrame:
-    """City amounts of every other order year, filled in per city and gas."""
-    points = s.city_emissions_long.where(F.col("year") % 2 == 1)
-    return pathway.interpolate_yearly(points, ["city", "gas"], y="amount_t")
+    """City amounts per gas; years without an order are filled in."""
+    return pathway.interpolate_yearly(s.city_emissions_long, ["city", "gas"], y="amount_t")
 
 
 @query
@@ -515,15 +514,13 @@ def d50_world_trend_city_population(s: Star) -> DataFrame:
 
 @query
 def d52_attach_to_region_layer(s: Star) -> DataFrame:
-    """Region layer with the responsibility gap of the tighter scenario."""
-    gap = d32_pct_gap_responsibility(s).where(F.col("scenario_id") == b.TIGHT)
-    return enrich.attach_to_layer(s.region_layer, gap, ["region"])
+    """Region layer with the responsibility gap of every scenario."""
+    return enrich.attach_to_layer(s.region_layer, d32_pct_gap_responsibility(s), ["region"])
 
 
 @query
 def d52_attach_to_country_layer(s: Star) -> DataFrame:
-    gap = d33_rollup_pct_gap(s).where(F.col("scenario_id") == b.TIGHT)
-    return enrich.attach_to_layer(s.country_layer, gap, ["country"])
+    return enrich.attach_to_layer(s.country_layer, d33_rollup_pct_gap(s), ["country"])
 
 
 # -- targets -----------------------------------------------------------------------

@@ -335,12 +335,12 @@ _step("net", "SELECT scenario_id, year, value AS net_mt FROM net_line")
 _step("removal_line", _line("removal_anchor", "scenario_id"))
 _step("removal", "SELECT scenario_id, year, -value AS removal_mt FROM removal_line")
 _step(
-    "city_points_odd",
-    "SELECT city, gas, year, amount AS value FROM city_gas WHERE year <= 1998 AND year % 2 = 1 "
+    "city_points_all",
+    "SELECT city, gas, year, amount AS value FROM city_gas WHERE year <= 1998 "
     "UNION ALL SELECT city, 'CO2bio', year, amount * 2 FROM city_gas "
-    "WHERE year <= 1998 AND year % 2 = 1 AND gas = 'CO2'",
+    "WHERE year <= 1998 AND gas = 'CO2'",
 )
-_step("city_line", _line("city_points_odd", "city, gas"))
+_step("city_line", _line("city_points_all", "city, gas"))
 _statement(
     "d13_interpolate_yearly",
     "(SELECT *, value AS amount_t FROM city_line)",
@@ -843,14 +843,14 @@ _statement(
 _statement(
     "d52_attach_to_region_layer",
     """(SELECT * FROM map_units LEFT JOIN (SELECT scenario_id, region, gap_mt, gap_pct, gap_pct_raw
-      FROM pct_resp WHERE scenario_id = 's15') USING (region))""",
+      FROM pct_resp) USING (region))""",
     "region country name geometry scenario_id",
     *_PCT,
 )
 _statement(
     "d52_attach_to_country_layer",
     """(SELECT * FROM country_units LEFT JOIN (SELECT scenario_id, country, gap_mt, gap_pct, gap_pct_raw
-      FROM pct_rolled WHERE scenario_id = 's15') USING (country))""",
+      FROM pct_rolled) USING (country))""",
     "country geometry scenario_id",
     *_PCT,
 )
@@ -1019,10 +1019,16 @@ def _classes(entity: str, drop_null: bool) -> str:
       WHERE t.year = 2000) {kept}"""
 
 
+_step(
+    "city_allocations",
+    """
+    SELECT scenario_id, city, year, r.value_mt AS resp_mt, c.value_mt AS capc_mt
+    FROM city_resp_series AS r LEFT JOIN city_cap_series AS c USING (scenario_id, city, year)""",
+)
 for _entity, _source, _drop in (
     ("region", "region_enriched", False),
     ("country", "country_rollup", True),
-    ("city", "city_enriched", True),
+    ("city", "city_allocations", True),
 ):
     _step(f"{_entity}_pair", _pair(_source, _entity))
     _statement(

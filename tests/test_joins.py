@@ -1,21 +1,21 @@
 import pytest
 
 from carbonsplit.operators.joins import (
+    compact_join,
     key_violations,
     repeat_for_each,
-    spread_join,
     without_listed,
 )
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
-def test_spread_join_equals_plain_join_on_a_hot_key(spark, threshold):
+def test_compact_join_equals_plain_join_on_a_hot_key(spark, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 0, id % 50) AS k")
         right = spark.range(40).selectExpr("id AS k", "id * 10 AS v")
         for how in ("inner", "left", "left_semi", "left_anti"):
-            got = spread_join(left, right, ["k"], ["id"], how)
+            got = compact_join(left, right, ["k"], how)
             want = left.join(right, ["k"], how)
             assert sorted(got.columns) == sorted(want.columns)
             assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(
@@ -25,50 +25,48 @@ def test_spread_join_equals_plain_join_on_a_hot_key(spark, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_hot_key_is_cut_into_slices(spark):
-    """Without a broadcast the rows of one key land in many shuffle partitions."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_pairing_uses_all_partitions_whatever_is_decided_later(spark, threshold):
+    """Frames are built under the default threshold and run under another one."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
     try:
-        left = spark.range(4000).selectExpr("id", "1 AS k")
-        right = spark.range(1).selectExpr("1 AS k", "5 AS v")
-        sizes = (
-            spread_join(left, right, ["k"], ["id"])
-            .selectExpr("spark_partition_id() AS p")
-            .groupBy("p")
-            .count()
-            .collect()
-        )
-        assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 1500
+        rows = spark.range(20_000).toDF("a").repartition(4)
+        pairs = repeat_for_each(rows, spark.range(2).toDF("b"), ["a"])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        sizes = pairs.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+        assert sum(r["count"] for r in sizes) == 40_000
+        if threshold == "-1":
+            assert len(sizes) > 100 and max(r["count"] for r in sizes) < 2_000
     finally:
-        for key in ("autoBroadcastJoinThreshold", "adaptive.enabled", "shuffle.partitions"):
+        for key in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
             spark.conf.unset(f"spark.sql.{key}")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_small_right_side_is_broadcast_without_copies(spark):
-    left = spark.range(100).selectExpr("id", "id % 3 AS k")
-    right = spark.range(3).selectExpr("id AS k", "id AS v")
-    plan = spread_join(left, right, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Generate" not in plan
-    pairs = repeat_for_each(left, right, ["id"])._jdf.queryExecution().executedPlan().toString()
+def test_aggregated_right_side_is_broadcast_by_its_real_size(spark):
+    """Six totals of a large, unestimated input."""
+    big = spark.range(3_000_000).selectExpr("id", "id % 6 AS k", "id % 1000 AS g")
+    totals = big.join(spark.range(1000).toDF("g"), "g").groupBy("k").count()
+    plan = compact_join(big, totals, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    pairs = repeat_for_each(big, spark.range(6).toDF("b"), ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in pairs and "NestedLoop" not in pairs
 
 
-def test_null_safe_spread_join(frame, rows):
+def test_null_safe_compact_join(frame, rows):
     left = frame("id int, k string", (1, "a"), (2, None))
     right = frame("k string, v int", ("a", 10), (None, 20))
-    got = spread_join(left, right, ["k"], ["id"], "left", null_safe=True)
+    got = compact_join(left, right, ["k"], "left", null_safe=True)
     assert rows(got, "id", "k", "v") == [(1, "a", 10), (2, None, 20)]
-    plain = spread_join(left, right, ["k"], ["id"], "left")
+    plain = compact_join(left, right, ["k"], "left")
     assert rows(plain, "id", "v") == [(1, 10), (2, None)]
 
 
-def test_spread_join_refuses_joins_that_would_copy_right_rows(frame):
+def test_compact_join_refuses_joins_that_would_copy_right_rows(frame):
     left = frame("k int", (1,))
     with pytest.raises(ValueError):
-        spread_join(left, left, ["k"], ["k"], "right")
+        compact_join(left, left, ["k"], "right")
 
 
 def test_repeat_for_each_pairs_everything(spark):
@@ -81,9 +79,9 @@ def test_repeat_for_each_pairs_everything(spark):
 
 def test_without_listed_treats_null_like_any_value(frame, rows):
     df = frame("id int, k string", (1, "a"), (2, "b"), (3, None))
-    assert rows(without_listed(df, frame("k string", ("a",)), "k", ["id"]), "id") == [(2,), (3,)]
+    assert rows(without_listed(df, frame("k string", ("a",)), "k"), "id") == [(2,), (3,)]
     with_null = frame("k string", ("a",), (None,))
-    assert rows(without_listed(df, with_null, "k", ["id"]), "id") == [(2,)]
+    assert rows(without_listed(df, with_null, "k"), "id") == [(2,)]
 
 
 def test_key_violations(frame, rows):

@@ -100,10 +100,11 @@ def test_interpolation_matches_numpy_and_its_anchors(frame, groups):
                 assert value == anchors[year]
 
 
-def test_absurd_year_span_fails_loudly(frame):
-    df = frame(POINTS, ("k", 1990, 1.0), ("k", 199000, 2.0))
-    with pytest.raises(Exception, match="year span"):
-        pathway.interpolate_yearly(df, ["k"]).collect()
+def test_year_span_is_unbounded_unless_asked(frame):
+    df = frame(POINTS, ("k", 0, 0.0), ("k", 20_000, 2.0))
+    assert pathway.interpolate_yearly(df, ["k"]).count() == 20_001
+    with pytest.raises(Exception, match="year span above 10000"):
+        pathway.interpolate_yearly(df, ["k"], max_span=10_000).collect()
 
 
 def test_decompose_and_budget(frame, rows):

@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
+from carbonsplit.plans.catalog import registered
+from carbonsplit.plans.oracle import statements
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = driver.queries()
-STATEMENTS = driver.oracle_sql()
+QUERIES = registered()
+STATEMENTS = statements()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
