@@ -22,7 +22,7 @@ WIDTH = 8
 _GRAMS = (3, 4, 5)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose buckets a worker remembers; beyond, it starts over.
-_MEMORY = 500_000
+_MEMORY = 200_000
 
 
 def word_buckets(word: str) -> list[int]:
@@ -57,7 +57,8 @@ def counted(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     known = [grams[w] for w in words_of(text)]
     hashes = np.fromiter((h for h, _ in known), np.uint64, len(known))
     flat = [b for _, buckets in known for b in buckets]
-    return np.unique(np.concatenate([np.array(flat, np.int64), pair_buckets(hashes)]), return_counts=True)
+    buckets, counts = np.unique(np.concatenate([np.array(flat, np.int64), pair_buckets(hashes)]), return_counts=True)
+    return buckets.astype(np.int32), counts.astype(np.float32)
 
 
 def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 7) -> np.ndarray:
@@ -68,6 +69,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: f
         return result
     grams = Grams()
     documents = [counted(text, grams) for text, _ in rows]
+    grams.clear()
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.1, (BUCKETS, WIDTH))
     layer = random.normal(0, 0.1, (WIDTH, 2))
@@ -129,7 +131,7 @@ def score(text: str | None, sums: Sums) -> float:
     return float(1 / (1 + np.exp(-np.clip(total / max(1, n) + float(sums.model[-1]), -40, 40))))
 
 
-def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_good: int = 2000, max_poor: int = 1200) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_good: int = 1000, max_poor: int = 600) -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1, higher: label 1 likelier), one row per document.
 
     Learned from at most ``max_good`` and ``max_poor`` labelled documents, never from

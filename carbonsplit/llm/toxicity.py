@@ -11,7 +11,7 @@ function of its marginals, fitted on the same training documents.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonsplit.llm.labelled import training_rows
+from carbonsplit.llm.labelled import training_rows, usable_labels
 
 #: A token: a run of letters, digits and marks; other characters only separate.
 _TOKEN = re.compile(r"\w+")
@@ -57,15 +57,26 @@ def lines_of(text: str | None) -> list[list[str]]:
     return [tokens for tokens in found if tokens]
 
 
-def token_labels(rows: list[tuple[list[list[str]], int]], least: int = 4, share: float = 0.01, odds: float = 25.0) -> set[str]:
-    """Words and beginnings that mark toxic tokens: seen in at least ``least`` (and ``share``) of the
-    toxic documents, and ``odds`` times as often there as in the others."""
-    seen = {0: Counter(), 1: Counter()}
-    sizes = Counter(label for _, label in rows)
-    for lines, label in rows:
-        seen[label].update({s for line in lines for w in set(line) for s in stems(w)})
-    floor = max(least, share * sizes[1])
-    return {s for s, n in seen[1].items() if n >= floor and n / sizes[1] >= odds * (seen[0][s] + 0.5) / max(1, sizes[0])}
+def toxic_stems(docs: DataFrame, labels: DataFrame, least: int = 4, share: float = 0.01, odds: float = 25.0) -> set[str]:
+    """Words and beginnings that mark toxic tokens, counted over all labelled documents that may be learned from.
+
+    A mark is found in at least ``least`` (and ``share``) as many places as there are toxic
+    documents, and ``odds`` times as often there as in the others.  Words are counted by
+    document and label first, so only the vocabulary is shuffled; what comes to the
+    driver are the marks.
+    """
+    known = usable_labels(labels, "toxic", 3, 1)
+    texts = docs.join(known, docs["doc_id"] == F.col("_id")).select("_label", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = {r["_label"]: r["count"] for r in known.join(docs.select("doc_id"), F.col("_id") == F.col("doc_id"), "left_semi").groupBy("_label").count().collect()}
+    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+    words = texts.select("_label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), 1))).alias("word"))
+    counts = words.groupBy("word").agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("other"))
+    word = F.col("word")
+    beginnings = [F.when(F.length(word) >= n, F.concat(F.lit("p="), F.substring(word, 1, n))) for n in _PREFIXES]
+    named = counts.select("toxic", "other", F.explode(F.array_compact(F.array(F.concat(F.lit("w="), word), *beginnings))).alias("stem"))
+    sums = named.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    marks = sums.filter((F.col("toxic") >= max(least, share * toxic)) & (F.col("toxic") / max(1, toxic) >= odds * (F.col("other") + 0.5) / max(1, other)))
+    return {r.stem for r in marks.select("stem").collect()}
 
 
 def pieces(lines: list[list[str]], length: int = 200) -> list[list[str]]:
@@ -199,13 +210,14 @@ def fit_scale(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 40) -> Crf:
+def train(rows: list[tuple[str, int]], marks: set[str], rounds: int = 40) -> Crf:
     """A model from ``(text, label)``; without rows of both labels every score is one half or less."""
-    documents = [lines_of(text) for text, _ in rows]
+    # one string object for each different token
+    documents = [[[sys.intern(w) for w in line] for line in lines_of(text)] for text, _ in rows]
     labels = [label for _, label in rows]
     if len(set(labels)) < 2:
         return Crf(np.zeros(BUCKETS), -3.0, np.zeros((2, 2)), (-1.0 if 1 not in labels else 0.0, 0.0, 0.0))
-    model = fit_tags([pieces(lines) for lines in documents], token_labels(list(zip(documents, labels, strict=True))), labels, rounds)
+    model = fit_tags([pieces(lines) for lines in documents], marks, labels, rounds)
     model.scale = fit_scale(evidence(*marginals(model, documents)), np.array(labels))
     return model
 
@@ -268,12 +280,12 @@ def scorer(docs: DataFrame, model: Crf):
     return score
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500) -> Crf:
-    """The model learned from at most ``max_toxic`` and ``max_clean`` labelled documents.
+def fitted(docs: DataFrame, labels: DataFrame, max_toxic: int = 600, max_clean: int = 900) -> Crf:
+    """The model learned from at most ``max_toxic`` and ``max_clean`` labelled documents, with marks counted over all.
 
     Documents whose crc32 of the id, modulo 3, is 1 are never learned from.
     """
-    return train(training_rows(docs, labels, "toxic", 3, 1, {1: max_toxic, 0: max_clean}))
+    return train(training_rows(docs, labels, "toxic", 3, 1, {1: max_toxic, 0: max_clean}), toxic_stems(docs, labels))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), **sample: int) -> DataFrame:
