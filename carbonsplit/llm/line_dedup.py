@@ -8,8 +8,9 @@ join itself; the rest is verified on the words.
 
 Only whether a class has an earlier match is asked.  So that a group of near copies is
 not compared pair by pair, each class is first compared with the earliest class that
-shares one of two hash keys with it; those that match it are settled and no longer
-search in the join.  They are still found there by others, so no match is lost.
+shares a hash key with it, and the rest with the classes that were matched that way;
+those that match are settled and no longer search in the join.  They are still found
+there by others, so no match is lost.
 """
 
 from __future__ import annotations
@@ -139,18 +140,25 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return single.unionByName(first)
 
 
-def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int) -> DataFrame:
-    """``a, b``: pairs of an unsettled class and another not later one that pass all filters.
-
-    A pair that reaches the similarity always passes.  Of two classes that start in the
-    same document both orders pass; verification tells which is later.
-    """
+def _postings(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """A row for each class and word of its prefix."""
     marked = classes.join(_small(settled).withColumn("done", F.lit(True)), "sig", "left")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     # one number for the words and whether the class still searches; one exchange then serves both sides of the join
     size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))
-    postings = marked.select("sig", "bits", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
-    a, b = postings.alias("a"), postings.alias("b")
+    return marked.select("sig", "bits", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
+
+
+def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, centers: DataFrame | None = None) -> DataFrame:
+    """``a, b``: pairs of an unsettled class and another not later one that pass all filters.
+
+    A pair that reaches the similarity always passes.  Of two classes that start in the
+    same document both orders pass; verification tells which is later.  With ``centers``
+    only those classes are searched for.
+    """
+    postings = _postings(classes, settled)
+    searched = postings if centers is None else _small(cut(_postings(classes.join(_small(centers), "sig", "left_semi"), settled), "centers"))
+    a, b = postings.alias("a"), searched.alias("b")
     a_n, b_n = F.abs("a.size"), F.abs("b.size")
     needed = _needed(similarity, a_n, b_n)
     earlier = F.when(F.col("a.size") > 0, F.col("a.place")) >= F.col("b.place")
@@ -167,7 +175,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
-    """``sig`` of the classes ``a`` that reach the similarity with a ``b`` that starts earlier, verified on the words.
+    """``sig, center``: the classes ``a`` that reach the similarity with a ``b`` that starts earlier, verified on the words.
 
     A class starts at its first line in the order of (id, hash of the text, line number).
     """
@@ -186,16 +194,21 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
     both = ordered.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     alike = both.filter(shared * (100 + similarity) >= (F.size("a_words") + F.size("b_words")) * similarity)
-    return cut(alike.select(F.col("a").alias("sig")).distinct(), "later")
+    return cut(alike.select(F.col("a").alias("sig"), F.col("b").alias("center")), "later")
 
 
 def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """``doc_id, text_key, removed`` (line numbers from 0): the lines that an earlier line matches."""
     lines = cut(signatures(docs, similarity), "lines")
     repeated = repeated_classes(lines)
-    settled = with_earlier_match(likely_pairs(lines, similarity), docs, lines, similarity)
-    searched = candidate_pairs(first_lines(lines, repeated), settled, similarity)
-    later = settled.unionAll(with_earlier_match(searched, docs, lines, similarity)).withColumn("later", F.lit(True))
+    classes = first_lines(lines, repeated)
+    likely = with_earlier_match(likely_pairs(lines, similarity), docs, lines, similarity)
+    settled, centers = likely.select("sig").distinct(), cut(likely.select(F.col("center").alias("sig")).distinct(), "centers")
+    # what the keys missed of a group of near copies meets the group's first class here
+    near = with_earlier_match(candidate_pairs(classes, cut(settled, "settled"), similarity, centers), docs, lines, similarity)
+    settled = cut(settled.union(near.select("sig")).distinct(), "settled")
+    rest = with_earlier_match(candidate_pairs(classes, settled, similarity), docs, lines, similarity)
+    later = settled.union(rest.select("sig")).distinct().withColumn("later", F.lit(True))
     # a class goes whole if it has an earlier match, else but for its first line
     classes = cut(repeated.select("sig", "first").join(later, "sig", "full").select("sig", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
     # joins two written tables: a line that holds a third of all rows is split
