@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from carbonsplit.sources.shared import shared_folder, shared_table
 
-__all__ = ["WORD", "cut", "lower_ascii", "read_table", "shared_folder", "word_count"]
+__all__ = ["WORD", "cut", "lower_ascii", "read_table", "shared_folder", "small", "word_count"]
 
+#: Rows of a written table that are broadcast at most (a few dozen bytes each); larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +26,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return shared_table(df, f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has few rows; any other is joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,12 +20,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonsplit.llm.common import cut
+from carbonsplit.llm.common import cut, small
 
 #: Counters of word frequency; words that share one count as equally rare, which changes no result.
 RARITY_COUNTERS = 1 << 16
-#: Rows of a written table that are broadcast at most (a few dozen bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 _KEY_BITS = 40
 _PLACE = ("doc_id", "text_key", "line_no")
 
@@ -121,7 +119,7 @@ def likely_pairs(lines: DataFrame, similarity: int) -> DataFrame:
     earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
     shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
-    found = keyed.join(_small(cut(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
+    found = keyed.join(small(cut(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
     return found.select(F.col("sig").alias("a"), "b").distinct()
 
 
@@ -133,7 +131,7 @@ def repeated_classes(lines: DataFrame) -> DataFrame:
 
 def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """The first line of every class."""
-    known = _small(repeated.select("sig", "first"))
+    known = small(repeated.select("sig", "first"))
     single = lines.join(known, "sig", "left_anti")
     # rows repeated in id and text have the same place
     first = lines.join(known, "sig").filter(F.struct(*_PLACE) == F.col("first")).drop("first").dropDuplicates(["sig"])
@@ -142,7 +140,7 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def _postings(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """A row for each class and word of its prefix."""
-    marked = classes.join(_small(settled).withColumn("done", F.lit(True)), "sig", "left")
+    marked = classes.join(small(settled).withColumn("done", F.lit(True)), "sig", "left")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     # one number for the words and whether the class still searches; one exchange then serves both sides of the join
     size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))
@@ -157,7 +155,7 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     only those classes are searched for.
     """
     postings = _postings(classes, settled)
-    searched = postings if centers is None else _small(cut(_postings(classes.join(_small(centers), "sig", "left_semi"), settled), "centers"))
+    searched = postings if centers is None else small(cut(_postings(classes.join(small(centers), "sig", "left_semi"), settled), "centers"))
     a, b = postings.alias("a"), searched.alias("b")
     a_n, b_n = F.abs("a.size"), F.abs("b.size")
     needed = _needed(similarity, a_n, b_n)
@@ -169,11 +167,6 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has few rows; any other is joined by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
     """``sig, center``: the classes ``a`` that reach the similarity with a ``b`` that starts earlier, verified on the words.
 
@@ -186,7 +179,7 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
     every = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
     here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")) & (F.col("line_no") == F.col("at_line"))
     # rows repeated in id and text give the same words twice
-    words = cut(every.join(_small(at), here).select("sig", "first", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"]), "line-words")
+    words = cut(every.join(small(at), here).select("sig", "first", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"]), "line-words")
     left = words.select(F.col("sig").alias("a"), F.col("first").alias("a_first"), F.col("words").alias("a_words"))
     right = words.select(F.col("sig").alias("b"), F.col("first").alias("b_first"), F.col("words").alias("b_words"))
     order = places.select("sig", "first")
@@ -231,7 +224,7 @@ def dedup_lines(docs: DataFrame, similarity: int = 80) -> DataFrame:
     gone = later_matches(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*kept).alias("_row"), "text", *_document_key())
-    joined = rows.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    joined = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     cut_text = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carbonsplit.llm.common import cut, small
 from carbonsplit.llm.labelled import training_rows, usable_labels
 
 #: A token: a run of letters, digits and marks; other characters only separate.
@@ -65,9 +66,10 @@ def toxic_stems(docs: DataFrame, labels: DataFrame, least: int = 4, share: float
     document and label first, so only the vocabulary is shuffled; what comes to the
     driver are the marks.
     """
-    known = usable_labels(labels, "toxic", 3, 1)
+    # ids and integers only: broadcast up to a checked size, so that texts stay where they are read
+    known = small(cut(usable_labels(labels, "toxic", 3, 1), "toxic-labels"))
     texts = docs.join(known, docs["doc_id"] == F.col("_id")).select("_label", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = {r["_label"]: r["count"] for r in known.join(docs.select("doc_id"), F.col("_id") == F.col("doc_id"), "left_semi").groupBy("_label").count().collect()}
+    sizes = {r["_label"]: r["count"] for r in docs.select("doc_id").join(known, F.col("doc_id") == F.col("_id")).groupBy("_label").agg(F.countDistinct("_id").alias("count")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     words = texts.select("_label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), 1))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("other"))
