@@ -322,16 +322,14 @@ def main_text(pages: DataFrame, max_pages: int = 200, max_chars: int = 50_000) -
     no rows; other columns do not matter.
 
     The model is learned from at most ``max_pages`` pages with one article element and
-    at most ``max_chars`` characters, chosen by a hash of their content; every page is
-    read whole.
+    at most ``max_chars`` characters, chosen by a hash of their content, equal pages
+    counting once; every page is read whole.
     """
-    sample = (
-        pages.filter(F.col("html").rlike("(?i)<article") & (F.length("html") <= max_chars))
-        .select("html", F.xxhash64("html").alias("_order"))
-        .orderBy("_order")
-        .limit(max_pages)
-    )
-    model = train([r.html for r in sample.collect()])
+    usable = pages.filter(F.col("html").rlike("(?i)<article") & (F.length("html") <= max_chars)).select("html", F.xxhash64("html").alias("_order"))
+    # numbers are ranked first, so that no partition sends pages that are not learned from
+    chosen = usable.select("_order").distinct().orderBy("_order").limit(max_pages)
+    sample = usable.join(F.broadcast(chosen), "_order").groupBy("_order").agg(F.max("html").alias("html"))
+    model = train([r.html for r in sorted(sample.collect(), key=lambda r: r._order)])
     shared = pages.sparkSession.sparkContext.broadcast((model.weights, model.edges))
 
     @F.pandas_udf("string")
