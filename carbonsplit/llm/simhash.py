@@ -117,9 +117,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     The smallest id stays (an id before none), then the smallest hash of the text; of
     rows repeated in id and text one stays.
     """
-    kept = docs.columns
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    found = near_duplicates(keyed, shingle, radius, keep=("text_key",))
+    return first_of_each(docs, near_duplicates(keyed, shingle, radius, keep=("text_key",)))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, given ``doc_id, text_key, label`` of each."""
+    kept = docs.columns
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     repeats = found.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
     chosen = cut(repeats.groupBy("label").agg(F.min(order).alias("one"), F.min_by("times", order).alias("times")), "chosen")
