@@ -28,8 +28,14 @@ from pyspark.sql import functions as F
 
 # Elements by kind, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template iframe svg math canvas object select option textarea datalist title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+UNREAD = frozenset("script style noscript template iframe svg canvas object select option textarea datalist title".split())
+#: Of these only the own end tag ends them: what they hold is not read as elements.
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: Start tags that leave a drawing that was not closed, unless they stand in one of its parts that hold HTML.
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_IN_SVG = frozenset("foreignobject desc title".split())
+MATH = frozenset("math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSED_BY_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -67,12 +73,18 @@ class Page(HTMLParser):
         self.texts: list[tuple[int, str] | None] = []
         self.open = [0]
         self.unread: str | None = None
+        #: Elements open within the unread one.
+        self.inside: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.unread:
-            return
+            if self.unread != "svg" or tag not in LEAVES_SVG or any(t in HTML_IN_SVG for t in self.inside):
+                if tag not in VOID:
+                    self.inside.append(tag)
+                return
+            self.unread = None
         if tag in UNREAD:
-            self.unread = tag
+            self.unread, self.inside = tag, []
             return
         if tag in CLOSED_BY_BLOCK:
             self._close("p", ("article", "body", "button", "div", "li", "section", "td"))
@@ -94,14 +106,25 @@ class Page(HTMLParser):
         self.nodes.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        # the slash means nothing in HTML
+        # the slash means nothing in HTML, but closes drawings, formulas and what is in them
+        if tag == "svg" or self.unread == "svg" and tag not in LEAVES_SVG:
+            return
         self.handle_starttag(tag, attrs)
+        if tag in MATH:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.unread:
-            if tag == self.unread:
-                self.unread = None
-            return
+            if self.unread not in RAW and tag in self.inside:
+                while self.inside.pop() != tag:
+                    pass
+                return
+            own = tag == self.unread
+            if not own and (self.unread in RAW or all(self.nodes[i].tag != tag for i in self.open)):
+                return
+            self.unread = None
+            if own:
+                return
         if tag not in INLINE:
             self.texts.append(None)
         self._close(tag, ("table", "article") if tag in INLINE or tag == "p" else ())
