@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from carbonsplit.functions import strict_sum
 
 SCENARIO = "scenario_id"
+# Columns of the sheet that tell its pathways apart.
+SHEET_KEYS = ("model", SCENARIO, "region")
 
 # Fixed values: (divisor to Mt, CO2e weight) per scenario variable; others count as they are.
 VARIABLE_RULES: Mapping[str, tuple[float, float]] = {
@@ -28,6 +30,30 @@ COMPONENT_LABELS: Mapping[str, str] = {
 }
 
 
+def select_pathways(
+    wide: DataFrame, region: str, keys: Sequence[str] = SHEET_KEYS
+) -> DataFrame:
+    """Rows of one region, with one ``scenario_id`` per model and scenario.
+
+    A scenario of several models becomes one scenario per model, named ``model|scenario``;
+    the others keep their name.  A sheet without a region or model column is taken as
+    one region or model.
+    """
+    model, scenario, place = keys
+    rows = wide.where(F.col(place) == region) if place in wide.columns else wide
+    if model not in wide.columns:
+        return rows
+    several = (
+        rows.groupBy(scenario)
+        .agg((F.count_distinct(F.coalesce(model, F.lit(""))) > 1).alias("_several"))
+    )
+    name = F.when(
+        F.col("_several"),
+        F.concat_ws("|", F.coalesce(model, F.lit("")), F.col(scenario).cast("string")),
+    ).otherwise(F.col(scenario).cast("string"))
+    return rows.join(several, scenario).withColumn(scenario, name).select(*wide.columns)
+
+
 def melt_scenario(
     wide: DataFrame,
     id_cols: Sequence[str],
@@ -56,7 +82,7 @@ def scenario_co2e(
     keys: Sequence[str] = (SCENARIO,),
     rules: Mapping[str, tuple[float, float]] = VARIABLE_RULES,
 ) -> DataFrame:
-    """Anchor-year total in Mt CO2e per scenario."""
+    """Anchor-year total in Mt CO2e per scenario; ``select_pathways`` makes scenarios unique."""
     value = F.col("value")
     converted = value
     for variable, (divisor, weight) in rules.items():

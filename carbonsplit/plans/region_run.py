@@ -93,7 +93,9 @@ def _panels(inputs: Inputs, s: Settings, write) -> tuple[DataFrame, DataFrame, D
 
 
 def _pathway(inputs: Inputs, emissions: DataFrame, s: Settings, write) -> DataFrame:
-    sheet = inputs.sheet(s.sheet_ids)
+    sheet = pathway.select_pathways(inputs.sheet(s.sheet_ids), s.sheet_region)
+    if sheet.isEmpty():
+        raise ValueError(f"the scenario sheet has no rows of region {s.sheet_region}")
     parts = pathway.decompose_pathway(
         pathway.net_pathway(sheet, s.sheet_ids, since=s.pathway_start),
         pathway.removal_pathway(sheet, s.sheet_ids, since=s.pathway_start),

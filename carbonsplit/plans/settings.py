@@ -27,6 +27,7 @@ class Settings:
     tight_scenario: str = "15"
     wide_scenario: str = "20"
     sheet_ids: tuple[str, ...] = ("model", "scenario_id", "region", "variable", "unit")
+    sheet_region: str = "World"
     display_countries: tuple[str, ...] = ()
     dropped_codes: tuple[str, ...] = ()
     missing_gas: float | None = None
