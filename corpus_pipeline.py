@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.llm import decontamination, line_dedup, mixing, near_copies, toxicity
+from carbonsplit.llm import decontamination, line_dedup, mixing, simhash, toxicity
 from carbonsplit.llm.common import cut, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 over five-word shingles the one with the smallest id stays."""
-    return near_copies.one_of_each(docs)
+    """Of each group of documents whose fingerprints over three-word shingles are linked by at most two differing bits the one with the smallest id stays."""
+    return simhash.one_of_each(docs, shingle=3, radius=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
