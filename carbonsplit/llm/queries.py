@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.llm import chat, decontamination, html_text, labelled, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
+from carbonsplit.llm import chat, decontamination, html_text, labelled, line_dedup, mixing, quality, resampling, secrets, simhash, topk, toxicity
 from carbonsplit.llm.common import read_table
 
 
@@ -83,6 +83,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,5 +101,6 @@ QUERIES = {
         op8_secret_scan,
         op9_chat_formatting,
         op10_source_mixing,
+        op11_importance_resampling,
     )
 }
