@@ -109,4 +109,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-STATEMENTS = {"op3_topk_search": OP3, "op9_chat_formatting": OP9, "op1_line_dedup": OP1, "op4_benchmark_decontamination": OP4, "op10_source_mixing": OP10}
+OP11 = r"""
+WITH tab AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step
+), d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), runs AS (
+    SELECT r, array_to_string(list_slice(w, i, i + n - 1), ' ') AS f
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT r, w FROM d UNION ALL SELECT -1, w FROM b), (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
+), counted AS (SELECT r, f, count(*) AS n FROM runs GROUP BY r, f),
+bytes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counted)),
+crcs AS (
+    SELECT f, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+        lambda a, y: xor(a >> 8, step[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM bytes, tab
+), hits AS (SELECT r, bucket, sum(n) AS n FROM counted JOIN crcs USING (f) GROUP BY r, bucket),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (r >= 0), 0) AS s, coalesce(sum(n) FILTER (r < 0), 0) AS t FROM hits GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+    FROM sums
+), weighed AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM hits JOIN gains USING (bucket) WHERE r >= 0 GROUP BY r),
+noise AS (
+    SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    FROM d LEFT JOIN weighed USING (r)
+), scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM noise),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight DESC, n_features DESC) AS place,
+           count(*) FILTER (n_words >= 20) OVER () * 5 // 100 AS drawn
+    FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN n_words >= 20 AND place <= drawn THEN CAST(place AS BIGINT) END AS rank
+FROM placed
+"""
+
+STATEMENTS = {
+    "op1_line_dedup": OP1,
+    "op3_topk_search": OP3,
+    "op4_benchmark_decontamination": OP4,
+    "op9_chat_formatting": OP9,
+    "op10_source_mixing": OP10,
+    "op11_importance_resampling": OP11,
+}
