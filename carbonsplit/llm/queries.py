@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.llm import chat, decontamination, html_text, labelled, line_dedup, mixing, quality, resampling, secrets, simhash, topk, toxicity
+from carbonsplit.llm import chat, conversations, decontamination, html_text, labelled, line_dedup, mixing, quality, resampling, secrets, simhash, topk, toxicity
 from carbonsplit.llm.common import read_table
 
 
@@ -88,6 +88,26 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of ``conv_id:turn``; every null is read as one space."""
+    read = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.pmod(F.crc32(F.concat(read[0], F.lit(":"), read[1])), F.lit(20))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(read[3], "[.!?]", "")).otherwise(read[3])
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    out = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(read[2]).alias("role"), text.alias("text"), times.alias("times"))
+    return out.withColumn("time", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("times", "time")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    turns, summary = conversations.repair(damaged(rows))
+    ids = rows.select(F.col("conv_id").cast("long").alias("id"), F.col("conv_id").cast("string").alias("conv_id")).distinct()
+    found = conversations.matched(conversations.matched(ids, summary, ["conv_id"], "left"), conversations.text_digests(turns), ["conv_id"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +122,6 @@ QUERIES = {
         op9_chat_formatting,
         op10_source_mixing,
         op11_importance_resampling,
+        op12_conversation_repair,
     )
 }
