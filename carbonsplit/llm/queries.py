@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.llm import chat, conversations, decontamination, html_text, labelled, line_dedup, mixing, quality, resampling, secrets, simhash, topk, toxicity
+from carbonsplit.llm import chat, conversations, decontamination, html_text, labelled, line_dedup, mixing, quality, resampling, secrets, simhash, topk, toxicity, vantage
 from carbonsplit.llm.common import read_table
 
 
@@ -108,6 +108,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
 
 
+def op13_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,5 +127,6 @@ QUERIES = {
         op10_source_mixing,
         op11_importance_resampling,
         op12_conversation_repair,
+        op13_vantage_neighbours,
     )
 }

@@ -150,6 +150,21 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
 FROM placed
 """
 
+# The exact neighbours: the search may miss some of them, which it does not on the small tables.
+OP13 = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (
+    SELECT q.vec_id AS query_id, q.v AS qv, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, v.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+    FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.v) = len(v.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qv ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 STATEMENTS = {
     "op1_line_dedup": OP1,
     "op3_topk_search": OP3,
@@ -157,4 +172,5 @@ STATEMENTS = {
     "op9_chat_formatting": OP9,
     "op10_source_mixing": OP10,
     "op11_importance_resampling": OP11,
+    "op13_vantage_neighbours": OP13,
 }
