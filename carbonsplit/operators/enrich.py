@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,10 +43,18 @@ def drop_codes(df: DataFrame, drop: Sequence[str], column: str = "country") -> D
 def attach_to_layer(layer: DataFrame, values: DataFrame, on: Sequence[str]) -> DataFrame:
     """Every map unit with its values; the geometry column passes through untouched.
 
-    Units and values are both entity-sized, so this is a plain shuffled join.
+    The values of a unit are nested first and taken apart after the join, so a
+    geometry is moved and matched once per unit, not once per value row.  A unit
+    has a row per scenario, so what is nested stays small.
     """
-    clash = [c for c in values.columns if c in layer.columns and c not in on]
-    return layer.join(values.drop(*clash), list(on), "left")
+    own = [c for c in values.columns if c not in layer.columns]
+    nested = values.groupBy(*on).agg(F.collect_list(F.struct(*own)).alias("_values"))
+    columns = [c for c in layer.columns if c not in on]
+    return (
+        layer.join(nested, list(on), "left")
+        .withColumn("_value", F.explode_outer("_values"))
+        .select(*on, *columns, *[F.col(f"_value.{c}").alias(c) for c in own])
+    )
 
 
 def attribute_entities(
@@ -127,6 +135,49 @@ def rollup_per_capita(
     )
 
 
+# Names of the roll-ups that one pass makes, and what they are grouped by beside scenario and year.
+ROLLUP_LEVELS: Mapping[str, Sequence[str]] = {"country": ("country",), "group": ("group",), "class": ("class_region",)}
+
+
+def rollup_levels(
+    df: DataFrame,
+    levels: Mapping[str, Sequence[str]] = ROLLUP_LEVELS,
+    keys: Sequence[str] = (SCENARIO,),
+) -> DataFrame:
+    """All roll-ups of a frame from one scan and one shuffle, by grouping sets.
+
+    ``level`` names the roll-up of a row; the columns that it is not grouped by are
+    null.  ``roll_up`` takes one of them out again.
+    """
+    common = [*keys, "year"]
+    by = list(dict.fromkeys(c for columns in levels.values() for c in columns))
+    everything = [*common, *by]
+    sets = [[F.col(c) for c in (*common, *columns)] for columns in levels.values()]
+    summed = df.groupingSets(sets, *[F.col(c) for c in everything]).agg(
+        F.grouping_id().alias("_set"),
+        *[skipping_sum(m).alias(m) for m in MEASURES],
+        skipping_sum("population").alias("population"),
+    )
+    # the grouping id has a bit for every column that a set leaves out
+    level = F.lit(None).cast("string")
+    for name, columns in levels.items():
+        bits = sum(1 << (len(everything) - 1 - n) for n, c in enumerate(everything) if c not in (*common, *columns))
+        level = F.when(F.col("_set") == bits, name).otherwise(level)
+    return summed.withColumns(
+        {
+            "level": level,
+            "resp_t_pc": per_capita(F.col("resp_mt"), F.col("population")),
+            "capc_t_pc": per_capita(F.col("capc_mt"), F.col("population")),
+        }
+    ).drop("_set")
+
+
+def roll_up(rollups: DataFrame, level: str, levels: Mapping[str, Sequence[str]] = ROLLUP_LEVELS, keys: Sequence[str] = (SCENARIO,)) -> DataFrame:
+    """One roll-up of ``rollup_levels``."""
+    measures = [*MEASURES, "population", "resp_t_pc", "capc_t_pc"]
+    return rollups.where(F.col("level") == level).select(*keys, *levels[level], "year", *measures)
+
+
 def rollup_by_class(df: DataFrame, keys: Sequence[str] = (SCENARIO,)) -> DataFrame:
     """Sums of both allocations per year and class region; unclassed rows are left out."""
     return (

@@ -14,6 +14,7 @@ from carbonsplit.functions import (
     strict_sum,
 )
 from carbonsplit.operators.joins import without_listed
+from carbonsplit.sources.shared import shared_table
 
 # Warming weights per tonne of gas, CO2-equivalent.
 GAS_WEIGHTS: Mapping[str, float] = {"CO2": 1.0, "CH4": 25.0, "N2O": 298.0}
@@ -145,17 +146,21 @@ def code_screen(profile: DataFrame, codes: Sequence[str]) -> DataFrame:
     return profile.where(F.col("country").isin(list(codes)))
 
 
-def apply_screens(
-    df: DataFrame,
-    screens: Iterable[tuple[DataFrame, str]],
-    spread_by: Sequence[str] | None = None,
-) -> DataFrame:
+def screened_ids(screens: Iterable[tuple[DataFrame, str]]) -> list[tuple[DataFrame, str]]:
+    """The listed ids of all screens, one written table per key, so that any number of frames reads them."""
+    listed: dict[str, DataFrame] = {}
+    for screen, key in screens:
+        ids = screen.select(key)
+        listed[key] = listed[key].unionByName(ids) if key in listed else ids
+    return [(shared_table(ids.distinct(), f"screened-{key}"), key) for key, ids in listed.items()]
+
+
+def apply_screens(df: DataFrame, screens: Iterable[tuple[DataFrame, str]]) -> DataFrame:
     """Drop rows whose key is listed by any ``(screen, key)``.
 
-    Screens on the same key are merged into one anti join; rows of one key are
-    spread by ``spread_by`` (all columns by default).
+    Screens on the same key are merged into one anti join.  Give the result of
+    ``screened_ids`` when several frames are screened.
     """
-    columns = spread_by or df.columns
     listed: dict[str, DataFrame] = {}
     for screen, key in screens:
         ids = screen.select(key)

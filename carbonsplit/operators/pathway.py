@@ -30,28 +30,49 @@ COMPONENT_LABELS: Mapping[str, str] = {
 }
 
 
-def select_pathways(
-    wide: DataFrame, region: str, keys: Sequence[str] = SHEET_KEYS
+def pathway_catalogue(
+    wide: DataFrame,
+    region: str,
+    temperature: float = 2.0,
+    levels: Mapping[str, float] | None = None,
+    keys: Sequence[str] = SHEET_KEYS,
 ) -> DataFrame:
-    """Rows of one region, with one ``scenario_id`` per model and scenario.
+    """The pathways of one region of a sheet: ``scenario_id, model, scenario, region, temperature``.
 
-    A scenario of several models becomes one scenario per model, named ``model|scenario``;
-    the others keep their name.  A sheet without a region or model column is taken as
-    one region or model.
+    ``scenario_id`` is the pathway's own id: the scenario, or ``model|scenario`` if
+    several models have it.  ``temperature`` is the warming level of the scenario in
+    ``levels``, else the given one.  A sheet without a region or model column is taken
+    as one region or model, named by an empty text; so is an unknown model.
     """
     model, scenario, place = keys
     rows = wide.where(F.col(place) == region) if place in wide.columns else wide
-    if model not in wide.columns:
-        return rows
-    several = (
-        rows.groupBy(scenario)
-        .agg((F.count_distinct(F.coalesce(model, F.lit(""))) > 1).alias("_several"))
+    owner = F.coalesce(F.col(model).cast("string"), F.lit("")) if model in wide.columns else F.lit("")
+    name = F.col(scenario).cast("string")
+    found = rows.select(owner.alias("model"), name.alias("scenario")).distinct()
+    several = F.count(F.lit(1)).over(Window.partitionBy("scenario")) > 1
+    level = F.lit(float(temperature))
+    for of, value in (levels or {}).items():
+        level = F.when(F.col("scenario") == of, F.lit(float(value))).otherwise(level)
+    return found.select(
+        F.when(several, F.concat_ws("|", "model", "scenario")).otherwise(F.col("scenario")).alias(SCENARIO),
+        "model",
+        "scenario",
+        F.lit(region if place in wide.columns else "").alias("region"),
+        level.alias("temperature"),
     )
-    name = F.when(
-        F.col("_several"),
-        F.concat_ws("|", F.coalesce(model, F.lit("")), F.col(scenario).cast("string")),
-    ).otherwise(F.col(scenario).cast("string"))
-    return rows.join(several, scenario).withColumn(scenario, name).select(*wide.columns)
+
+
+def select_pathways(wide: DataFrame, catalogue: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
+    """The sheet's rows that belong to a pathway of the catalogue, with the pathway's id as ``scenario_id``."""
+    model, scenario, place = keys
+    ids = catalogue.select(F.col(SCENARIO).alias("_id"), F.col("model").alias("_model"), F.col("scenario").alias("_scenario"), F.col("region").alias("_region"))
+    match = F.col(scenario).cast("string") == F.col("_scenario")
+    if model in wide.columns:
+        match = match & (F.coalesce(F.col(model).cast("string"), F.lit("")) == F.col("_model"))
+    if place in wide.columns:
+        match = match & (F.col(place) == F.col("_region"))
+    columns = [F.col("_id").alias(c) if c == scenario else F.col(f"`{c}`") for c in wide.columns]
+    return wide.join(ids, match).select(*columns)
 
 
 def melt_scenario(
@@ -200,13 +221,37 @@ def pick_landuse(table: DataFrame, temperature: float = 2.0) -> DataFrame:
     return table.where(F.col("temperature") == temperature).select("year", "landuse_mt")
 
 
+def landuse_by_scenario(table: DataFrame, catalogue: DataFrame, keys: Sequence[str] = (SCENARIO,)) -> DataFrame:
+    """Land-use series of every scenario: that of the table's level nearest to the scenario's own.
+
+    ``catalogue`` has the keys and ``temperature``; of two levels equally near the lower
+    one counts.  A scenario without a level has no series.  The levels of a table are a
+    handful, so the nearest one is looked up in their list and the series join on it.
+    """
+    levels = table.agg(F.collect_set("temperature")).scalar()
+    own = F.col("temperature")
+    candidates = (
+        catalogue.where(own.isNotNull())
+        .select(*keys, "temperature", levels.alias("_levels"))
+        .withColumn("_level", F.explode("_levels"))
+    )
+    apart = F.struct(F.abs(F.col("_level") - own), F.col("_level"))
+    nearest = candidates.groupBy(*keys).agg(F.min_by("_level", apart).alias("_level"))
+    series = table.select(F.col("temperature").alias("_level"), "year", "landuse_mt")
+    return nearest.join(series, "_level").select(*keys, "year", "landuse_mt")
+
+
 def decompose_pathway(
     net: DataFrame, removal: DataFrame, landuse: DataFrame, keys: Sequence[str] = (SCENARIO,)
 ) -> DataFrame:
-    """Net, land use, removal and the positive rest, per scenario and year."""
+    """Net, land use, removal and the positive rest, per scenario and year.
+
+    ``landuse`` is one series for all, or has the keys and is each scenario's own.
+    """
+    own = [k for k in keys if k in landuse.columns]
     return (
         net.join(removal, [*keys, "year"], "left")
-        .join(landuse, ["year"], "left")
+        .join(landuse, [*own, "year"], "left")
         .withColumn("net_excl_landuse_mt", F.col("net_mt") - F.col("landuse_mt"))
         .withColumn("positive_mt", F.col("net_excl_landuse_mt") - F.col("removal_mt"))
         .select(*keys, "year", *COMPONENT_LABELS)

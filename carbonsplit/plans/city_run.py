@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from carbonsplit.operators import cities, gaps, panel, pathway, responsibility, targets
+from carbonsplit.operators.constraints import Uniqueness
 from carbonsplit.plans.inputs import Inputs, Results
 from carbonsplit.plans.settings import Settings
 
@@ -11,6 +12,7 @@ def city_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> N
     """Write every result table of the city level; needs those of the region run."""
     s = settings
     write = out.write
+    unique = Uniqueness()
 
     stitched = panel.stitch_eras(
         inputs.table("city_population_early"),
@@ -20,6 +22,7 @@ def city_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> N
         s.second_boundary,
     )
     population = write("city_population", stitched)
+    unique.report("city_population", population, ["city", "year"])
     write("city_zero_population", panel.zero_count_census(population, ["city"]))
     write("city_population_trend", gaps.world_trend(population, "population", []))
     emissions = write(
@@ -44,7 +47,7 @@ def city_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> N
     wide = write(
         "city_capacity_wide",
         cities.downscale_by_population(
-            inputs.table("city_map"),
+            unique.one_per_key("city_map", inputs.table("city_map"), ["city"]),
             regions,
             population,
             out.read("region_capacity_wide"),
@@ -61,3 +64,4 @@ def city_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> N
             inputs.table("city_pledges"), "city", panel.TONNES_PER_MT, with_cut=True
         ),
     )
+    write("city_violations", unique.violations())

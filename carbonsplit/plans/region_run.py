@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from carbonsplit.operators import capacity, gaps, panel, pathway, responsibility, targets
+from carbonsplit.operators.constraints import Uniqueness
 from carbonsplit.plans.inputs import Inputs, Results
 from carbonsplit.plans.settings import Settings
+from carbonsplit.sources import shared_table
 
 
 def region_run(inputs: Inputs, out: Results, settings: Settings = Settings()) -> None:
     """Write every result table of the region level, for all scenarios at once."""
     s = settings
     write = out.write
+    unique = Uniqueness()
 
-    population, emissions, gdp = _panels(inputs, s, write)
-    path = _pathway(inputs, emissions, s, write)
+    population, emissions, gdp = _panels(inputs, s, write, unique)
+    path = _pathway(inputs, emissions, s, write, unique)
 
     write(
         "region_responsibility",
@@ -54,9 +57,10 @@ def region_run(inputs: Inputs, out: Results, settings: Settings = Settings()) ->
             inputs.table("national_pledges"), inputs.table("extra_pledges"), s.pledge_category
         ),
     )
+    write("region_violations", unique.violations())
 
 
-def _panels(inputs: Inputs, s: Settings, write) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _panels(inputs: Inputs, s: Settings, write, unique: Uniqueness) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Screened population, emissions and GDP; the unscreened population is kept as well."""
     stitched = panel.stitch_eras(
         inputs.table("region_population_early"),
@@ -68,11 +72,17 @@ def _panels(inputs: Inputs, s: Settings, write) -> tuple[DataFrame, DataFrame, D
     write("region_zero_population", panel.zero_count_census(stitched))
     population = write("region_population", panel.round_population(stitched))
     gdp = inputs.table("region_gdp")
-    totals = panel.co2e_total(
-        inputs.table("region_emissions"),
-        ["country", "region", "name", "sector"],
-        since=s.panel_start,
-        missing=s.missing_gas,
+    for name, df in (("region_population", population), ("region_gdp", gdp)):
+        unique.report(name, df, ["country", "region", "year"])
+    # read for the profile and again for the screened emissions, so the lines are summed once
+    totals = shared_table(
+        panel.co2e_total(
+            inputs.table("region_emissions"),
+            ["country", "region", "name", "sector"],
+            since=s.panel_start,
+            missing=s.missing_gas,
+        ),
+        "region_totals",
     )
     profile = write(
         "region_profile",
@@ -84,6 +94,7 @@ def _panels(inputs: Inputs, s: Settings, write) -> tuple[DataFrame, DataFrame, D
     ]
     if s.micro_codes:
         screens.append((panel.code_screen(profile, s.micro_codes), "country"))
+    screens = panel.screened_ids(screens)
     write("coverage", panel.coverage_share(panel.apply_screens(profile, screens)))
     return (
         write("region_population_screened", panel.apply_screens(population, screens)),
@@ -92,16 +103,22 @@ def _panels(inputs: Inputs, s: Settings, write) -> tuple[DataFrame, DataFrame, D
     )
 
 
-def _pathway(inputs: Inputs, emissions: DataFrame, s: Settings, write) -> DataFrame:
-    sheet = pathway.select_pathways(inputs.sheet(s.sheet_ids), s.sheet_region)
-    if sheet.isEmpty():
+def _pathway(inputs: Inputs, emissions: DataFrame, s: Settings, write, unique: Uniqueness) -> DataFrame:
+    wide = inputs.sheet(s.sheet_ids)
+    catalogue = write(
+        "pathway_catalogue", pathway.pathway_catalogue(wide, s.sheet_region, s.temperature, s.levels()), partition_by=()
+    )
+    if catalogue.isEmpty():
         raise ValueError(f"the scenario sheet has no rows of region {s.sheet_region}")
+    sheet = pathway.select_pathways(wide, catalogue)
+    landuse = unique.one_per_key("landuse", inputs.table("landuse").select("temperature", "year", "landuse_mt"), ["temperature", "year"])
     parts = pathway.decompose_pathway(
         pathway.net_pathway(sheet, s.sheet_ids, since=s.pathway_start),
         pathway.removal_pathway(sheet, s.sheet_ids, since=s.pathway_start),
-        pathway.pick_landuse(inputs.table("landuse"), s.temperature),
+        pathway.landuse_by_scenario(landuse, catalogue),
     )
     path = write("pathway", parts)
+    unique.report("pathway", path, [pathway.SCENARIO, "year"])
     write("pathway_unmatched_years", unmatched_pathway_years(path), partition_by=())
     write("world_history", pathway.world_history(emissions))
     write("history_and_pathway", pathway.history_and_pathway_long(emissions, path))

@@ -17,6 +17,8 @@ class Settings:
     first_boundary: int = 2000
     second_boundary: int = 2020
     temperature: float = 2.0
+    # warming level by scenario, as "scenario=level"; the others take ``temperature``
+    scenario_levels: tuple[str, ...] = ()
     min_population: float = 100
     profile_years: float = 53
     micro_codes: tuple[str, ...] = ()
@@ -31,3 +33,11 @@ class Settings:
     display_countries: tuple[str, ...] = ()
     dropped_codes: tuple[str, ...] = ()
     missing_gas: float | None = None
+    # "pledge" or "observed": the second point of entities with a single target
+    anchor: str = "pledge"
+    rollup_to_sovereigns: bool = False
+    strict_ambition: bool = False
+
+    def levels(self) -> dict[str, float]:
+        pairs = (text.rsplit("=", 1) for text in self.scenario_levels)
+        return {scenario: float(level) for scenario, level in pairs}

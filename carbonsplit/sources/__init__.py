@@ -1,8 +1,17 @@
 """Reading inputs, writing results, and cutting lineage at shared tables."""
 
-from carbonsplit.sources.shared import shared_folder, shared_table
+from carbonsplit.sources.shared import (
+    passing_tables,
+    release_tables,
+    shared_folder,
+    shared_path,
+    shared_table,
+    written_tables,
+)
 from carbonsplit.sources.tables import (
     SCHEMAS,
+    counted_csv,
+    counted_sheet,
     read_csv,
     read_parquet,
     rename_to_domain,
@@ -12,11 +21,17 @@ from carbonsplit.sources.tables import (
 
 __all__ = [
     "SCHEMAS",
+    "counted_csv",
+    "counted_sheet",
+    "passing_tables",
     "read_csv",
     "read_parquet",
+    "release_tables",
     "rename_to_domain",
     "shared_folder",
+    "shared_path",
     "shared_table",
     "wide_sheet",
     "write_result",
+    "written_tables",
 ]

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+# Folders written by this process and not yet given back, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +36,64 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     one computation.  The schema is passed on, so no inference job runs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/carbonsplit/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, remembered for ``release_tables``."""
+    path = f"{shared_folder(spark)}/carbonsplit/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written_tables(spark: SparkSession) -> list[str]:
+    """Folders of the intermediate tables that this session holds."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def release_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove intermediate tables; frames that start from them must not be used any more."""
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in list(paths):
+        drop_folder(spark, path)
+        if path in held:
+            held.remove(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed on the way out, also after an error."""
+    before = set(written_tables(spark))
+    try:
+        yield
+    finally:
+        release_tables(spark, [p for p in written_tables(spark) if p not in before])
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(_hadoop(spark).Path(path), True)
+
+
+def swap_folder(spark: SparkSession, new: str, place: str) -> None:
+    """Put the folder ``new`` at ``place``; what was there goes only when the new one is in."""
+    files, path = _files(spark, place), _hadoop(spark).Path
+    old = f"{place}.old-{uuid.uuid4().hex}"
+    there = files.exists(path(place))
+    if there and not files.rename(path(place), path(old)):
+        raise OSError(f"cannot move {place}")
+    if not files.rename(path(new), path(place)):
+        if there:
+            files.rename(path(old), path(place))
+        raise OSError(f"cannot put {new} at {place}")
+    if there:
+        files.delete(path(old), True)
+
+
+def _hadoop(spark: SparkSession):
+    return spark._jvm.org.apache.hadoop.fs
+
+
+def _files(spark: SparkSession, path: str):
+    return _hadoop(spark).Path(path).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -123,3 +123,38 @@ def test_index_to_base_year(frame, rows):
     ]
     without_base = enrich.index_to_base_year(enriched(frame).where("year = 2030"), "region", 2022)
     assert {r[0] for r in rows(without_base, "resp_index")} == {None}
+
+
+def test_rollups_of_all_levels_from_one_pass(frame, rows):
+    columns = "scenario_id string, country string, `group` string, class_region string, year int, resp_mt double, capc_mt double, population double"
+    df = frame(
+        columns,
+        ("s", "A", "g", "X", 2020, 1.0, 2.0, 10.0), ("s", "A", "g", "X", 2020, 3.0, None, 10.0),
+        ("s", "B", None, None, 2020, 5.0, 6.0, 0.0), ("s", "B", "g", "X", 2021, 7.0, 8.0, None), (None, None, "h", "Y", 2021, 1.0, 1.0, 1.0),
+    )
+    once = enrich.rollup_levels(df)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1
+    for level, by in (("country", "country"), ("group", "group")):
+        want = enrich.rollup_per_capita(df, [by, "year"])
+        assert rows(enrich.roll_up(once, level), *want.columns) == rows(want)
+    by_class = enrich.roll_up(once, "class").where("class_region IS NOT NULL")
+    want = enrich.rollup_by_class(df)
+    assert rows(by_class, *want.columns) == rows(want)
+
+
+def test_geometry_is_moved_once_per_unit(spark, frame, rows):
+    layer = frame("region string, name string, geometry binary", ("a", "A", b"1"), ("b", "B", b"2"))
+    values = frame("region string, scenario_id string, name string, x double", ("a", "s", "?", 1.0), ("a", "t", "?", 2.0), ("c", "s", "?", 3.0))
+    got = enrich.attach_to_layer(layer, values, ["region"])
+    assert got.columns == ["region", "name", "geometry", "scenario_id", "x"]
+    assert rows(got, "region", "name", "scenario_id", "x") == [("a", "A", "s", 1.0), ("a", "A", "t", 2.0), ("b", "B", None, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = enrich.attach_to_layer(layer, values, ["region"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    explode = next(n for n, line in enumerate(lines) if "Generate" in line)
+    # exchanges lie below the step that takes the values apart again
+    assert all(n > explode for n, line in enumerate(lines) if "Exchange" in line)

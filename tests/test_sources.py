@@ -1,9 +1,12 @@
+import os
+
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from carbonsplit.plans.inputs import Inputs, Results
 from carbonsplit.sources import (
     SCHEMAS,
+    passing_tables,
     read_csv,
     read_parquet,
     rename_to_domain,
@@ -11,6 +14,7 @@ from carbonsplit.sources import (
     shared_table,
     wide_sheet,
     write_result,
+    written_tables,
 )
 
 
@@ -98,3 +102,45 @@ def test_shared_table_lives_in_the_checkpoint_folder(spark):
     assert table.count() == 5
     assert all(folder.split(":")[-1] in f for f in table.inputFiles())
     assert "Range" not in table._jdf.queryExecution().toString()
+
+def test_bad_cells_are_counted_in_the_pass_that_reads(spark, tmp_path, rows):
+    (tmp_path / "extra_pledges.csv").write_text("iso,when,value\nAAA,2030.0,1.5\nBBB,n/a,\nCCC,2031,x\nDDD,,2\n")
+    inputs = Inputs(spark, str(tmp_path), columns={"extra_pledges": {"iso": "country", "when": "year"}})
+    assert inputs.unparsed().count() == 0
+    for _ in range(2):  # the second read starts from the parsed table
+        assert rows(inputs.table("extra_pledges")) == [("AAA", 2030, 1.5), ("BBB", None, None), ("CCC", 2031, None), ("DDD", None, 2.0)]
+    assert rows(inputs.unparsed()) == [("extra_pledges", "value", 4, 1), ("extra_pledges", "year", 4, 1)]
+
+
+def test_bad_cells_of_a_sheet(spark, tmp_path, rows):
+    (tmp_path / "scenario_sheet.csv").write_text("Model,scenario_id,2020,2025\nm,15,1.0,-\nm,20,,3\n")
+    inputs = Inputs(spark, str(tmp_path), columns={"scenario_sheet": {"Model": "model"}})
+    assert rows(inputs.sheet(("model", "scenario_id"))) == [("m", "15", 1.0, None), ("m", "20", None, 3.0)]
+    assert rows(inputs.unparsed(), "column", "n_cells") == [("2020", 0), ("2025", 1)]
+
+
+def test_parquet_with_names_of_its_own(spark, tmp_path, rows):
+    spark.sql("SELECT 'A' AS iso, 'A.1' AS region, 2020L AS year, 5 AS gdp, 1 AS more").write.parquet(str(tmp_path / "region_gdp.parquet"))
+    got = Inputs(spark, str(tmp_path), columns={"region_gdp": {"iso": "country"}}).table("region_gdp")
+    assert got.schema == SCHEMAS["region_gdp"] and rows(got) == [("A", "A.1", 2020, 5.0)]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path, rows):
+    path = str(tmp_path / "series")
+    write_result(spark.range(3).toDF("n"), path)
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("n"))
+    with pytest.raises(Exception, match="no"):
+        write_result(broken, path)
+    assert rows(spark.read.parquet(path)) == [(0,), (1,), (2,)]
+    write_result(spark.range(1).toDF("n"), path)
+    assert rows(spark.read.parquet(path)) == [(0,)]
+    assert not [f for f in os.listdir(tmp_path) if ".old-" in f]
+
+
+def test_intermediate_tables_are_removed(spark):
+    with pytest.raises(KeyError), passing_tables(spark):
+        inside = shared_table(spark.range(2), "numbers")
+        folder = written_tables(spark)[-1]
+        assert inside.count() == 2 and os.path.isdir(folder.removeprefix("file:"))
+        raise KeyError
+    assert folder not in written_tables(spark) and not os.path.exists(folder.removeprefix("file:"))
