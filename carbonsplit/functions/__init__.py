@@ -1,6 +1,7 @@
 """Column expressions shared by the operators."""
 
 from carbonsplit.functions.aggregates import (
+    grouped_by_level,
     skipping_mean,
     skipping_sum,
     strict_max,
@@ -17,6 +18,7 @@ from carbonsplit.functions.scalars import (
 
 __all__ = [
     "clamp",
+    "grouped_by_level",
     "is_finite",
     "per_capita",
     "ratio",

@@ -8,7 +8,9 @@ aggregates, so they keep partial (map-side) aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _when_complete(col: Column, value: Column) -> Column:
@@ -45,3 +47,24 @@ def skipping_mean(col: Column | str) -> Column:
 
 def _column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
+
+
+def grouped_by_level(
+    df: DataFrame, common: Sequence[str], levels: Mapping[str, Sequence[str]], aggregates: Sequence[Column]
+) -> DataFrame:
+    """Several groupings of one frame from one scan and one shuffle, by grouping sets.
+
+    Every level groups by ``common`` and its own columns; ``level`` names it, and the
+    columns of the other levels are null in its rows.
+    """
+    by = list(dict.fromkeys(c for columns in levels.values() for c in columns))
+    everything = [*common, *by]
+    sets = [[F.col(c) for c in (*common, *columns)] for columns in levels.values()]
+    summed = df.groupingSets(sets, *[F.col(c) for c in everything]).agg(F.grouping_id().alias("_set"), *aggregates)
+    # the grouping id has a bit for every column that a set leaves out
+    level = F.lit(None).cast("string")
+    for name, columns in levels.items():
+        left_out = [n for n, c in enumerate(everything) if c not in common and c not in columns]
+        bits = sum(1 << (len(everything) - 1 - n) for n in left_out)
+        level = F.when(F.col("_set") == bits, name).otherwise(level)
+    return summed.withColumn("level", level).drop("_set")

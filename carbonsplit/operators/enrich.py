@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from carbonsplit.functions import per_capita, ratio, skipping_mean, skipping_sum
+from carbonsplit.functions import grouped_by_level, per_capita, ratio, skipping_mean, skipping_sum
 from carbonsplit.operators.gaps import COUNTRY_PREFIX
 from carbonsplit.operators.joins import compact_join
 from carbonsplit.operators.pathway import SCENARIO
@@ -149,27 +149,13 @@ def rollup_levels(
     ``level`` names the roll-up of a row; the columns that it is not grouped by are
     null.  ``roll_up`` takes one of them out again.
     """
-    common = [*keys, "year"]
-    by = list(dict.fromkeys(c for columns in levels.values() for c in columns))
-    everything = [*common, *by]
-    sets = [[F.col(c) for c in (*common, *columns)] for columns in levels.values()]
-    summed = df.groupingSets(sets, *[F.col(c) for c in everything]).agg(
-        F.grouping_id().alias("_set"),
-        *[skipping_sum(m).alias(m) for m in MEASURES],
-        skipping_sum("population").alias("population"),
-    )
-    # the grouping id has a bit for every column that a set leaves out
-    level = F.lit(None).cast("string")
-    for name, columns in levels.items():
-        bits = sum(1 << (len(everything) - 1 - n) for n, c in enumerate(everything) if c not in (*common, *columns))
-        level = F.when(F.col("_set") == bits, name).otherwise(level)
-    return summed.withColumns(
+    sums = [skipping_sum(m).alias(m) for m in (*MEASURES, "population")]
+    return grouped_by_level(df, [*keys, "year"], levels, sums).withColumns(
         {
-            "level": level,
             "resp_t_pc": per_capita(F.col("resp_mt"), F.col("population")),
             "capc_t_pc": per_capita(F.col("capc_mt"), F.col("population")),
         }
-    ).drop("_set")
+    )
 
 
 def roll_up(rollups: DataFrame, level: str, levels: Mapping[str, Sequence[str]] = ROLLUP_LEVELS, keys: Sequence[str] = (SCENARIO,)) -> DataFrame:

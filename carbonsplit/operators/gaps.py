@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from carbonsplit.functions import clamp, is_finite, ratio, skipping_sum, strict_sum
+from carbonsplit.functions import clamp, grouped_by_level, is_finite, ratio, skipping_sum, strict_sum
 from carbonsplit.operators.joins import compact_join
 from carbonsplit.operators.pathway import SCENARIO
 
@@ -75,6 +75,27 @@ def rollup_gap(
     )
 
 
+GAP_LEVELS: Mapping[str, Sequence[str]] = {"country": ("country",), "sovereign": ("sovereign",)}
+
+
+def rollup_gap_levels(
+    gap: DataFrame,
+    sovereigns: DataFrame,
+    entity: str = "region",
+    prefix: int = COUNTRY_PREFIX,
+    keys: Sequence[str] = (SCENARIO,),
+) -> DataFrame:
+    """Sums of gap and value per country and per sovereign from one pass; ``level`` tells them apart.
+
+    A country without a sovereign is its own.
+    """
+    rows = gap.withColumn("country", F.substring(entity, 1, prefix)).where(F.col("country").isNotNull())
+    rows = compact_join(rows, sovereigns.select("country", "sovereign"), ["country"], "left")
+    rows = rows.withColumn("sovereign", F.coalesce("sovereign", "country"))
+    sums = [skipping_sum(m).alias(m) for m in ("gap_mt", "value_mt")]
+    return grouped_by_level(rows, [*keys, "year"], GAP_LEVELS, sums)
+
+
 def rollup_pct_gap(
     gap: DataFrame,
     entity: str = "region",

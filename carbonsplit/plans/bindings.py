@@ -13,7 +13,17 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from carbonsplit.operators import capacity, cities, enrich, panel, pathway, responsibility, targets
-from carbonsplit.sources import read_parquet, shared_table
+from carbonsplit.operators.constraints import Uniqueness
+from carbonsplit.sources import (
+    SCHEMAS,
+    bucketed_table,
+    counted_csv,
+    read_parquet,
+    release_tables,
+    shared_path,
+    shared_table,
+    written_tables,
+)
 
 CUTOFF = 1998
 BASE_YEAR = 1998
@@ -35,6 +45,12 @@ SMALL_POPULATION = 8
 RATIO_LO, RATIO_HI = 0.3, 0.4
 MICRO_CODES = ("021", "022")
 DROPPED_SOVEREIGNS = ("010",)
+# Warming levels that scenarios name, between those of the land-use table.
+SCENARIO_LEVELS = {"s15": 1.6, "s30": 2.7}
+# Tables of one row or more per city, kept in buckets of the city.
+BY_CITY = frozenset(
+    {"city_year", "city_history_table", "city_responsibility", "city_wide", "city_capacity", "city_attributed", "city_targets"}
+)
 DISPLAY_COUNTRIES = ("007", "003", "018", "001")
 
 
@@ -45,6 +61,7 @@ class Star:
         self.spark = spark
         self.folder = folder
         self._stored: dict[str, DataFrame] = {}
+        self._folders: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
         return read_parquet(self.spark, f"{self.folder}/{name}.parquet")
@@ -56,9 +73,18 @@ class Star:
         computed once and the plans after it start from files.
         """
         if name not in self._stored:
-            self._stored[name] = shared_table(getattr(self, name), name)
+            frame = getattr(self, name)
+            before = set(written_tables(self.spark))
+            self._stored[name] = bucketed_table(frame, name, "city") if name in BY_CITY else shared_table(frame, name)
+            self._folders |= set(written_tables(self.spark)) - before
         return self._stored[name]
 
+    def close(self) -> None:
+        """Remove the stored tables; frames of this object must not be used any more."""
+        release_tables(self.spark, self._folders)
+        self._folders.clear()
+        self._stored.clear()
+
     # -- base tables ---------------------------------------------------------
 
     @cached_property
@@ -141,8 +167,16 @@ class Star:
         unknown = (F.col("country") == "024") & (F.col("gas") == "CH4")
         return rows.withColumn("amount_t", F.when(~unknown, F.col("amount_t")))
 
-    @cached_property
+    @property
     def history(self) -> DataFrame:
+        return self.stored("history_table")
+
+    @property
+    def city_history(self) -> DataFrame:
+        return self.stored("city_history_table")
+
+    @cached_property
+    def history_table(self) -> DataFrame:
         """Regional history with unreported gases taken as zero."""
         long = _gas_rows(
             self.stored("region_year").withColumn("sector", F.lit("TOTAL")),
@@ -190,6 +224,10 @@ class Star:
 
     @cached_property
     def screens(self) -> list[tuple[DataFrame, str]]:
+        """The ids that any screen lists, written once for all frames that are screened."""
+        return panel.screened_ids(self._screens())
+
+    def _screens(self) -> list[tuple[DataFrame, str]]:
         return [
             (
                 panel.small_population_screen(
@@ -258,6 +296,48 @@ class Star:
             .agg(F.sum("value"))
         )
 
+    @cached_property
+    def sheet_of_models(self) -> DataFrame:
+        """The sheet with a second model, a second region, and a scenario that one model alone has."""
+        copies = F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(m).alias("model"), F.lit(r).alias("region"), F.lit(f).alias("factor"), F.lit(n).alias("name"))
+                    for m, r, f, n in (
+                        ("star", "World", 1.0, ""),
+                        ("nova", "World", 1.137, ""),
+                        ("star", "Europe", 0.25, ""),
+                        ("nova", "World", 1.511, "s30"),
+                    )
+                ]
+            )
+        )
+        rows = self.sheet.withColumn("c", copies).where((F.col("c.name") == "") | (F.col("scenario_id") == WIDE))
+        return rows.select(
+            F.col("c.model").alias("model"),
+            F.when(F.col("c.name") != "", F.col("c.name")).otherwise(F.col("scenario_id")).alias("scenario_id"),
+            F.col("c.region").alias("region"),
+            "unit",
+            "variable",
+            *[(F.col(str(y)) * F.col("c.factor")).alias(str(y)) for y in ANCHOR_YEARS],
+        )
+
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        return pathway.pathway_catalogue(self.sheet_of_models, "World", LEVEL, SCENARIO_LEVELS)
+
+    @cached_property
+    def sheet_by_pathway(self) -> DataFrame:
+        return pathway.select_pathways(self.sheet_of_models, self.stored("catalogue"))
+
+    @cached_property
+    def pathway_of_models(self) -> DataFrame:
+        return pathway.decompose_pathway(
+            pathway.net_pathway(self.sheet_by_pathway, SHEET_IDS, since=PATHWAY_START),
+            pathway.removal_pathway(self.sheet_by_pathway, SHEET_IDS, since=PATHWAY_START),
+            pathway.landuse_by_scenario(self.landuse_table, self.stored("catalogue")),
+        )
+
     @cached_property
     def landuse_table(self) -> DataFrame:
         """Land-use series per warming level."""
@@ -334,7 +414,7 @@ class Star:
         return _gas_rows(rows, ["city", "sector"], {**GAS_NAMES, "bio_t": "CO2bio"})
 
     @cached_property
-    def city_history(self) -> DataFrame:
+    def city_history_table(self) -> DataFrame:
         return panel.co2e_total(
             self.city_emissions_long, ["city", "sector"], since=PANEL_START, missing=0.0
         )
@@ -397,6 +477,32 @@ class Star:
     def names(self) -> DataFrame:
         return self.stored("region_year").select("region", "name").distinct()
 
+    @cached_property
+    def several_names(self) -> DataFrame:
+        """Region names with a second one for the regions of every third country."""
+        second = self.names.where(F.substring("region", 1, 3).cast("int") % 3 == 0)
+        return self.names.unionByName(second.withColumn("name", F.concat(F.lit("A "), "name")))
+
+    def unique_names(self) -> tuple[DataFrame, DataFrame]:
+        """One name per region, and the regions that had several."""
+        unique = Uniqueness()
+        return unique.one_per_key("region_names", self.several_names, ["region"]), unique.violations()
+
+    def scanned_csv(self) -> tuple[DataFrame, dict[str, int]]:
+        """Pledges written as CSV with columns of other names and cells that are no numbers, and read back."""
+        key = F.col("custkey")
+        path = shared_path(self.spark, "pledges-csv")
+        text = self.customers.select(
+            F.col("country").alias("iso"),
+            F.when(key % 7 == 0, "n/a").when(key % 5 == 0, "2030.0").otherwise("2030").alias("when"),
+            F.when(key % 13 == 0, "x").when(key % 11 != 0, F.col("balance").cast("string")).alias("amount"),
+            F.col("city_name").alias("more"),
+        )
+        text.write.option("header", True).csv(path)
+        names = {"iso": "country", "when": "year", "amount": "value"}
+        rows, seen = counted_csv(self.spark, path, SCHEMAS["extra_pledges"], names)
+        return shared_table(rows, "pledges"), dict(seen.get)
+
     @cached_property
     def classes(self) -> DataFrame:
         """Class region and income group; country 017 has neither, 013 no income group."""

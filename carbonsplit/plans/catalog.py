@@ -11,6 +11,7 @@ from carbonsplit.operators import (
     breaks,
     capacity,
     cities,
+    constraints,
     enrich,
     gaps,
     panel,
@@ -18,6 +19,7 @@ from carbonsplit.operators import (
     responsibility,
     targets,
 )
+from carbonsplit.operators.joins import compact_join
 from carbonsplit.plans import bindings as b
 from carbonsplit.plans.bindings import Star
 
@@ -64,8 +66,12 @@ def present(df: DataFrame) -> DataFrame:
 STORED = (
     "city_year",
     "region_year",
+    "history_table",
+    "city_history_table",
     "profile",
     "pathway",
+    "catalogue",
+    "pathway_of_models",
     "region_responsibility",
     "country_capacity",
     "region_capacity_wide",
@@ -97,6 +103,22 @@ def registered(*known: Star) -> dict[str, Callable[[SparkSession, str], DataFram
     return {name: runner(fn) for name, fn in _REGISTRY.items()}
 
 
+# -- sources ---------------------------------------------------------------------
+
+
+@query
+def p02_csv_scan(s: Star) -> DataFrame:
+    return s.scanned_csv()[0]
+
+
+@query
+def p02_unparsed_cells(s: Star) -> DataFrame:
+    """Cells of a CSV that held text but no value, as the scan counted them."""
+    counts = s.scanned_csv()[1]
+    rows = [(c, counts["n_rows"], n) for c, n in counts.items() if c != "n_rows"]
+    return s.spark.createDataFrame(rows, "column string, n_rows long, n_cells long")
+
+
 # -- panel ---------------------------------------------------------------------
 
 
@@ -186,6 +208,37 @@ def d11_melt_scenario(s: Star) -> DataFrame:
     return pathway.melt_scenario(s.sheet, b.SHEET_IDS, b.PATHWAY_START)
 
 
+@query
+def d11_pathway_catalogue(s: Star) -> DataFrame:
+    """Pathways of a sheet with two models, two regions and a scenario of one model only."""
+    return s.catalogue
+
+
+@query
+def d12_scenario_co2e_models(s: Star) -> DataFrame:
+    return pathway.scenario_co2e(pathway.melt_scenario(s.sheet_by_pathway, b.SHEET_IDS, b.PATHWAY_START))
+
+
+@query
+def d13_net_pathway_models(s: Star) -> DataFrame:
+    return pathway.net_pathway(s.sheet_by_pathway, b.SHEET_IDS, since=b.PATHWAY_START)
+
+
+@query
+def d14_removal_pathway_models(s: Star) -> DataFrame:
+    return pathway.removal_pathway(s.sheet_by_pathway, b.SHEET_IDS, since=b.PATHWAY_START)
+
+
+@query
+def d15_landuse_by_scenario(s: Star) -> DataFrame:
+    return pathway.landuse_by_scenario(s.landuse_table, s.stored("catalogue"))
+
+
+@query
+def d16_decompose_pathway_models(s: Star) -> DataFrame:
+    return s.pathway_of_models
+
+
 @query
 def d12_scenario_co2e(s: Star) -> DataFrame:
     return pathway.scenario_co2e(pathway.melt_scenario(s.sheet, b.SHEET_IDS, b.PATHWAY_START))
@@ -418,6 +471,12 @@ def d33_rollup_pct_gap_sovereign(s: Star) -> DataFrame:
     return gaps.rollup_pct_gap(gap, limit=20, sovereigns=s.sovereigns)
 
 
+@query
+def d33_rollup_gap_levels(s: Star) -> DataFrame:
+    """Countries and sovereigns from one aggregate."""
+    return gaps.rollup_gap_levels(_gap(s.stored("region_responsibility"), "region", b.CHECK_YEAR), s.sovereigns)
+
+
 @query
 def d34_sovereign_remap(s: Star) -> DataFrame:
     return enrich.sovereign_remap(s.region_layer, s.sovereigns, b.DROPPED_SOVEREIGNS)
@@ -438,6 +497,24 @@ def d35_attribute_entities_city(s: Star) -> DataFrame:
     return s.city_attributed
 
 
+@query
+def d35_name_violations(s: Star) -> DataFrame:
+    return s.unique_names()[1]
+
+
+@query
+def d35_attribute_entities_one_name(s: Star) -> DataFrame:
+    """Names that are not unique do not multiply rows."""
+    return enrich.attribute_entities(
+        s.stored("region_responsibility"),
+        s.stored("region_capacity"),
+        s.population,
+        s.classes,
+        s.members,
+        names=s.unique_names()[0],
+    )
+
+
 @query
 def d35_group_mean(s: Star) -> DataFrame:
     return enrich.with_group_mean(s.stored("region_attributed"))
@@ -463,6 +540,12 @@ def d36_rollup_by_class(s: Star) -> DataFrame:
     return enrich.rollup_by_class(s.stored("region_attributed"))
 
 
+@query
+def d36_rollup_levels(s: Star) -> DataFrame:
+    """Countries, groups and classes from one aggregate."""
+    return enrich.rollup_levels(s.stored("region_attributed"))
+
+
 @query
 def d36_year_slice(s: Star) -> DataFrame:
     grouped = enrich.rollup_per_capita(s.stored("region_attributed"), ["group", "year"])
@@ -490,6 +573,12 @@ def d37_index_city(s: Star) -> DataFrame:
     ), "city")
 
 
+@query
+def d37_base_year_violations(s: Star) -> DataFrame:
+    """Cities without exactly one row in the base year of the index."""
+    return constraints.base_row_counts(s.stored("city_attributed"), "city", b.BASE_YEAR)
+
+
 def _index(df: DataFrame, entity: str) -> DataFrame:
     return df.select(
         "scenario_id", entity, "year", "display_rank",
@@ -623,6 +712,17 @@ def d43_pair_scenarios_city(s: Star) -> DataFrame:
     return _paired(s.stored("city_attributed"), "city")
 
 
+@query
+def d43_pair_scenarios_models(s: Star) -> DataFrame:
+    """Responsibility on the pathways of two models, each model's scenarios side by side."""
+    series = responsibility.responsibility_wide(s.history, s.population, s.stored("pathway_of_models"), b.CUTOFF)
+    pathways = s.stored("catalogue").select("scenario_id", "model", "scenario")
+    rows = compact_join(series, pathways, ["scenario_id"]).select("model", "scenario", "region", "year", "allocation_mt")
+    return alignment.pair_scenarios(
+        rows, b.WIDE, b.TIGHT, ["model", "region", "year"], ["allocation_mt"], scenario="scenario"
+    )
+
+
 @query
 def d44_classify_alignment_region(s: Star) -> DataFrame:
     return _region_classes(s)

@@ -43,10 +43,18 @@ def _needed(sql: str) -> list[str]:
     return [s for s in _STEPS if s in wanted]
 
 
+def _mentions(step: str, needed: list[str], sql: str) -> int:
+    texts = [sql, *[_STEPS[s] for s in needed]]
+    return sum(re.findall(r"\w+", text).count(step) for text in texts)
+
+
 def statements() -> dict[str, str]:
+    """Statement per query; a step that is used more than once is worked out once."""
     result = {}
     for name, sql in _STATEMENTS.items():
-        steps = ",\n".join(f"{s} AS ({_STEPS[s]})" for s in _needed(sql))
+        needed = _needed(sql)
+        kept = {s: "MATERIALIZED " if _mentions(s, needed, sql) > 1 else "" for s in needed}
+        steps = ",\n".join(f"{s} AS {kept[s]}({_STEPS[s]})" for s in needed)
         result[name] = f"WITH {steps}\n{sql}"
     return result
 
@@ -370,6 +378,100 @@ _statement(
     "year",
     "net_mt removal_mt landuse_mt net_excl_landuse_mt positive_mt",
 )
+
+# -- sources ---------------------------------------------------------------------
+
+_step(
+    "csv_rows",
+    """
+    SELECT country, CASE WHEN custkey % 7 <> 0 THEN 2030 END AS year,
+      CASE WHEN custkey % 13 <> 0 AND custkey % 11 <> 0 THEN balance END AS value,
+      custkey % 7 = 0 AS bad_year, custkey % 13 = 0 AS bad_value
+    FROM cust""",
+)
+_STATEMENTS["p02_csv_scan"] = (
+    "SELECT country, CAST(year AS BIGINT) AS year, CASE WHEN value = 0 THEN 0.0 ELSE value END AS value FROM csv_rows"
+)
+_statement(
+    "p02_unparsed_cells",
+    """(SELECT 'year' AS "column", count(*) AS n_rows, count(*) FILTER (bad_year) AS n_cells FROM csv_rows
+    UNION ALL SELECT 'value', count(*), count(*) FILTER (bad_value) FROM csv_rows)""",
+    "column",
+    "n_rows n_cells",
+)
+
+# -- several models --------------------------------------------------------------
+
+_step(
+    "sheet_models",
+    """
+    SELECT v.model, CASE WHEN v.name <> '' THEN v.name ELSE scenario_id END AS scenario, v.region,
+      variable, year, value * v.factor AS value
+    FROM sheet_long CROSS JOIN (VALUES ('star', 'World', 1.0::DOUBLE, ''), ('nova', 'World', 1.137::DOUBLE, ''),
+      ('star', 'Europe', 0.25::DOUBLE, ''), ('nova', 'World', 1.511::DOUBLE, 's30')) AS v(model, region, factor, name)
+    WHERE v.name = '' OR scenario_id = 's20'""",
+)
+_step(
+    "pathway_ids",
+    """
+    SELECT CASE WHEN n > 1 THEN model || '|' || scenario ELSE scenario END AS scenario_id, model, scenario,
+      'World' AS region, CASE scenario WHEN 's15' THEN 1.6 WHEN 's30' THEN 2.7 ELSE 2.0 END AS temperature
+    FROM (SELECT DISTINCT model, scenario FROM sheet_models WHERE region = 'World')
+      JOIN (SELECT scenario, count(DISTINCT model) AS n FROM sheet_models WHERE region = 'World' GROUP BY 1)
+        USING (scenario)""",
+)
+_statement("d11_pathway_catalogue", "pathway_ids", "scenario_id model scenario region", "", "temperature")
+_step(
+    "model_values",
+    """
+    SELECT scenario_id, variable, year, value FROM sheet_models
+      JOIN pathway_ids USING (model, scenario, region)""",
+)
+_step(
+    "model_net_anchor",
+    """
+    SELECT scenario_id, year, sum(CASE variable WHEN 'Emissions|CH4' THEN value * 25
+      WHEN 'Emissions|N2O' THEN value / 1000 * 298 ELSE value END) AS value
+    FROM model_values WHERE year >= 1997 AND value <> 0 GROUP BY ALL""",
+)
+_statement("d12_scenario_co2e_models", "model_net_anchor", "scenario_id", "year", "value")
+_step(
+    "model_removal_anchor",
+    """
+    SELECT scenario_id, year, sum(value) / 10000 AS value FROM model_values
+    WHERE year >= 1997 AND value >= 0 GROUP BY ALL""",
+)
+_step("model_net_line", _line("model_net_anchor", "scenario_id"))
+_step("model_net", "SELECT scenario_id, year, value AS net_mt FROM model_net_line")
+_step("model_removal_line", _line("model_removal_anchor", "scenario_id"))
+_step("model_removal", "SELECT scenario_id, year, -value AS removal_mt FROM model_removal_line")
+_statement("d13_net_pathway_models", "model_net", "scenario_id", "year", "net_mt")
+_statement("d14_removal_pathway_models", "model_removal", "scenario_id", "year", "removal_mt")
+_step(
+    "model_landuse",
+    """
+    SELECT scenario_id, year, total / level AS landuse_mt
+    FROM (SELECT scenario_id, (SELECT arg_min(l, (abs(l - temperature), l))
+        FROM (VALUES (1.5::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) AS levels(l)) AS level FROM pathway_ids)
+      CROSS JOIN (SELECT year, CAST(sum(landuse) AS DOUBLE) / 1e7 AS total FROM city_gas GROUP BY 1)""",
+)
+_statement("d15_landuse_by_scenario", "model_landuse", "scenario_id", "year", "landuse_mt")
+_step(
+    "model_path",
+    """
+    SELECT scenario_id, year, net_mt, removal_mt, landuse_mt,
+      net_mt - landuse_mt AS net_excl_landuse_mt, net_mt - landuse_mt - removal_mt AS positive_mt
+    FROM model_net LEFT JOIN model_removal USING (scenario_id, year)
+      LEFT JOIN model_landuse USING (scenario_id, year)""",
+)
+_statement(
+    "d16_decompose_pathway_models",
+    "model_path",
+    "scenario_id",
+    "year",
+    "net_mt removal_mt landuse_mt net_excl_landuse_mt positive_mt",
+)
+
 _step("world_hist", f"SELECT year, {_strict('ghg_mt')} AS value_mt FROM hist GROUP BY 1")
 _statement(
     "d17_history_and_pathway_long",
@@ -433,7 +535,7 @@ _statement(
 # -- responsibility --------------------------------------------------------------
 
 
-def _responsibility(entity: str, hist: str, pop: str) -> str:
+def _responsibility(entity: str, hist: str, pop: str, fut: str = "fut", budget: str = "budget") -> str:
     return f"""
     SELECT scenario_id, {entity}, f.year, entity_hist, entity_population, world_hist,
       world_population, entity_population / nullif(world_population, 0) AS share,
@@ -447,7 +549,7 @@ def _responsibility(entity: str, hist: str, pop: str) -> str:
         USING ({entity})
       CROSS JOIN (SELECT {_strict('ghg_mt')} AS world_hist FROM {hist})
       CROSS JOIN (SELECT {_strict('population')} AS world_population FROM pop)
-      CROSS JOIN fut AS f JOIN budget USING (scenario_id)"""
+      CROSS JOIN {fut} AS f JOIN {budget} USING (scenario_id)"""
 
 
 _step("resp", _responsibility("region", "hist", "pop"))
@@ -696,6 +798,15 @@ _statement(
     "scenario_id country",
     *_PCT,
 )
+_step("rolled_country", _rolled("substr(region, 1, 3)"))
+_statement(
+    "d33_rollup_gap_levels",
+    """(SELECT 'country' AS level, scenario_id, country, NULL::VARCHAR AS sovereign, year, gap_mt, value_mt FROM rolled_country
+      UNION ALL SELECT 'sovereign', scenario_id, NULL, country, year, gap_mt, value_mt FROM rolled_sovereign)""",
+    "level scenario_id country sovereign",
+    "year",
+    "gap_mt value_mt",
+)
 _step(
     "map_units",
     """
@@ -764,6 +875,30 @@ for _query, _mean in (("attribute_entities", ""), ("group_mean", " group_mean_po
         _VALUES + _mean,
     )
 
+_statement(
+    "d35_name_violations",
+    """(SELECT DISTINCT 'region_names' AS "table", 'region' AS key, region AS value, 2 AS n_rows
+    FROM region_orders WHERE CAST(country AS INT) % 3 = 0)""",
+    "table key value",
+    "n_rows",
+)
+_statement(
+    "d35_attribute_entities_one_name",
+    """(SELECT * FROM region_enriched LEFT JOIN (
+      SELECT DISTINCT region, CASE WHEN CAST(country AS INT) % 3 = 0 THEN least(name, 'A ' || name) ELSE name END AS name
+      FROM region_orders) USING (region))""",
+    f"scenario_id region name {_ATTRIBUTES}",
+    "year",
+    _VALUES,
+)
+_statement(
+    "d37_base_year_violations",
+    """(SELECT scenario_id, city, count(*) FILTER (year = 1998) AS n_rows FROM city_enriched
+    GROUP BY ALL HAVING count(*) FILTER (year = 1998) <> 1)""",
+    "scenario_id city",
+    "n_rows",
+)
+
 
 def _per_capita(by: str) -> str:
     return f"""
@@ -777,6 +912,18 @@ def _per_capita(by: str) -> str:
 _step("country_rollup", _per_capita("country"))
 _step("group_rollup", _per_capita('"group"'))
 _ROLLUP = ("year", "resp_mt capc_mt population resp_t_pc capc_t_pc")
+_step("class_sums", _per_capita("class_region"))
+_statement(
+    "d36_rollup_levels",
+    """(SELECT 'country' AS level, scenario_id, country, NULL::VARCHAR AS "group", NULL::VARCHAR AS class_region, year,
+      resp_mt, capc_mt, population, resp_t_pc, capc_t_pc FROM country_rollup
+    UNION ALL SELECT 'group', scenario_id, NULL, "group", NULL, year,
+      resp_mt, capc_mt, population, resp_t_pc, capc_t_pc FROM group_rollup
+    UNION ALL SELECT 'class', scenario_id, NULL, NULL, class_region, year,
+      resp_mt, capc_mt, population, resp_t_pc, capc_t_pc FROM class_sums)""",
+    "level scenario_id country group class_region",
+    *_ROLLUP,
+)
 _statement("d36_rollup_per_capita_country", "country_rollup", "scenario_id country", *_ROLLUP)
 _statement("d36_rollup_per_capita_group", "group_rollup", "scenario_id group", *_ROLLUP)
 _statement(
@@ -1006,6 +1153,32 @@ def _pair(values: str, entity: str) -> str:
       LEFT JOIN (SELECT * FROM {values} WHERE scenario_id = 's15') AS t USING ({entity}, year)"""
 
 
+_step("model_fut", "SELECT * FROM model_path WHERE year > 1998")
+_step(
+    "model_budget",
+    f"""
+    SELECT scenario_id, {_strict('positive_mt')} AS positive_budget,
+      {_strict('removal_mt')} AS removal_budget
+    FROM model_fut GROUP BY 1""",
+)
+_step("model_resp", _responsibility("region", "hist", "pop", "model_fut", "model_budget"))
+_step(
+    "model_allocations",
+    """
+    SELECT model, scenario, m.region, year, positive_mt + removal_mt AS allocation_mt
+    FROM model_resp AS m JOIN pathway_ids USING (scenario_id)""",
+)
+_statement(
+    "d43_pair_scenarios_models",
+    """(SELECT w.model, w.region, w.year, w.allocation_mt AS allocation_mt_20, t.allocation_mt AS allocation_mt_15
+    FROM (SELECT * FROM model_allocations WHERE scenario = 's20') AS w
+      LEFT JOIN (SELECT * FROM model_allocations WHERE scenario = 's15') AS t USING (model, region, year))""",
+    "model region",
+    "year",
+    "allocation_mt_20 allocation_mt_15",
+)
+
+
 def _classes(entity: str, drop_null: bool) -> str:
     kept = "WHERE alignment IS NOT NULL" if drop_null else ""
     country = "" if entity == "country" else "t.country, "

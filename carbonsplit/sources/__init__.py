@@ -1,6 +1,7 @@
 """Reading inputs, writing results, and cutting lineage at shared tables."""
 
 from carbonsplit.sources.shared import (
+    bucketed_table,
     passing_tables,
     release_tables,
     shared_folder,
@@ -21,6 +22,7 @@ from carbonsplit.sources.tables import (
 
 __all__ = [
     "SCHEMAS",
+    "bucketed_table",
     "counted_csv",
     "counted_sheet",
     "passing_tables",

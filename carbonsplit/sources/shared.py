@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 # Folders written by this process and not yet given back, by application.
 _WRITTEN: dict[str, list[str]] = {}
+# Names under which bucketed tables are known to the catalog, by folder.
+_TABLES: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +43,23 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``shared_table`` in as many buckets of ``key`` as there are shuffle partitions.
+
+    Sums by the key (and more), and joins on it with a table bucketed alike, then need
+    no exchange.  Rows are moved to their bucket before writing, so each bucket is one
+    file; rows without a key are one bucket.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, name)
+    table = f"carbonsplit_{re.sub('[^a-z0-9]+', '_', path.rsplit('/', 1)[1].lower())}"
+    rows = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    rows.option("path", path).saveAsTable(table)
+    _TABLES[path] = table
+    return spark.table(table)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table, remembered for ``release_tables``."""
     path = f"{shared_folder(spark)}/carbonsplit/{name}-{uuid.uuid4().hex}"
@@ -57,6 +76,8 @@ def release_tables(spark: SparkSession, paths: Iterable[str]) -> None:
     """Remove intermediate tables; frames that start from them must not be used any more."""
     held = _WRITTEN.get(spark.sparkContext.applicationId, [])
     for path in list(paths):
+        if path in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         drop_folder(spark, path)
         if path in held:
             held.remove(path)

@@ -105,7 +105,7 @@ def _counted(raw: DataFrame, cells: Sequence[tuple[str, Column, Column, bool]])
         *[value.alias(place[name][1]) for name, _, value, _ in cells],
     )
     lost = [
-        F.count_if(F.col(place[name][0]).isNotNull() & F.col(place[name][1]).isNull()).alias(name)
+        F.count_if((F.trim(F.col(place[name][0])) != "") & F.col(place[name][1]).isNull()).alias(name)
         for name, _, _, is_text in cells
         if not is_text
     ]
