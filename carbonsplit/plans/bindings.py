@@ -49,7 +49,7 @@ DROPPED_SOVEREIGNS = ("010",)
 SCENARIO_LEVELS = {"s15": 1.6, "s30": 2.7}
 # Tables of one row or more per city, kept in buckets of the city.
 BY_CITY = frozenset(
-    {"city_year", "city_history_table", "city_responsibility", "city_wide", "city_capacity", "city_attributed", "city_targets"}
+    {"city_year", "city_map_table", "city_history_table", "city_responsibility", "city_wide", "city_capacity", "city_attributed", "city_targets"}
 )
 DISPLAY_COUNTRIES = ("007", "003", "018", "001")
 
@@ -425,8 +425,12 @@ class Star:
             "city", "year", F.col("n_orders").cast("double").alias("population")
         )
 
-    @cached_property
+    @property
     def city_map(self) -> DataFrame:
+        return self.stored("city_map_table")
+
+    @cached_property
+    def city_map_table(self) -> DataFrame:
         return self.customers.select("city", "region")
 
     @cached_property

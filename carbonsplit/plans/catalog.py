@@ -67,6 +67,7 @@ STORED = (
     "city_year",
     "region_year",
     "history_table",
+    "city_map_table",
     "city_history_table",
     "profile",
     "pathway",

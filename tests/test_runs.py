@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from carbonsplit.__main__ import main
-from carbonsplit.operators import capacity, responsibility
+from carbonsplit.operators import alignment, capacity, responsibility, targets
 from carbonsplit.plans import bindings as b
+from carbonsplit.plans.analysis_run import _paired_models
 from carbonsplit.plans.bindings import Star
 from carbonsplit.plans.inputs import CSV_TABLES, Results
+from carbonsplit.plans.settings import Settings
 from carbonsplit.sources import SCHEMAS
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,7 +75,15 @@ def out(spark, star, gdp, tmp_path_factory):
             df.toPandas().to_csv(folder / f"{name}.csv", index=False)
         else:
             df.write.parquet(str(folder / f"{name}.parquet"))
-    star.sheet.toPandas().to_csv(folder / "scenario_sheet.csv", index=False)
+    sheet = star.sheet_of_models.withColumnsRenamed({"model": "Model", "scenario_id": "Scenario", "region": "Region"})
+    sheet.toPandas().to_csv(folder / "scenario_sheet.csv", index=False)
+    # names of a file's own, a class row too many and two cells that are no numbers
+    text = (folder / "classes.csv").read_text().replace("country,", "iso,", 1).replace(",country", ",iso", 1)
+    (folder / "classes.csv").write_text(text + text.splitlines()[1] + "\n")
+    (folder / "extra_pledges.csv").open("a").write("024,20x0,1.0\n024,2010,-\n")
+    (folder / "columns.json").write_text(
+        '{"classes": {"iso": "country"}, "scenario_sheet": {"Model": "model", "Scenario": "scenario_id", "Region": "region"}}'
+    )
     results = str(tmp_path_factory.mktemp("results"))
     main(
         [
@@ -84,7 +94,9 @@ def out(spark, star, gdp, tmp_path_factory):
             "--min-population", "0", "--ratio-lo", "0.3", "--ratio-hi", "0.4",
             "--tight-scenario", "s15", "--wide-scenario", "s20", "--missing-gas", "0",
             "--sheet-ids", *b.SHEET_IDS, "--display-countries", "007", "003",
-            "--dropped-codes", "010",
+            "--dropped-codes", "010", "--columns", str(folder / "columns.json"),
+            "--scenario-levels", "s15=1.6", "s30=2.7", "--rollup-to-sovereigns", "--strict-ambition",
+            "--anchor", "observed",
         ]
     )
     return Results(spark, results)
@@ -107,14 +119,16 @@ def same(got, want, keys):
 def test_panels_and_pathway(out, star):
     same(out.read("region_population"), star.population, ["region", "year"])
     same(out.read("region_emissions"), star.history, ["region", "year"])
-    same(out.read("pathway"), star.pathway, ["scenario_id", "year"])
+    same(out.read("pathway"), star.pathway_of_models, ["scenario_id", "year"])
+    same(out.read("pathway_catalogue"), star.catalogue, ["scenario_id"])
     assert out.read("pathway_unmatched_years").count() == 0
     assert out.read("coverage").collect()[0].covered_pct == pytest.approx(100.0)
 
 
 def test_series(out, star, gdp):
-    same(out.read("region_responsibility"), star.region_responsibility, ["region"])
-    path = star.stored("pathway")
+    path = star.stored("pathway_of_models")
+    want = responsibility.responsibility_total(star.history, star.population, path, 1998)
+    same(out.read("region_responsibility"), want, ["region"])
     country = capacity.capacity_country_wide(star.population, gdp, path, 1998)
     same(out.read("country_capacity_wide"), country, ["country"])
     region = capacity.capacity_region_wide(star.population, gdp, country, path, 1998)
@@ -140,18 +154,51 @@ def test_capacity_adds_up_at_both_levels(out):
 
 
 def test_targets_and_classes(out, star):
-    same(out.read("region_targets"), star.region_targets, ["region"])
-    same(out.read("city_targets"), star.city_targets, ["city"])
-    same(out.read("country_targets"), star.country_targets, ["country"])
-    summary = out.read("alignment_summary").collect()
+    same(out.read("country_targets").where("year < 2010"), star.country_targets, ["country"])
+    observed = star.history.select("region", "year", (F.col("ghg_mt") * F.lit(1e6)).alias("value"))
+    anchors = targets.anchor_single_targets(star.region_points, year=1998, anchor="observed", history=observed)
+    same(out.read("region_targets"), targets.target_trajectory(star.region_points, anchors), ["region"])
     totals = {}
-    for r in summary:
-        totals[r.entity_type] = totals.get(r.entity_type, 0) + r.percent
-    assert set(totals) == {"Region", "Country", "City"}
+    for r in out.read("alignment_summary").collect():
+        totals[r.model, r.entity_type] = totals.get((r.model, r.entity_type), 0) + r.percent
+    assert set(totals) == {(m, e) for m in ("star", "nova") for e in ("Region", "Country", "City")}
     assert all(v == pytest.approx(100, abs=0.05) for v in totals.values())
     assert out.read("city_alignment").columns[-2:] == ["lon", "lat"]
 
 
+def test_classes_of_each_model(out, star):
+    """Both models are classed, each as if it were alone."""
+    attributed = out.read("region_attributed")
+    for model in ("star", "nova"):
+        alone = attributed.where(F.col("scenario_id").startswith(f"{model}|"))
+        paired = alignment.pair_scenarios(
+            alone.select("scenario_id", "region", "year", "resp_mt", "capc_mt"), f"{model}|s20", f"{model}|s15", ["region", "year"]
+        )
+        want = alignment.classify_alignment(paired, out.read("region_targets"), "region", 2000, False)
+        same(out.read("region_alignment").where(F.col("model") == model).drop("model"), want, ["region"])
+
+
+def test_reports(out):
+    cells = {(r.table, r.column): r.n_cells for r in out.read("input_unparsed").where("n_cells > 0").collect()}
+    assert cells == {("extra_pledges", "year"): 1, ("extra_pledges", "value"): 1}
+    broken = {(r.table, r.key): r.n_rows for r in out.read("analysis_violations").where("table = 'classes'").collect()}
+    assert broken == {("classes", "country"): 2}
+    assert out.read("region_violations").count() == 0 and out.read("city_violations").count() == 0
+    attributed = out.read("region_attributed")
+    assert attributed.count() == out.read("region_responsibility").count()
+    assert {(r.map, r.bounds, r.method): r.n for r in out.read("gap_breaks").groupBy("map", "bounds", "method").agg(F.count("break").alias("n")).collect()} == {
+        (m, b, w): 7
+        for m in ("region_responsibility", "region_capacity", "country_responsibility", "country_capacity")
+        for b in ("data", "limit")
+        for w in ("linear", "asinh")
+    }
+
+
+def test_a_scenario_that_no_model_has_stops_the_analysis(out):
+    with pytest.raises(ValueError, match="no model has both"):
+        _paired_models(out.read("pathway_catalogue"), Settings(tight_scenario="15", wide_scenario="s20"))
+
+
 def test_every_level_left_its_tables(out):
     written = set(os.listdir(out.folder))
     assert {
@@ -159,7 +206,7 @@ def test_every_level_left_its_tables(out):
         "pathway_sanity", "remaining_budget", "region_responsibility_gap_1999",
         "country_capacity_gap_2000", "region_capacity_gap_2000", "city_zero_population",
         "city_population_trend", "city_history", "city_capacity", "region_responsibility_map_2000",
-        "country_responsibility_map_1999", "gap_breaks_linear", "gap_breaks_asinh", "class_rollup",
+        "country_responsibility_map_1999", "gap_breaks", "rollups", "class_rollup",
         "group_2000", "region_index", "city_index", "country_index", "region_fairness",
         "country_fairness_map", "region_alignment_map", "relative_ambition", "ambition_summary",
     } <= written
