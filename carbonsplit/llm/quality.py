@@ -5,60 +5,99 @@ table; a document is the mean of its vectors; a softmax layer gives the classes.
 and layer are learned together by stochastic gradient descent in numpy on a bounded
 sample of labelled texts.  Scoring needs only each vector's product with the layer, so
 workers get one number per bucket.
+
+The hash of a run is a polynomial in its code points, taken from running sums over a
+whole batch, so no word or run is looked at one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carbonsplit.llm.labelled import training_rows
 
-BUCKETS = 1 << 17
+_BUCKET_BITS = 17
+BUCKETS = 1 << _BUCKET_BITS
 WIDTH = 8
 _GRAMS = (3, 4, 5)
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose buckets a worker remembers; beyond, it starts over.
-_MEMORY = 200_000
-
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Code points that are hashed at a time; a longer text is taken alone.
+PIECE = 1 << 19
 
-def word_buckets(word: str) -> list[int]:
-    """Buckets of the word itself and of its marked-off character runs."""
-    marked = f"<{word}>"
-    runs = {marked[i : i + n] for n in _GRAMS for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh64_intdigest(x) % BUCKETS for x in (f"w{word}", *sorted(runs))]
 
+def pieces(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts in runs of about ``PIECE`` code points, each with one space around every word."""
+    own, size = [], 0
+    for text in texts:
+        spaced = f" {' '.join((text or '').split())} "
+        if own and size + len(spaced) > PIECE:
+            yield own
+            own, size = [], 0
+        own.append(spaced)
+        size += len(spaced)
+    if own:
+        yield own
 
-def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words, from the words' hashes."""
-    mixed = hashes[:-1] * _PAIR + hashes[1:]
-    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
+def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
+    mixed = (hashes + np.uint64(kind)) * _MIX
+    mixed ^= mixed >> np.uint64(32)
+    return ((mixed * _MIX) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").split()
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base squared and so on, modulo 2**64."""
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
-class Grams(dict):
-    """word -> (hash, buckets), made when first asked for."""
 
-    def __missing__(self, word: str):
-        if len(self) >= _MEMORY:
-            self.clear()
-        found = self[word] = (xxhash.xxh64_intdigest(word), word_buckets(word))
-        return found
+def occurrences(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``place, bucket`` of all runs of each size, all words and all word pairs; places ascend.
 
-
-def counted(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and how often each occurs."""
-    known = [grams[w] for w in words_of(text)]
-    hashes = np.fromiter((h for h, _ in known), np.uint64, len(known))
-    flat = [b for _, buckets in known for b in buckets]
-    buckets, counts = np.unique(np.concatenate([np.array(flat, np.int64), pair_buckets(hashes)]), return_counts=True)
-    return buckets.astype(np.int32), counts.astype(np.float32)
+    A space marks the beginning and the end of a word, and no run goes on beyond it.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    powers, back = _powers(_BASE, len(codes)), _powers(_INVERSE, len(codes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers, dtype=np.uint64)])
+    space = codes == 32
+    for n in _GRAMS:
+        inside = np.zeros(max(0, len(codes) - n + 1), bool)
+        for i in range(1, n - 1):
+            inside |= space[i : i + len(inside)]
+        at = np.flatnonzero(~inside)
+        yield at, _bucket((sums[at + n] - sums[at]) * back[at], n)
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    words = (sums[ends] - sums[starts]) * back[starts]
+    yield starts, _bucket(words, 1)
+    # texts lie two spaces apart, words of a text one
+    pair = np.flatnonzero(starts[1:] == ends[:-1] + 1)
+    yield starts[pair], _bucket(words[pair] * np.uint64(_BASE) + words[pair + 1], 2)
+
+
+def edges(texts: list[str]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def counted(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each whole text and how often each occurs."""
+    out = []
+    for part in pieces(texts):
+        at, buckets = (np.concatenate(x) for x in zip(*occurrences(part), strict=True))
+        owner = np.searchsorted(edges(part), at, side="right") - 1
+        order = np.argsort(owner, kind="stable")
+        for own in np.split(buckets[order], np.searchsorted(owner[order], np.arange(1, len(part)))):
+            found, counts = np.unique(own, return_counts=True)
+            out.append((found, counts.astype(np.float32)))
+    return out
 
 
 def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 7) -> np.ndarray:
@@ -67,9 +106,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: f
     result = np.zeros(BUCKETS + 1, np.float32)
     if len(set(labels.tolist())) < 2:
         return result
-    grams = Grams()
-    documents = [counted(text, grams) for text, _ in rows]
-    grams.clear()
+    documents = counted([text for text, _ in rows])
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.1, (BUCKETS, WIDTH))
     layer = random.normal(0, 0.1, (WIDTH, 2))
@@ -105,30 +142,22 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: f
     return result
 
 
-class Sums(dict):
-    """word -> (hash, summed log-odds of its buckets, their number)."""
-
-    def __init__(self, model: np.ndarray):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str):
-        if len(self) >= _MEMORY:
-            self.clear()
-        buckets = word_buckets(word)
-        found = self[word] = (xxhash.xxh64_intdigest(word), float(self.model[buckets].sum()), len(buckets))
-        return found
-
-
-def score(text: str | None, sums: Sums) -> float:
-    """Probability of label 1; a text without words has the bias alone."""
-    known = [sums[w] for w in words_of(text)]
-    total, n = 0.0, 0
-    if known:
-        hashes, values, sizes = zip(*known, strict=True)
-        pairs = sums.model[pair_buckets(np.array(hashes, np.uint64))]
-        total, n = sum(values) + float(pairs.sum(dtype=np.float64)), sum(sizes) + len(pairs)
-    return float(1 / (1 + np.exp(-np.clip(total / max(1, n) + float(sums.model[-1]), -40, 40))))
+def score(texts: Iterable[str | None], model: np.ndarray) -> np.ndarray:
+    """Probability of label 1 of each text; a text without words has the bias alone."""
+    out = []
+    for part in pieces(texts):
+        ends = edges(part)
+        total, n = np.zeros(len(part)), np.zeros(len(part), np.int64)
+        for at, buckets in occurrences(part):
+            first = np.searchsorted(at, ends)
+            sizes = np.diff(first)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                # each text's run is summed on its own, so equal texts score alike
+                total[some] += np.add.reduceat(model[buckets].astype(np.float64), first[some])
+            n += sizes
+        out.append(1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + float(model[-1]), -40, 40))))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_good: int = 1000, max_poor: int = 600) -> DataFrame:
@@ -142,12 +171,9 @@ def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id
     """
     model = train(training_rows(docs, labels, "quality", 4, 2, {1: max_good, 0: max_poor}))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[Sums] = []
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Sums(shared.value))
-        return pd.Series([score(t, made[0]) for t in texts], dtype="float64")
+        return pd.Series(score(texts, shared.value), dtype="float64")
 
     return docs.select(F.struct(*keep).alias("_keep"), scored("text").alias("score")).select("_keep.*", "score")
