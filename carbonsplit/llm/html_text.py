@@ -39,25 +39,34 @@ INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn e
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSED_BY_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
-# Words that name parts of pages.
+# Words that name parts of pages; what else a name says is learned.
 PARTS = {
-    "boilerplate": "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner top footer foot bottom copyright legal sidebar aside side rail widget related recommended more promo promotion ad ads advert adverts advertisement advertising adsense sponsor sponsored notice notices cookie cookies consent gdpr alert popup modal overlay form forms signup subscribe newsletter login search comment comments commentlist reply replies respond disqus discussion share sharing social follow toolbar pagination pager tags contentinfo complementary".split(),
+    "boilerplate": "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer copyright legal sidebar aside related recommended promo promotion ad ads advert adverts advertisement advertising adsense sponsor sponsored notice notices cookie cookies consent gdpr popup modal overlay form forms signup subscribe newsletter login search comment comments commentlist reply replies respond disqus share sharing social toolbar pagination pager tags contentinfo complementary".split(),
     "content": "article post entry content story main body text prose page".split(),
 }
 _PART_OF = {word: part for part, words in PARTS.items() for word in words}
+#: First words of names that tell what a page has or lacks, not what the element is.
+STATES = frozenset("has have is no not with without show hide hidden".split())
 _BOILERPLATE_TAGS = frozenset("head nav header footer aside form button fieldset dialog menu".split())
 #: Elements that say nothing by themselves: many of them must not outvote the part they stand in.
 GENERIC = frozenset("p div section span ul ol li table tbody tr td".split())
-#: Characters of an element's own text from which it counts as long.
-LONG_TEXT = 128
+#: Characters of an element's own text from which it counts as some, and as long; and of its paragraphs' from which it is prose.
+SOME_TEXT, LONG_TEXT, PROSE = 32, 128, 256
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def _name(text: str) -> list[str]:
+    """The words of a name; none for a name that only states what the page has."""
+    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())
+    return [] if len(words) > 1 and words[0] in STATES else words
+
+
 @dataclass
 class Node:
     tag: str
     parent: int
-    names: list[str]
+    #: The words of each name among class, id and role.
+    names: list[list[str]]
     children: list[int] = field(default_factory=list)
     own: int = 0
     linked: int = 0
@@ -98,7 +107,7 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         known = dict(attrs)
-        names = [w for key in ("class", "id", "role") for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", known.get(key) or "").lower())]
+        names = [_name(word) for key in ("class", "id", "role") for word in (known.get(key) or "").split()]
         label = {"1": 1, "0": 0}.get(known.get("data-label") or "")
         node = Node(tag, self.open[-1], names, label=label)
         self.nodes[self.open[-1]].children.append(len(self.nodes))
@@ -162,14 +171,23 @@ def features(page: Page) -> list[list[str]]:
     for at in range(len(page.nodes) - 1, 0, -1):
         total[page.nodes[at].parent] += total[at]
         linked[page.nodes[at].parent] += linked[at]
+    prose = [0] * len(page.nodes)
+    for node in page.nodes[1:]:
+        if node.tag == "p" and 4 * node.linked <= node.own:
+            prose[node.parent] += node.own
     out = []
     for at, node in enumerate(page.nodes):
         named = [] if node.tag in GENERIC or node.tag in INLINE else [f"tag={node.tag}"]
-        if node.own >= LONG_TEXT:
-            named.append("long")
+        if node.own >= SOME_TEXT:
+            named.append("long" if node.own >= LONG_TEXT else "some")
+        if prose[at] >= PROSE:
+            named.append("prose")
         if node.tag in _BOILERPLATE_TAGS:
             named.append("part=boilerplate")
-        named += sorted({f"part={_PART_OF[w]}" for w in node.names if w in _PART_OF} | {f"name={w}" for w in node.names})
+        # of a name of several words the last one says what it is
+        heads, others = {ws[-1] for ws in node.names if ws}, {w for ws in node.names for w in ws[:-1]}
+        named += sorted({f"part={_PART_OF[w]}" for w in heads if w in _PART_OF} | {f"name={w}" for w in heads})
+        named += sorted({f"of={_PART_OF[w]}" for w in others if w in _PART_OF} | {f"with={w}" for w in others})
         if total[at] and node.tag not in INLINE:
             named.append(f"links={round(4 * linked[at] / total[at])}")
         out.append(named)
@@ -184,8 +202,10 @@ class Model:
     edges: np.ndarray
 
 
-#: Where learning starts and what it is drawn to: named parts speak for themselves, a child is like its parent.
-PRIOR = {"part=boilerplate": -40.0, "part=content": 2.0, "tag=article": 30.0, "tag=main": 30.0, "tag=body": -2.0, "tag=#page": -2.0}
+#: Where learning starts and what it is weakly drawn to; a child is like its parent.
+PRIOR = {"part=boilerplate": -2.0, "of=boilerplate": -1.0, "part=content": 1.0, "tag=article": 3.0, "tag=main": 3.0, "tag=body": -1.0, "tag=#page": -1.0, "long": 1.0, "links=4": -0.5}
+
+
 def _normal(edges: np.ndarray) -> np.ndarray:
     """Each parent state's potentials as probabilities of the child: a child without evidence then sends nothing up."""
     return edges - np.log(np.exp(edges).sum(axis=2, keepdims=True))
@@ -196,7 +216,7 @@ PRIOR_EDGES = _normal(np.array([[[2.0, -2.0], [-2.0, 2.0]], [[2.5, -2.5], [-2.5,
 
 def _kind(node: Node) -> int:
     """0 plain block, 1 inline, 2 a named part, which says little about what it stands in."""
-    if node.tag in _BOILERPLATE_TAGS or node.tag in ("article", "main") or any(w in _PART_OF for w in node.names):
+    if node.tag in _BOILERPLATE_TAGS or node.tag in ("article", "main") or any(w in _PART_OF for words in node.names for w in words):
         return 2
     return 1 if node.tag in INLINE else 0
 
@@ -252,9 +272,10 @@ def extract(html: str | None, model: Model) -> str:
 # ---------------------------------------------------------------- training
 
 _ARTICLE = re.compile(r"<article\b[^>]*>(.*)</article\s*>", re.S | re.I)
-# Containers and parts that labelled pages are varied with.
-_CONTAINERS = ('article', 'main', 'div class="post-content"', 'section id="article-body"', 'div role="main"', 'div class="entry"')
+# Containers and parts that labelled pages are varied with, and names that say nothing of the sort.
+_CONTAINERS = ('div', 'div class="wrap"', 'section', 'article', 'main', 'div class="post-content"', 'section id="article-body"', 'div role="main"', 'div class="entry"')
 _OUTSIDE = ('nav', 'header', 'footer', 'aside', 'aside class="sidebar"', 'div class="menu"', 'div id="footer"', 'div class="ad"', 'div class="cookie-notice"', 'form', 'section id="comments"', 'div class="site-header"', 'div class="related-posts"')
+_PLAIN = ("has-sidebar", "no-comments", "top-story", "bottom-line", "more", "lead", "wide", "side-by-side", "row", "first", "last", "intro", "with-ads", "box")
 _INSIDE = ('div class="advert"', 'aside', 'section class="comments"', 'div class="notice"', 'form', 'div class="share"', 'nav', 'footer', 'header')
 
 
@@ -280,12 +301,27 @@ def varied(html: str, seed: int) -> str | None:
             inner = "<ul>" + "".join(f'<li><a href="#">{escape(choose.choice(words))}</a></li>' for _ in range(choose.randint(2, 6))) + "</ul>"
         return f'<{opening} data-label="0">{inner}</{tag}>'
 
+    def plain(opening: str) -> str:
+        """The opening with a name that does not tell a part, now and then."""
+        if choose.random() < 0.6:
+            return opening
+        word = choose.choice(_PLAIN)
+        return re.sub(r'class="', f'class="{word} ', opening) if "class=" in opening else f'{opening} class="{word}"'
+
     paragraphs = re.split(r"(?<=</p>)", found[1])
+    paragraphs = [re.sub(r"<p>", lambda m: f"<{plain('p')}>", p) for p in paragraphs]
+    if choose.random() < 0.2:  # an article may be a list of links
+        paragraphs = [re.sub(r"(?s)<p([^>]*)>(.*)</p>$", r'<p\1><a href="#">\2</a></p>', p) if choose.random() < 0.8 else p for p in paragraphs]
+    if choose.random() < 0.3:
+        inner = plain("div")
+        paragraphs = [f"<{inner}>", *paragraphs, "</div>"]
     for _ in range(choose.randint(0, 2)):
         paragraphs.insert(choose.randint(1, len(paragraphs)), part(choose.choice(_INSIDE)))
-    container = choose.choice(_CONTAINERS)
+    container = plain(choose.choice(_CONTAINERS))
     before, after = ("".join(part(choose.choice(_OUTSIDE)) for _ in range(choose.randint(0, 3))) for _ in range(2))
     body = f'{before}<{container} data-label="1">{"".join(paragraphs)}</{container.split()[0]}>{after}'
+    if choose.random() < 0.15:  # a fragment without anything around it
+        return body
     return f"{html[: found.start()]}{body}{html[found.end() :]}"
 
 
@@ -297,9 +333,9 @@ def labels_of(page: Page) -> list[int]:
     return labels
 
 
-def train(pages: list[str], rounds: int = 25, rate: float = 0.5, pull: float = 0.02) -> Model:
+def train(pages: list[str], rounds: int = 25, rate: float = 0.5, pull: float = 0.0005) -> Model:
     """Maximum posterior weights by Adagrad; without labelled pages the prior stays."""
-    made = [p for n, html in enumerate(pages) for p in (labelled(html), varied(html, n)) if p]
+    made = [p for n, html in enumerate(pages) for p in (labelled(html), varied(html, 2 * n), varied(html, 2 * n + 1)) if p]
     trees = [(page, labels_of(page), features(page)) for page in map(parsed, made)]
     model = Model(dict(PRIOR), PRIOR_EDGES.copy())
     squares: Counter = Counter()
