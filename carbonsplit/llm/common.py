@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonsplit.sources.shared import shared_folder, shared_table
+from carbonsplit.sources.shared import release_tables, shared_folder, shared_table, written_tables
 
-__all__ = ["WORD", "cut", "lower_ascii", "read_table", "shared_folder", "small", "word_count"]
+__all__ = ["WORD", "cut", "keep_last", "lower_ascii", "read_table", "settle", "shared_folder", "small", "word_count"]
+
+#: Spark's own setting: the shuffle files of an execution go when it ends.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of a written table that are broadcast at most (a few dozen bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -26,6 +30,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return shared_table(df, f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``cut``, and give back the disk of the exchanges that led up to the table: what follows starts from its files."""
+    spark = df.sparkSession
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        # a frame takes the setting when it is made
+        return cut(df.select("*"), name)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def keep_last(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, which is the last table it writes; the others that it writes are removed."""
+    before = set(written_tables(spark))
+    out = make()
+    made = [path for path in written_tables(spark) if path not in before]
+    release_tables(spark, made[:-1])
+    return out
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, a written table, marked for broadcast if it has few rows; any other is joined by shuffle."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -16,15 +16,18 @@ there by others, so no match is lost.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from carbonsplit.llm.common import cut, small
+from carbonsplit.llm.common import keep_last, settle, small
 
 #: Counters of word frequency; words that share one count as equally rare, which changes no result.
 RARITY_COUNTERS = 1 << 16
 _KEY_BITS = 40
+_POS_BITS = 31
 _PLACE = ("doc_id", "text_key", "line_no")
 
 
@@ -119,14 +122,14 @@ def likely_pairs(lines: DataFrame, similarity: int) -> DataFrame:
     earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
     shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
-    found = keyed.join(small(cut(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
+    found = keyed.join(small(settle(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
     return found.select(F.col("sig").alias("a"), "b").distinct()
 
 
 def repeated_classes(lines: DataFrame) -> DataFrame:
     """``sig, first, places`` of the classes with more than one line."""
     counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
-    return cut(counted.filter("places > 1"), "repeated")
+    return settle(counted.filter("places > 1"), "repeated")
 
 
 def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -141,10 +144,13 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 def _postings(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """A row for each class and word of its prefix."""
     marked = classes.join(small(settled).withColumn("done", F.lit(True)), "sig", "left")
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    # one number for the words and whether the class still searches; one exchange then serves both sides of the join
-    size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))
-    return marked.select("sig", "bits", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
+    # ids of another type do not sort as numbers: all places are then alike, and verification tells which line is earlier
+    whole = isinstance(classes.schema["doc_id"].dataType, IntegralType)
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.lit(0).cast("long")
+    # one number for the words, whether the class still searches and the place in the prefix; one exchange then serves both sides of the join
+    size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).cast("long")
+    rows = marked.select("sig", "bits", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("sig", "bits", "place", (F.shiftleft("size", _POS_BITS) + F.col("pos")).alias("at"), "word")
 
 
 def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, centers: DataFrame | None = None) -> DataFrame:
@@ -155,14 +161,16 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     only those classes are searched for.
     """
     postings = _postings(classes, settled)
-    searched = postings if centers is None else small(cut(_postings(classes.join(small(centers), "sig", "left_semi"), settled), "centers"))
+    searched = postings if centers is None else small(settle(_postings(classes.join(small(centers), "sig", "left_semi"), settled), "centers"))
     a, b = postings.alias("a"), searched.alias("b")
-    a_n, b_n = F.abs("a.size"), F.abs("b.size")
+    a_size, b_size = (F.shiftright(f"{x}.at", _POS_BITS) for x in "ab")
+    a_pos, b_pos = (F.col(f"{x}.at").bitwiseAND((1 << _POS_BITS) - 1) for x in "ab")
+    a_n, b_n = F.abs(a_size), F.abs(b_size)
     needed = _needed(similarity, a_n, b_n)
-    earlier = F.when(F.col("a.size") > 0, F.col("a.place")) >= F.col("b.place")
+    earlier = F.when(a_size > 0, F.col("a.place")) >= F.col("b.place")
     near = _may_match(similarity, a_n, F.col("a.bits"), b_n, F.col("b.bits")) & (F.col("a.sig") != F.col("b.sig"))
     # the shared word and all that follow it must be enough
-    placed = F.least(a_n - F.col("a.pos"), b_n - F.col("b.pos")) >= needed
+    placed = F.least(a_n - a_pos, b_n - b_pos) >= needed
     met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed)
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
@@ -172,14 +180,14 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
 
     A class starts at its first line in the order of (id, hash of the text, line number).
     """
-    pairs = cut(pairs, "line-pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
-    places = cut(lines.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first")), "places")
+    pairs = settle(pairs, "line-pairs")
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
+    places = settle(lines.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first")), "places")
     at = places.select("sig", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"), F.col("first.line_no").alias("at_line"))
     every = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
     here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")) & (F.col("line_no") == F.col("at_line"))
     # rows repeated in id and text give the same words twice
-    words = cut(every.join(small(at), here).select("sig", "first", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"]), "line-words")
+    words = settle(every.join(small(at), here).select("sig", "first", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"]), "line-words")
     left = words.select(F.col("sig").alias("a"), F.col("first").alias("a_first"), F.col("words").alias("a_words"))
     right = words.select(F.col("sig").alias("b"), F.col("first").alias("b_first"), F.col("words").alias("b_words"))
     order = places.select("sig", "first")
@@ -187,26 +195,33 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, simi
     both = ordered.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     alike = both.filter(shared * (100 + similarity) >= (F.size("a_words") + F.size("b_words")) * similarity)
-    return cut(alike.select(F.col("a").alias("sig"), F.col("b").alias("center")), "later")
+    return settle(alike.select(F.col("a").alias("sig"), F.col("b").alias("center")), "later")
 
 
 def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """``doc_id, text_key, removed`` (line numbers from 0): the lines that an earlier line matches."""
-    lines = cut(signatures(docs, similarity), "lines")
+    return keep_last(docs.sparkSession, lambda: _later_matches(docs, similarity))
+
+
+def _later_matches(docs: DataFrame, similarity: int) -> DataFrame:
+    def matched(pairs: Callable[[], DataFrame]) -> DataFrame:
+        return keep_last(docs.sparkSession, lambda: with_earlier_match(pairs(), docs, lines, similarity))
+
+    lines = settle(signatures(docs, similarity), "lines")
     repeated = repeated_classes(lines)
     classes = first_lines(lines, repeated)
-    likely = with_earlier_match(likely_pairs(lines, similarity), docs, lines, similarity)
-    settled, centers = likely.select("sig").distinct(), cut(likely.select(F.col("center").alias("sig")).distinct(), "centers")
+    likely = matched(lambda: likely_pairs(lines, similarity))
+    settled, centers = likely.select("sig").distinct(), settle(likely.select(F.col("center").alias("sig")).distinct(), "centers")
     # what the keys missed of a group of near copies meets the group's first class here
-    near = with_earlier_match(candidate_pairs(classes, cut(settled, "settled"), similarity, centers), docs, lines, similarity)
-    settled = cut(settled.union(near.select("sig")).distinct(), "settled")
-    rest = with_earlier_match(candidate_pairs(classes, settled, similarity), docs, lines, similarity)
+    near = matched(lambda: candidate_pairs(classes, settle(settled, "settled"), similarity, centers))
+    settled = settle(settled.union(near.select("sig")).distinct(), "settled")
+    rest = matched(lambda: candidate_pairs(classes, settled, similarity))
     later = settled.union(rest.select("sig")).distinct().withColumn("later", F.lit(True))
     # a class goes whole if it has an earlier match, else but for its first line
-    classes = cut(repeated.select("sig", "first").join(later, "sig", "full").select("sig", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
+    classes = settle(repeated.select("sig", "first").join(later, "sig", "full").select("sig", "first", F.coalesce("later", F.lit(False)).alias("later")), "classes")
     # joins two written tables: a line that holds a third of all rows is split
     gone = lines.join(classes, "sig").filter(F.col("later") | (F.struct(*_PLACE) != F.col("first")))
-    return cut(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("removed")), "removed")
+    return settle(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, similarity: int = 80) -> DataFrame:

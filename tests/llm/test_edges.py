@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from carbonsplit.sources import written_tables
 from carbonsplit.llm import chat, decontamination, html_text, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash long, size string, label int, copy string"
@@ -43,6 +44,20 @@ def test_line_dedup(odd, none):
     assert rows(line_dedup.dedup_lines(none)) == []
 
 
+def test_line_dedup_takes_text_ids(spark):
+    """Order is that of the ids' own type: 10 comes before 9 as text."""
+    lines = [("9", "a b c d e f g h i j"), ("10", "a b c d e f g h i k"), ("a1", "x y z"), ("b2", "z y x")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(lines, "doc_id string, text string"))
+    assert {(r.doc_id, r.n_removed) for r in found.collect()} == {("9", 1), ("10", 0), ("a1", 0), ("b2", 1)}
+
+
+def test_tables_passed_on_the_way_are_removed(spark):
+    before = set(written_tables(spark))
+    docs_ = spark.createDataFrame([(1, "a b c\na b c"), (2, "c b a")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs_).collect()) == ["", "a b c"]
+    assert len(set(written_tables(spark)) - before) == 1
+
+
 def test_line_dedup_brute_force(spark):
     choose = random.Random(3)
     words = [f"w{i}" for i in range(60)]
