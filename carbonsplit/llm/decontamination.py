@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -103,15 +103,17 @@ def _scanner(items: list[tuple[str, str | None]], size: int, last: bool) -> Call
     return scanner
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The items in as many groups as their bytes need, so that each automaton has a bounded size."""
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in as many groups as their bytes need, read one group at a time, so that each automaton has a bounded size."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     if n == 1:
-        return [[(r.id, r.text) for r in items.collect()]]
+        yield [(r.id, r.text) for r in items.collect()]
+        return
     numbered = cut(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))), "benchmark")
-    return [[(r.id, r.text) for r in numbered.filter(F.col("block") == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r.id, r.text) for r in numbered.filter(F.col("block") == i).collect()]
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -130,8 +132,10 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
     takes another pass per block, each from a written table.
     """
     rows = docs.select(F.struct(*keep).alias("_keep"), "text", F.array().cast(_HIT).alias("hits"))
-    *earlier, final = blocks(benchmark, block_bytes)
-    for group in earlier:
+    groups = blocks(benchmark, block_bytes)
+    group = next(groups)
+    for following in groups:
         found = rows.withColumn("_s", _scanner(group, size, last=False)("text", "hits"))
         rows = cut(found.select("_keep", "text", F.col("_s.hits").alias("hits")), "scanned")
-    return rows.withColumn("_s", _scanner(final, size, last=True)("text", "hits")).select("_keep.*", "_s.*")
+        group = following
+    return rows.withColumn("_s", _scanner(group, size, last=True)("text", "hits")).select("_keep.*", "_s.*")
