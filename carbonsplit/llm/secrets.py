@@ -123,9 +123,10 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     if not asked:
         return texts.select("key", F.array().cast("array<int>").alias("wanted")).limit(0)
     grams = sorted({gram for _, alternative in asked for gram in alternative})
-    lowered = F.lower("text")
-    present = F.array(*[F.when(lowered.contains(gram), F.lit(gram)) for gram in grams])
-    postings = texts.select("key", F.explode(F.array_compact(present)).alias("gram")).distinct()
+    # a column of its own, so that a text is folded once and not once per trigram
+    lowered = texts.select("key", F.lower("text").alias("lowered"))
+    present = F.array(*[F.when(F.col("lowered").contains(gram), F.lit(gram)) for gram in grams])
+    postings = lowered.select("key", F.explode(F.array_compact(present)).alias("gram")).distinct()
     # the trigrams of the rules: a few dozen, whatever the input
     needs = texts.sparkSession.createDataFrame(
         [(n, place, gram, len(alternative)) for place, (n, alternative) in enumerate(asked) for gram in sorted(alternative)],

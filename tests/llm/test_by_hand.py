@@ -1,9 +1,11 @@
-"""The registered SimHash query against plain Python."""
+"""The registered SimHash and secret queries against plain Python."""
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
+import re
 
 import pytest
 import xxhash
@@ -34,3 +36,26 @@ def test_simhash_of_real_texts(spark):
             label = {n: low if at == high else at for n, at in label.items()}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op5_simhash_near_dedup"](spark, FOLDER).collect()}
     assert got == {i: (f"{value[i]:016x}", label[i]) for i in texts}
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base_secrets(text):
+    """``(kind, start, end)`` in the order of the digest."""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(kind, start, end) for start, _, kind, end in sorted(found)]
+
+
+def test_secrets_of_real_texts(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op8_secret_scan"](spark, FOLDER).collect()}
+    assert set(got) == set(texts) and any(r.n_assign + r.n_access + r.n_hex for r in got.values())
+    for i, text in texts.items():
+        want = base_secrets(text)
+        counts = [sum(kind == k for k, *_ in want) for kind in ("assign", "access", "hex")]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256] == [*counts, hashlib.sha256(joined.encode()).hexdigest()], i
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(got[i].spans.split(","))
