@@ -12,7 +12,7 @@ import xxhash
 
 from carbonsplit.llm.registry import QUERIES
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -50,8 +50,8 @@ def base_secrets(text):
 
 
 def test_secrets_of_real_texts(spark):
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
-    got = {r.doc_id: r for r in QUERIES["op8_secret_scan"](spark, FOLDER).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{MORE}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op8_secret_scan"](spark, MORE).collect()}
     assert set(got) == set(texts) and any(r.n_assign + r.n_access + r.n_hex for r in got.values())
     for i, text in texts.items():
         want = base_secrets(text)
