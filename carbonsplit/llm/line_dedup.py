@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from carbonsplit.llm.common import keep_last, settle, small
+from carbonsplit.sources.shared import release_tables, written_tables
 
 #: Counters of word frequency; words that share one count as equally rare, which changes no result.
 RARITY_COUNTERS = 1 << 16
 _KEY_BITS = 40
 _POS_BITS = 31
+#: Parts in which the postings are joined.
+ROUNDS = 4
 _PLACE = ("doc_id", "text_key", "line_no")
 
 
@@ -116,9 +119,9 @@ def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_
     return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * similarity) & (apart <= n + other_n - _needed(similarity, n, other_n) * 2)
 
 
-def likely_pairs(lines: DataFrame, similarity: int) -> DataFrame:
+def likely_pairs(classes: DataFrame, similarity: int) -> DataFrame:
     """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another that may match."""
-    keyed = lines.select(F.explode(_keys(F.col("prefix"))).alias("key"), "doc_id", "sig", "n", "bits")
+    keyed = classes.select(F.explode(_keys(F.col("prefix"))).alias("key"), "doc_id", "sig", "n", "bits")
     earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
     shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
@@ -159,9 +162,21 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     A pair that reaches the similarity always passes.  Of two classes that start in the
     same document both orders pass; verification tells which is later.  With ``centers``
     only those classes are searched for.
+
+    The words are joined in ``ROUNDS`` parts, one after another, so that no more than a
+    part of the postings lies on disk at a time.
     """
     postings = _postings(classes, settled)
     searched = postings if centers is None else small(settle(_postings(classes.join(small(centers), "sig", "left_semi"), settled), "centers"))
+    found = None
+    for turn in range(ROUNDS):
+        of_turn = F.pmod(F.col("word"), F.lit(ROUNDS)) == turn
+        part = settle(_met(postings.filter(of_turn), searched.filter(of_turn), similarity), "pairs-of-turn")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
+def _met(postings: DataFrame, searched: DataFrame, similarity: int) -> DataFrame:
     a, b = postings.alias("a"), searched.alias("b")
     a_size, b_size = (F.shiftright(f"{x}.at", _POS_BITS) for x in "ab")
     a_pos, b_pos = (F.col(f"{x}.at").bitwiseAND((1 << _POS_BITS) - 1) for x in "ab")
@@ -175,14 +190,14 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
-def with_earlier_match(pairs: DataFrame, docs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
+def with_earlier_match(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """``sig, center``: the classes ``a`` that reach the similarity with a ``b`` that starts earlier, verified on the words.
 
     A class starts at its first line in the order of (id, hash of the text, line number).
     """
     pairs = settle(pairs, "line-pairs")
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
-    places = settle(lines.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first")), "places")
+    places = settle(classes.join(wanted, "sig", "left_semi").select("sig", F.struct(*_PLACE).alias("first")), "places")
     at = places.select("sig", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"), F.col("first.line_no").alias("at_line"))
     every = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
     here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")) & (F.col("line_no") == F.col("at_line"))
@@ -204,13 +219,19 @@ def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
 
 
 def _later_matches(docs: DataFrame, similarity: int) -> DataFrame:
+    spark = docs.sparkSession
+
     def matched(pairs: Callable[[], DataFrame]) -> DataFrame:
-        return keep_last(docs.sparkSession, lambda: with_earlier_match(pairs(), docs, lines, similarity))
+        return keep_last(spark, lambda: with_earlier_match(pairs(), docs, classes, similarity))
 
-    lines = settle(signatures(docs, similarity), "lines")
+    wide = settle(signatures(docs, similarity), "signatures")
+    consumed = written_tables(spark)[-1:]
+    # only classes are compared; of a line no more is kept than where it is and which class it has
+    lines = settle(wide.select(*_PLACE, "sig"), "lines")
     repeated = repeated_classes(lines)
-    classes = first_lines(lines, repeated)
-    likely = matched(lambda: likely_pairs(lines, similarity))
+    classes = settle(first_lines(wide, repeated), "class-rows")
+    release_tables(spark, consumed)
+    likely = matched(lambda: likely_pairs(classes, similarity))
     settled, centers = likely.select("sig").distinct(), settle(likely.select(F.col("center").alias("sig")).distinct(), "centers")
     # what the keys missed of a group of near copies meets the group's first class here
     near = matched(lambda: candidate_pairs(classes, settle(settled, "settled"), similarity, centers))
