@@ -29,7 +29,7 @@ from carbonsplit.sources.shared import release_tables, written_tables
 RARITY_COUNTERS = 1 << 16
 _KEY_BITS = 40
 _POS_BITS = 31
-#: Parts in which the postings are joined.
+#: Parts in which the postings are joined and the pairs verified.
 ROUNDS = 4
 _PLACE = ("doc_id", "text_key", "line_no")
 
@@ -207,10 +207,17 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, classes: DataFrame, si
     right = words.select(F.col("sig").alias("b"), F.col("first").alias("b_first"), F.col("words").alias("b_words"))
     order = places.select("sig", "first")
     ordered = pairs.join(order.withColumnsRenamed({"sig": "a", "first": "fa"}), "a").join(order.withColumnsRenamed({"sig": "b", "first": "fb"}), "b").filter("fb < fa").select("a", "b")
-    both = ordered.join(left, "a").join(right, "b")
+    ordered = settle(ordered, "ordered-pairs")
     shared = F.size(F.array_intersect("a_words", "b_words"))
-    alike = both.filter(shared * (100 + similarity) >= (F.size("a_words") + F.size("b_words")) * similarity)
-    return settle(alike.select(F.col("a").alias("sig"), F.col("b").alias("center")), "later")
+    found = None
+    # a pair carries the words of a line through an exchange, so a part of the pairs goes at a time
+    for turn in range(ROUNDS):
+        of_turn = F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS)) == turn
+        both = ordered.filter(of_turn).join(left, "a").join(right, "b")
+        alike = both.filter(shared * (100 + similarity) >= (F.size("a_words") + F.size("b_words")) * similarity)
+        part = settle(alike.select(F.col("a").alias("sig"), F.col("b").alias("center")), "later-of-turn")
+        found = part if found is None else found.unionByName(part)
+    return settle(found, "later")
 
 
 def later_matches(docs: DataFrame, similarity: int = 80) -> DataFrame:
