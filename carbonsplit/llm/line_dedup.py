@@ -4,7 +4,8 @@ A line is the set of its lower-cased words.  Lines with equal sets form a class,
 join runs over classes.  Words are ordered by rarity; two sets that are similar enough
 share a word among their first few (prefix filter), so those words are the join key.
 Length and position of the shared word and a bitmap of the set refuse most pairs in the
-join itself; the rest is verified on the words.
+join itself, a wider bitmap of the longer lines most of what is left; the rest is verified
+on the words.
 
 Only whether a class has an earlier match is asked.  So that a group of near copies is
 not compared pair by pair, each class is first compared with the earliest class that
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,10 @@ from carbonsplit.sources.shared import release_tables, written_tables
 RARITY_COUNTERS = 1 << 16
 _KEY_BITS = 40
 _POS_BITS = 31
+#: Sets of so many words have a wide bitmap: on 64 bits too many words fall on each other.
+WIDE_FROM = 48
+#: Numbers of 64 bits in a wide bitmap.
+WIDE = 4
 #: Parts in which the postings are joined and the pairs verified.
 ROUNDS = 4
 _PLACE = ("doc_id", "text_key", "line_no")
@@ -74,39 +81,53 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
-    """One row per line that has words: place, class (``sig``, ``bits``, ``n`` words) and ``prefix``.
+    """One row per line that has words: place, class (``sig``, ``bits``, ``wide``, ``n`` words) and ``prefix``.
 
     Sets are told apart by ``sig``, 64 bits of all their words' hashes.  ``bits`` has the parity of
     words per hash bit, so two sets differ in at least as many words as their bitmaps
-    differ in bits.  ``prefix`` are the rarest words, of which a similar line must share
+    differ in bits; ``wide`` is the same over more bits, null for short lines.  ``prefix`` are the rarest words, of which a similar line must share
     one, as numbers that sort by rarity first.
     """
     rarity = _rarity(docs)
     low = F.lit((1 << _KEY_BITS) - 1)
     lines = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
-    hashed = lines.select(*_PLACE, F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
+    # blank lines go before their words are cut: a filter on the words would cut them twice
+    hashed = lines.filter(F.trim("line") != "").select(*_PLACE, F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
 
     def ranked(word: Column) -> Column:
         return F.shiftleft(F.element_at(rarity, _counter(word) + 1).cast("long"), _KEY_BITS).bitwiseOR(word.bitwiseAND(low))
 
     n = F.size("words")
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(_bit(w)))
-    sets = hashed.filter(n > 0).select(*_PLACE, "words", F.sort_array("words").alias("ordered"), n.alias("n"))
+    wide = F.when(n >= WIDE_FROM, F.array(*[_parity(lambda w, k=k: F.when(_part(w) == k, _bit(w)).otherwise(0)) for k in range(WIDE)]))
+    folded = F.aggregate("wide", F.lit(0).cast("long"), lambda bits, part: bits.bitwiseXOR(part))
+    sets = hashed.select(*_PLACE, "words", F.sort_array("words").alias("ordered"), n.alias("n"), wide.alias("wide"))
     return sets.select(
         *_PLACE,
         F.xxhash64("ordered").alias("sig"),
-        parity.alias("bits"),
+        F.when(F.col("wide").isNull(), _parity(_bit)).otherwise(folded).alias("bits"),
+        "wide",
         "n",
         F.slice(F.sort_array(F.transform("words", ranked)), F.lit(1), keep).alias("prefix"),
     )
 
 
-def _keys(prefix: Column) -> Column:
-    """Hashes of a few rare words, in an order of their own, so that a word that comes or goes moves few others."""
-    mixed = F.sort_array(F.transform(prefix, lambda w: F.xxhash64(w)))
-    last_two = F.slice(mixed, F.greatest(F.size(prefix) - 1, F.lit(1)), F.lit(2))
-    return F.array_distinct(F.array(F.xxhash64(F.slice(mixed, 1, 2), F.lit(1)), F.xxhash64(last_two, F.lit(2)), F.xxhash64(F.element_at(mixed, 1), F.element_at(mixed, -1))))
+def with_keys(classes: DataFrame) -> DataFrame:
+    """``keys``: hashes of a few rare words, in an order of their own, so that a word that comes or goes moves few others."""
+    mixed = F.sort_array(F.transform("prefix", lambda w: F.xxhash64(w)))
+    last_two = F.slice("mixed", F.greatest(F.size("mixed") - 1, F.lit(1)), F.lit(2))
+    ends = F.xxhash64(F.element_at("mixed", 1), F.element_at("mixed", -1))
+    keys = F.array_distinct(F.array(F.xxhash64(F.slice("mixed", 1, 2), F.lit(1)), F.xxhash64(last_two, F.lit(2)), ends))
+    return classes.withColumn("mixed", mixed).withColumn("keys", keys).drop("mixed")
+
+
+def _parity(bit: Callable[[Column], Column]) -> Column:
+    return F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+
+
+def _part(word: Column) -> Column:
+    """Which number of a wide bitmap a word falls in; their parity together is ``bits``."""
+    return F.shiftright(word, 46).bitwiseAND(F.lit(WIDE - 1))
 
 
 def _bit(word: Column) -> Column:
@@ -119,9 +140,16 @@ def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_
     return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * similarity) & (apart <= n + other_n - _needed(similarity, n, other_n) * 2)
 
 
+def _wide_may_match(similarity: int, a: str, b: str) -> Column:
+    """The same by the wide bitmaps of the structs ``a`` and ``b``, if both have one."""
+    n, other_n = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.wide")[k].bitwiseXOR(F.col(f"{b}.wide")[k])) for k in range(WIDE)), F.lit(0))
+    return F.coalesce(apart <= n + other_n - _needed(similarity, n, other_n) * 2, F.lit(True))
+
+
 def likely_pairs(classes: DataFrame, similarity: int) -> DataFrame:
     """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another that may match."""
-    keyed = classes.select(F.explode(_keys(F.col("prefix"))).alias("key"), "doc_id", "sig", "n", "bits")
+    keyed = classes.select(F.explode("keys").alias("key"), "doc_id", "sig", "n", "bits")
     earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
     shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
@@ -190,24 +218,38 @@ def _met(postings: DataFrame, searched: DataFrame, similarity: int) -> DataFrame
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
+def _sigs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``sig, words``: the words of the lines at ``places``, a written table; only documents that have one are cut into lines."""
+    def same(names: tuple[str, ...]) -> Column:
+        pairs = [F.col(f"here.{c}").eqNullSafe(F.col(f"asked.{c}")) for c in names]
+        return reduce(and_, pairs)
+
+    asked_docs = settle(places.select("doc_id", "text_key").distinct(), "asked-documents")
+    texts = docs.select(*_document_key(), "text").alias("here").join(small(asked_docs).alias("asked"), same(_PLACE[:2]), "left_semi")
+    every = texts.select("doc_id", "text_key", F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
+    found = every.alias("here").join(small(places).alias("asked"), same(_PLACE))
+    # rows repeated in id and text give the same words twice
+    return found.select("asked.sig", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"])
+
+
 def with_earlier_match(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """``sig, center``: the classes ``a`` that reach the similarity with a ``b`` that starts earlier, verified on the words.
 
     A class starts at its first line in the order of (id, hash of the text, line number).
     """
     pairs = settle(pairs, "line-pairs")
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
-    places = settle(classes.join(wanted, "sig", "left_semi").select("sig", F.struct(*_PLACE).alias("first")), "places")
-    at = places.select("sig", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.text_key").alias("at_text"), F.col("first.line_no").alias("at_line"))
-    every = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
-    here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")) & (F.col("line_no") == F.col("at_line"))
-    # rows repeated in id and text give the same words twice
-    words = settle(every.join(small(at), here).select("sig", "first", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"]), "line-words")
-    left = words.select(F.col("sig").alias("a"), F.col("first").alias("a_first"), F.col("words").alias("a_words"))
-    right = words.select(F.col("sig").alias("b"), F.col("first").alias("b_first"), F.col("words").alias("b_words"))
-    order = places.select("sig", "first")
-    ordered = pairs.join(order.withColumnsRenamed({"sig": "a", "first": "fa"}), "a").join(order.withColumnsRenamed({"sig": "b", "first": "fb"}), "b").filter("fb < fa").select("a", "b")
+    met = settle(_sigs(pairs), "met")
+    places = settle(classes.join(small(met), "sig", "left_semi").select("sig", F.struct(F.struct(*_PLACE).alias("first"), "n", "wide").alias("at")), "places")
+    both = pairs.join(places.withColumnsRenamed({"sig": "a", "at": "a_at"}), "a").join(places.withColumnsRenamed({"sig": "b", "at": "b_at"}), "b")
+    ordered = both.filter((F.col("b_at.first") < F.col("a_at.first")) & _wide_may_match(similarity, "a_at", "b_at")).select("a", "b")
     ordered = settle(ordered, "ordered-pairs")
+    wanted = settle(places.join(small(settle(_sigs(ordered), "wanted")), "sig", "left_semi").select("sig", "at.first.*"), "wanted-places")
+    words = settle(_words_at(docs, wanted), "line-words")
+    left, right = (words.select(F.col("sig").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     found = None
     # a pair carries the words of a line through an exchange, so a part of the pairs goes at a time
@@ -236,7 +278,7 @@ def _later_matches(docs: DataFrame, similarity: int) -> DataFrame:
     # only classes are compared; of a line no more is kept than where it is and which class it has
     lines = settle(wide.select(*_PLACE, "sig"), "lines")
     repeated = repeated_classes(lines)
-    classes = settle(first_lines(wide, repeated), "class-rows")
+    classes = settle(with_keys(first_lines(wide, repeated)), "class-rows")
     release_tables(spark, consumed)
     likely = matched(lambda: likely_pairs(classes, similarity))
     settled, centers = likely.select("sig").distinct(), settle(likely.select(F.col("center").alias("sig")).distinct(), "centers")
