@@ -310,7 +310,9 @@ def dedup_lines(docs: DataFrame, similarity: int = 80) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*kept).alias("_row"), "text", *_document_key())
     joined = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    # a column of its own: inside the function below the text would be cut again for every line
+    joined = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    lines = F.col("_lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     cut_text = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cut_text)
