@@ -51,9 +51,16 @@ def keep_last(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has few rows; any other is joined by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has few rows; any other is joined by shuffle.
+
+    ``values`` counts what a row carries beside its fixed columns, such as the size of an
+    array; all of it counts as rows.
+    """
+    held = df.limit(BROADCAST_ROWS + 1).count()
+    if values is not None and held <= BROADCAST_ROWS:
+        held += df.agg(F.coalesce(F.sum(values), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df
 
 
 def word_count(text: Column) -> Column:

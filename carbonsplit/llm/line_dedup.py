@@ -309,7 +309,7 @@ def dedup_lines(docs: DataFrame, similarity: int = 80) -> DataFrame:
     gone = later_matches(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*kept).alias("_row"), "text", *_document_key())
-    joined = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    joined = rows.join(small(gone, F.size("_removed")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     # a column of its own: inside the function below the text would be cut again for every line
     joined = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     lines = F.col("_lines")

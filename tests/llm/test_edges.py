@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carbonsplit.sources import written_tables
-from carbonsplit.llm import chat, decontamination, html_text, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
+from carbonsplit.llm import chat, common, decontamination, html_text, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash long, size string, label int, copy string"
 LONG = "word " * 20_000
@@ -44,6 +44,16 @@ def test_line_dedup(odd, none):
     assert rows(line_dedup.dedup_lines(none)) == []
 
 
+def test_line_dedup_without_broadcast(spark, monkeypatch):
+    """A table whose arrays hold more values than may be broadcast is joined by shuffle, with the same rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    gone = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, removed array<int>")
+    explained = [small._jdf.queryExecution().analyzed().toString() for small in (common.small(gone), common.small(gone, F.size("removed")))]
+    assert ["broadcast" in plan for plan in explained] == [True, False]
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, [(1, "a b c\nd e f\na b c\nf e d", "s"), (2, "x y z\na b c", "s")])).collect()}
+    assert found == {1: "a b c\nd e f", 2: "x y z"}
+
+
 def test_line_dedup_takes_text_ids(spark):
     """Order is that of the ids' own type: 10 comes before 9 as text."""
     lines = [("9", "a b c d e f g h i j"), ("10", "a b c d e f g h i k"), ("a1", "x y z"), ("b2", "z y x")]
