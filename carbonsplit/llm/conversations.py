@@ -15,18 +15,21 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carbonsplit.llm.common import cut
+from carbonsplit.llm.common import cut, small
 
 #: Turns of a chunk at most.
 CHUNK = 4096
 #: Chunks that one task may fix one after another, to the power of the number of passes that did not suffice.
 REACH = 64
+#: Chunks of longer conversations for each task that works on them.
+CHUNKS_PER_TASK = 64
 
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {USER: "user", ASSISTANT: "assistant"}
@@ -162,14 +165,15 @@ def in_order(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
     placed = cut(placed, "turns").withColumn("_part", F.shiftright("place", 33))
     sizes = placed.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_n"))
-    # one row per shuffle partition
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    # one row per shuffle partition; written, since every reader of the turns joins it
+    starts = sizes.coalesce(1).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    starts = cut(starts, "starts")
     block = F.col("_start") + F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / chunk)
     return placed.join(F.broadcast(starts), "_part").withColumn("block", block.cast("long")).drop("_part", "_start")
 
 
 def chunks(turns: DataFrame) -> DataFrame:
-    """``conv_id, block, kinds``: one letter per turn of a chunk, which tells initial and first fault.
+    """``conv_id, block, kinds, low, high, numbers``: one letter per turn of a chunk, which tells initial and first fault; least and greatest turn number and how many there are.
 
     A turn is a duplicate unless it is the first of its conversation with that role and
     text; the first ones come as rows of their own to the turns' blocks, so no frequent
@@ -177,13 +181,14 @@ def chunks(turns: DataFrame) -> DataFrame:
     """
     first = turns.groupBy("conv_id", "said").agg(F.min(F.struct("place", "block")).alias("at")).select("conv_id", "at.*")
     marks = ["initial", "blank", "truncated"]
-    rows = turns.select("conv_id", "block", "place", *marks, F.lit(False).alias("first"))
+    rows = turns.select("conv_id", "block", "place", *marks, "turn", F.lit(False).alias("first"))
     rows = rows.unionByName(first.withColumn("first", F.lit(True)), allowMissingColumns=True)
-    one = rows.repartition("block").groupBy("conv_id", "block", "place").agg(*[F.max(m).alias(m) for m in (*marks, "first")])
+    one = rows.repartition("block").groupBy("conv_id", "block", "place").agg(*[F.max(m).alias(m) for m in (*marks, "turn", "first")])
     fault = F.when(F.col("blank"), 3).when(~F.col("first"), 2).when(F.col("truncated"), 1).otherwise(0)
     kind = F.char(65 + 4 * F.col("initial") + fault)
     letters = F.array_sort(F.collect_list(F.struct("place", kind.alias("kind"))))
-    return one.groupBy("conv_id", "block").agg(F.array_join(F.transform(letters, lambda x: x["kind"]), "").alias("kinds"))
+    numbers = [F.min("turn").alias("low"), F.max("turn").alias("high"), F.size(F.array_distinct(F.collect_list("turn"))).cast("long").alias("numbers")]
+    return one.groupBy("conv_id", "block").agg(F.array_join(F.transform(letters, lambda x: x["kind"]), "").alias("kinds"), *numbers)
 
 
 _COUNTS = ("blank", "duplicate", "truncated", "illegal")
@@ -211,7 +216,7 @@ def solved(found: DataFrame) -> DataFrame:
     times as many chunks, from the last to the first, so the passes grow with the
     logarithm of a conversation's length even if vectors never converge.
     """
-    reach = 1
+    reach, tasks = 1, _tasks(found)
     while True:
         ahead = found.select("conv_id", (F.col("block") - 1).alias("block"), F.col("begin").alias("seen"))
         joined = matched(found, ahead, ["conv_id", "block"], "left")
@@ -222,11 +227,16 @@ def solved(found: DataFrame) -> DataFrame:
         if joined.filter(level("seen") != level("goal")).isEmpty():
             return joined
         group = F.floor(F.col("block") / reach)
-        queued = joined.withColumn("group", group).repartition("group").sortWithinPartitions("group", "conv_id", F.col("block").desc()).drop("group")
+        queued = joined.withColumn("group", group).repartition("group").coalesce(tasks).sortWithinPartitions("group", "conv_id", F.col("block").desc()).drop("group")
         found = cut(queued.mapInPandas(_rerun, queued.drop("seen").schema), "vectors")
         reach *= REACH
 
 
+def _tasks(found: DataFrame) -> int:
+    """Tasks for the chunks of longer conversations, a written table: a few chunks are not dealt out over all partitions."""
+    return max(1, math.ceil(found.count() / CHUNKS_PER_TASK))
+
+
 def _rerun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     steps = Steps()
     ahead = None
@@ -278,7 +288,7 @@ def started(found: DataFrame) -> DataFrame:
                 state = int(way[state])
             yield pd.DataFrame({"conv_id": b["conv_id"], "block": b["block"], "start": states})
 
-    maps = found.select("conv_id", "block", "first", ends("kinds", "goal", "last").alias("ends")).repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    maps = found.select("conv_id", "block", "first", ends("kinds", "goal", "last").alias("ends")).repartition("conv_id").coalesce(_tasks(found)).sortWithinPartitions("conv_id", "block")
     states = maps.mapInPandas(walk, "conv_id string, block long, start int")
     return matched(found, states, ["conv_id", "block"])
 
@@ -304,11 +314,14 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, Dat
     """
     turns = in_order(conversations, chunk)
     measure = F.pandas_udf(_measured, "blank long, duplicate long, truncated long, illegal long, begin array<long>")
-    cuts = chunks(turns).select("conv_id", "block", "kinds", F.array(*[F.lit(x).cast("long") for x in FINAL]).alias("goal"), measure("kinds").alias("m"))
-    cuts = cut(cuts.select("conv_id", "block", "kinds", "goal", "m.*"), "chunks")
+    numbers = ["low", "high", "numbers"]
+    cuts = chunks(turns).select("conv_id", "block", "kinds", *numbers, F.array(*[F.lit(x).cast("long") for x in FINAL]).alias("goal"), measure("kinds").alias("m"))
+    cuts = cut(cuts.select("conv_id", "block", "kinds", *numbers, "goal", "m.*"), "chunks")
 
     spans = cuts.groupBy("conv_id").agg(F.min("block").alias("_low"), F.max("block").alias("_high")).filter("_low < _high")
-    vectors = ["conv_id", "block", "kinds", "goal", "begin"]
+    # at most one conversation for each two neighbouring blocks
+    spans = small(cut(spans, "spans"))
+    vectors = ["conv_id", "block", "kinds", *numbers, "goal", "begin"]
     longer = matched(cuts.select(vectors), spans, ["conv_id"])
     longer = cut(longer.withColumns({"first": F.col("block") == F.col("_low"), "last": F.col("block") == F.col("_high")}).drop("_low", "_high"), "longer")
     whole = matched(cuts, spans, ["conv_id"], "left_anti")
@@ -316,23 +329,27 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, Dat
 
     ways = traced(whole.withColumns({"start": F.lit(NOTHING), "last": F.lit(True)})).unionByName(traced(started(joint)))
     ways = cut(ways, "ways")
-    return _edited(turns, ways), _summary(turns, cuts, whole, joint, ways)
+    return _edited(turns, ways), _summary(cuts, whole, joint, ways)
 
 
-def _summary(turns: DataFrame, cuts: DataFrame, whole: DataFrame, joint: DataFrame, ways: DataFrame) -> DataFrame:
-    numbers = turns.groupBy("conv_id").agg(F.max("turn").alias("high"), F.min("turn").alias("low"), F.count_distinct("turn").alias("n"))
-    gaps = numbers.select("conv_id", F.coalesce(F.col("high") - F.col("low") + 1 - F.col("n"), F.lit(0)).cast("long").alias("gaps"))
+def _summary(cuts: DataFrame, whole: DataFrame, joint: DataFrame, ways: DataFrame) -> DataFrame:
+    """What the chunks of a conversation add up to, in one grouped pass."""
     # a chunk's vector is right up to the constant by which the next chunk's exceeds the one assumed
     shift = F.coalesce(F.col("seen")[0] - F.col("goal")[0], F.lit(0))
     costs = whole.select("conv_id", F.col("begin")[0].alias("cost"))
     costs = costs.unionByName(joint.select("conv_id", (shift + F.when(F.col("first"), F.col("begin")[0]).otherwise(0)).alias("cost")))
-    ahead = joint.select("conv_id", (F.col("block") - 1).alias("block"), _role_of(F.substring("kinds", 1, 1)).alias("next"))
-    pairs = matched(joint, ahead, ["conv_id", "block"]).select("conv_id", F.concat(_role_of(F.substring("kinds", -1, 1)), "next").alias("pair"))
-    costs = costs.withColumn("illegal", F.lit(0)).unionByName(pairs.select("conv_id", F.lit(0).alias("cost"), (~F.col("pair").isin("01", "12", "21")).cast("int").alias("illegal")))
-    counts = cuts.select("conv_id", *_COUNTS).unionByName(costs, allowMissingColumns=True)
-    counts = counts.groupBy("conv_id").agg(*[F.sum(c).cast("long").alias(c) for c in (*_COUNTS, "cost")])
-    audit = ways.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "edits"))), lambda x: x["edits"]), "").alias("audit"))
-    return matched(matched(gaps, counts, ["conv_id"]), audit, ["conv_id"])
+    ahead = joint.select("conv_id", (F.col("block") - 1).alias("block"), _role_of(F.substring("kinds", 1, 1)).alias("next"), F.col("low").alias("next_low"))
+    pairs = matched(joint, ahead, ["conv_id", "block"])
+    pair = F.concat(_role_of(F.substring("kinds", -1, 1)), "next")
+    # turns go by number, so two chunks share at most the number between them
+    pairs = pairs.select("conv_id", (~pair.isin("01", "12", "21")).cast("int").alias("illegal"), F.when(F.col("high") == F.col("next_low"), -1).otherwise(0).alias("numbers"))
+    counts = cuts.select("conv_id", *_COUNTS, "low", "high", "numbers")
+    for part in (costs, pairs, ways.select("conv_id", F.struct("block", "edits").alias("way"))):
+        counts = counts.unionByName(part, allowMissingColumns=True)
+    sums = [F.sum(c).cast("long").alias(c) for c in (*_COUNTS, "cost")]
+    gaps = F.coalesce(F.max("high") - F.min("low") + 1 - F.sum("numbers"), F.lit(0)).cast("long").alias("gaps")
+    audit = F.array_join(F.transform(F.array_sort(F.collect_list("way")), lambda x: x["edits"]), "").alias("audit")
+    return counts.groupBy("conv_id").agg(gaps, *sums, audit)
 
 
 def _role_of(kind: Column) -> Column:

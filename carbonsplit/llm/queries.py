@@ -101,11 +101,15 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
     turns, summary = conversations.repair(damaged(rows))
-    ids = rows.select(F.col("conv_id").cast("long").alias("id"), F.col("conv_id").cast("string").alias("conv_id")).distinct()
-    found = conversations.matched(conversations.matched(ids, summary, ["conv_id"], "left"), conversations.text_digests(turns), ["conv_id"], "left")
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
-    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
-    return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
+    # every id, its counts and its digest meet in one grouped pass; null is a conversation's id as well
+    found = rows.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("conv_id").cast("long").alias("id"))
+    for part in (summary, conversations.text_digests(turns)):
+        found = found.unionByName(part, allowMissingColumns=True)
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    counts = [F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in names]
+    digest = F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    one = found.groupBy("conv_id").agg(F.max("id").alias("id"), *counts, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), digest)
+    return one.select(F.col("id").alias("conv_id"), *names, "audit", "repaired_sha256")
 
 
 def op13_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,3 +161,25 @@ def test_registered_query(spark):
     got = QUERIES["op12_conversation_repair"](spark, FOLDER)
     assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_few_rows_are_not_dealt_out_again_and_again(spark):
+    """With many partitions the tasks of small steps were most of the work."""
+    parts = 40
+    held = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("op12-tasks", "")
+        QUERIES["op12_conversation_repair"](spark, FOLDER).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("op12-tasks") for s in status.getJobInfo(job).stageIds}
+    done = [info.numCompletedTasks for s in stages if (info := status.getStageInfo(s))]
+    assert sum(n >= parts for n in done) <= 11
