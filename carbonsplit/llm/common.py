@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from carbonsplit.sources.shared import release_tables, shared_folder, shared_table, written_tables
 
-__all__ = ["WORD", "cut", "keep_last", "lower_ascii", "read_table", "settle", "shared_folder", "small", "word_count"]
+__all__ = ["WORD", "cut", "is_small", "keep_last", "lower_ascii", "read_table", "settle", "shared_folder", "small", "word_count"]
 
 #: Spark's own setting: the shuffle files of an execution go when it ends.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -51,16 +51,22 @@ def keep_last(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, values: Column | None = None) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has few rows; any other is joined by shuffle.
+def is_small(df: DataFrame, values: Column | None = None) -> bool:
+    """Whether ``df``, a written table, has few rows.
 
     ``values`` counts what a row carries beside its fixed columns, such as the size of an
     array; all of it counts as rows.
     """
-    held = df.limit(BROADCAST_ROWS + 1).count()
+    # files of a written table know their rows; a limit would send them through one task
+    held = df.count()
     if values is not None and held <= BROADCAST_ROWS:
         held += df.agg(F.coalesce(F.sum(values), F.lit(0))).first()[0]
-    return F.broadcast(df) if held <= BROADCAST_ROWS else df
+    return held <= BROADCAST_ROWS
+
+
+def small(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """``df``, a written table, marked for broadcast if ``is_small``; any other is joined by shuffle."""
+    return F.broadcast(df) if is_small(df, values) else df
 
 
 def word_count(text: Column) -> Column:

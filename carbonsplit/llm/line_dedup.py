@@ -3,9 +3,9 @@
 A line is the set of its lower-cased words.  Lines with equal sets form a class, and the
 join runs over classes.  Words are ordered by rarity; two sets that are similar enough
 share a word among their first few (prefix filter), so those words are the join key.
-Length and position of the shared word and a bitmap of the set refuse most pairs in the
-join itself, a wider bitmap of the longer lines most of what is left; the rest is verified
-on the words.
+Length and position of the shared word and a bitmap of the set, of twice the bits for the
+longer lines, refuse nearly all other pairs in the join itself, a bitmap of twice the bits
+again most of what is left; the rest is verified on the words.
 
 Only whether a class has an earlier match is asked.  So that a group of near copies is
 not compared pair by pair, each class is first compared with the earliest class that
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from carbonsplit.llm.common import keep_last, settle, small
+from carbonsplit.llm.common import is_small, keep_last, settle, small
 from carbonsplit.sources.shared import release_tables, written_tables
 
 #: Counters of word frequency; words that share one count as equally rare, which changes no result.
@@ -36,8 +36,10 @@ _POS_BITS = 31
 WIDE_FROM = 48
 #: Numbers of 64 bits in a wide bitmap.
 WIDE = 4
-#: Parts in which the postings are joined and the pairs verified.
+#: Parts in which the postings are joined and the pairs verified at most.
 ROUNDS = 4
+#: Pairs that are verified in one part.
+PAIRS_PER_ROUND = 200_000
 _PLACE = ("doc_id", "text_key", "line_no")
 
 
@@ -81,11 +83,11 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
-    """One row per line that has words: place, class (``sig``, ``bits``, ``wide``, ``n`` words) and ``prefix``.
+    """One row per line that has words: place, class (``sig``, ``bits``, ``half``, ``wide``, ``n`` words) and ``prefix``.
 
     Sets are told apart by ``sig``, 64 bits of all their words' hashes.  ``bits`` has the parity of
     words per hash bit, so two sets differ in at least as many words as their bitmaps
-    differ in bits; ``wide`` is the same over more bits, null for short lines.  ``prefix`` are the rarest words, of which a similar line must share
+    differ in bits; ``wide`` is the same over more bits, ``half`` with ``bits`` over twice as many, both null for short lines.  ``prefix`` are the rarest words, of which a similar line must share
     one, as numbers that sort by rarity first.
     """
     rarity = _rarity(docs)
@@ -106,6 +108,8 @@ def signatures(docs: DataFrame, similarity: int) -> DataFrame:
         *_PLACE,
         F.xxhash64("ordered").alias("sig"),
         F.when(F.col("wide").isNull(), _parity(_bit)).otherwise(folded).alias("bits"),
+        # the bits of the other half are these without the ones of this half
+        F.col("wide")[0].bitwiseXOR(F.col("wide")[1]).alias("half"),
         "wide",
         "n",
         F.slice(F.sort_array(F.transform("words", ranked)), F.lit(1), keep).alias("prefix"),
@@ -140,6 +144,14 @@ def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_
     return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * similarity) & (apart <= n + other_n - _needed(similarity, n, other_n) * 2)
 
 
+def _halves_may_match(similarity: int, n: Column, other_n: Column) -> Column:
+    """The same by the bitmaps' halves, of postings ``a`` and ``b`` that both have them."""
+    one = F.col("a.half").bitwiseXOR(F.col("b.half"))
+    other = one.bitwiseXOR(F.col("a.bits")).bitwiseXOR(F.col("b.bits"))
+    apart = F.bit_count(one) + F.bit_count(other)
+    return F.coalesce(apart <= n + other_n - _needed(similarity, n, other_n) * 2, F.lit(True))
+
+
 def _wide_may_match(similarity: int, a: str, b: str) -> Column:
     """The same by the wide bitmaps of the structs ``a`` and ``b``, if both have one."""
     n, other_n = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -173,15 +185,15 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """A row for each class and word of its prefix."""
-    marked = classes.join(small(settled).withColumn("done", F.lit(True)), "sig", "left")
+    """A row for each class and word of its prefix; ``settled`` as given by ``small``."""
+    marked = classes.join(settled.withColumn("done", F.lit(True)), "sig", "left")
     # ids of another type do not sort as numbers: all places are then alike, and verification tells which line is earlier
     whole = isinstance(classes.schema["doc_id"].dataType, IntegralType)
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.lit(0).cast("long")
     # one number for the words, whether the class still searches and the place in the prefix; one exchange then serves both sides of the join
     size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).cast("long")
-    rows = marked.select("sig", "bits", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
-    return rows.select("sig", "bits", "place", (F.shiftleft("size", _POS_BITS) + F.col("pos")).alias("at"), "word")
+    rows = marked.select("sig", "bits", "half", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("sig", "bits", "half", "place", (F.shiftleft("size", _POS_BITS) + F.col("pos")).alias("at"), "word")
 
 
 def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, centers: DataFrame | None = None) -> DataFrame:
@@ -192,13 +204,24 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     only those classes are searched for.
 
     The words are joined in ``ROUNDS`` parts, one after another, so that no more than a
-    part of the postings lies on disk at a time.
+    part of the postings lies on disk at a time.  Few centers are broadcast; then no
+    posting goes to disk, and one part is enough.
     """
-    postings = _postings(classes, settled)
-    searched = postings if centers is None else small(settle(_postings(classes.join(small(centers), "sig", "left_semi"), settled), "centers"))
+    known = small(settled)
+    postings = _postings(classes, known)
+    if centers is None:
+        return _pairs_in_parts(postings, postings, similarity, ROUNDS)
+    searched = settle(_postings(classes.join(small(centers), "sig", "left_semi"), known), "centers")
+    few = is_small(searched)
+    return _pairs_in_parts(postings, F.broadcast(searched) if few else searched, similarity, 1 if few else ROUNDS)
+
+
+def _pairs_in_parts(postings: DataFrame, searched: DataFrame, similarity: int, parts: int) -> DataFrame:
+    if parts == 1:
+        return _met(postings, searched, similarity)
     found = None
-    for turn in range(ROUNDS):
-        of_turn = F.pmod(F.col("word"), F.lit(ROUNDS)) == turn
+    for turn in range(parts):
+        of_turn = F.pmod(F.col("word"), F.lit(parts)) == turn
         part = settle(_met(postings.filter(of_turn), searched.filter(of_turn), similarity), "pairs-of-turn")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
@@ -214,7 +237,7 @@ def _met(postings: DataFrame, searched: DataFrame, similarity: int) -> DataFrame
     near = _may_match(similarity, a_n, F.col("a.bits"), b_n, F.col("b.bits")) & (F.col("a.sig") != F.col("b.sig"))
     # the shared word and all that follow it must be enough
     placed = F.least(a_n - a_pos, b_n - b_pos) >= needed
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed & _halves_may_match(similarity, a_n, b_n))
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
@@ -251,13 +274,19 @@ def with_earlier_match(pairs: DataFrame, docs: DataFrame, classes: DataFrame, si
     words = settle(_words_at(docs, wanted), "line-words")
     left, right = (words.select(F.col("sig").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
     shared = F.size(F.array_intersect("a_words", "b_words"))
-    found = None
-    # a pair carries the words of a line through an exchange, so a part of the pairs goes at a time
-    for turn in range(ROUNDS):
-        of_turn = F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS)) == turn
-        both = ordered.filter(of_turn).join(left, "a").join(right, "b")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(left, "a").join(right, "b")
         alike = both.filter(shared * (100 + similarity) >= (F.size("a_words") + F.size("b_words")) * similarity)
-        part = settle(alike.select(F.col("a").alias("sig"), F.col("b").alias("center")), "later-of-turn")
+        return alike.select(F.col("a").alias("sig"), F.col("b").alias("center"))
+
+    # a pair carries the words of a line through an exchange, so many pairs go a part at a time
+    parts = min(ROUNDS, max(1, math.ceil(ordered.count() / PAIRS_PER_ROUND)))
+    if parts == 1:
+        return settle(verified(ordered), "later")
+    found = None
+    for turn in range(parts):
+        part = settle(verified(ordered.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == turn)), "later-of-turn")
         found = part if found is None else found.unionByName(part)
     return settle(found, "later")
 
