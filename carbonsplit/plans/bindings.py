@@ -79,6 +79,10 @@ class Star:
             self._folders |= set(written_tables(self.spark)) - before
         return self._stored[name]
 
+    def once(self, name: str) -> DataFrame:
+        """The stored table if there is one, else the frame itself: for steps that need few of its rows or columns."""
+        return self._stored[name] if name in self._stored else getattr(self, name)
+
     def close(self) -> None:
         """Remove the stored tables; frames of this object must not be used any more."""
         release_tables(self.spark, self._folders)

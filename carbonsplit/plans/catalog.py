@@ -577,7 +577,7 @@ def d37_index_city(s: Star) -> DataFrame:
 @query
 def d37_base_year_violations(s: Star) -> DataFrame:
     """Cities without exactly one row in the base year of the index."""
-    return constraints.base_row_counts(s.stored("city_attributed"), "city", b.BASE_YEAR)
+    return constraints.base_row_counts(s.once("city_attributed"), "city", b.BASE_YEAR)
 
 
 def _index(df: DataFrame, entity: str) -> DataFrame:
