@@ -694,7 +694,7 @@ def _country_classes(s: Star) -> DataFrame:
 
 def _city_classes(s: Star) -> DataFrame:
     return alignment.classify_alignment(
-        _paired(s.stored("city_attributed"), "city"), s.stored("city_targets"), "city", b.CHECK_YEAR
+        _paired(s.once("city_attributed"), "city"), s.stored("city_targets"), "city", b.CHECK_YEAR
     )
 
 

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", ["d37_base_year_violations"])
+@pytest.mark.parametrize("name", ["d37_base_year_violations", "d45_alignment_summary"])
 def test_attributed_cities_are_not_written_for_one_reader(spark, name):
     star = Star(spark, FOLDER)
     run = registered(star)[name]
