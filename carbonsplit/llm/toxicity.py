@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,12 +132,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _packed(documents: list[list[list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary, word index per token, tokens per line, lines per document."""
-    words = [w for lines in documents for line in lines for w in line]
-    index, vocabulary = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
-    lengths = np.array([len(line) for lines in documents for line in lines], np.int64)
-    return list(vocabulary), index, lengths, np.array([len(lines) for lines in documents], np.int64)
+def _packed(documents: Iterable[list[list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Vocabulary, word index per token, tokens per line, lines per document.
+
+    The documents may come one by one: a token is kept as its number, and as a string only once.
+    """
+    numbers: dict[str, int] = {}
+    index, lengths, lines = array("q"), array("q"), array("q")
+    for document in documents:
+        lines.append(len(document))
+        for line in document:
+            lengths.append(len(line))
+            index.extend([numbers.setdefault(w, len(numbers)) for w in line])
+    return list(numbers), *(np.array(x, np.int64) for x in (index, lengths, lines))
 
 
 def _feature_table(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +153,11 @@ def _feature_table(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([f for fs in each for f in fs], np.int64), np.repeat(np.arange(len(each)), [len(fs) for fs in each])
 
 
-def marginals(model: Crf, documents: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+def marginals(model: Crf, documents: Iterable[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
     """The toxic state's log-odds per token of all documents, and the tokens per document."""
     vocabulary, index, lengths, lines = _packed(documents)
-    owner = np.repeat(np.arange(len(documents)), lines)
-    per_document = np.bincount(owner, weights=lengths, minlength=len(documents)).astype(np.int64)
+    owner = np.repeat(np.arange(len(lines)), lines)
+    per_document = np.bincount(owner, weights=lengths, minlength=len(lines)).astype(np.int64)
     if not len(index):
         return np.zeros(0), per_document
     buckets, word = _feature_table(vocabulary)
@@ -243,7 +252,7 @@ def offsets(text: str, log_odds: np.ndarray) -> list[dict]:
 
 
 #: Code points whose messages are passed at a time (whole documents; a longer one goes alone).
-_BATCH_CHARS = 4 << 20
+_BATCH_CHARS = 2 << 20
 
 
 def batches(texts: pd.Series):
@@ -263,7 +272,7 @@ def scored(model: Crf, texts: pd.Series) -> pd.DataFrame:
     scores, spans = [], []
     bias, by_clearest, by_expected = model.scale
     for part in batches(texts):
-        log_odds, per_document = marginals(model, [lines_of(t) for t in part])
+        log_odds, per_document = marginals(model, (lines_of(t) for t in part))
         x = evidence(log_odds, per_document)
         scores.append(_sigmoid(bias + by_clearest * x[:, 0] + by_expected * x[:, 1]))
         ends = np.cumsum(per_document)
