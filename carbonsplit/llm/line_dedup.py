@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,18 @@ from carbonsplit.sources.shared import release_tables, written_tables
 
 #: Counters of word frequency; words that share one count as equally rare, which changes no result.
 RARITY_COUNTERS = 1 << 16
-_KEY_BITS = 40
+#: Bits of a word's hash that are kept beside its rarity.
+_KEY_BITS = 55
 _POS_BITS = 31
-#: Sets of so many words have a wide bitmap: on 64 bits too many words fall on each other.
+#: Sets of so many words have a bitmap of 128 bits: on 64 too many words fall on each other.
 WIDE_FROM = 48
+#: Sets of so many words have a wide bitmap beside it: on 128 bits too many words fall on each other.
+WIDER_FROM = 160
 #: Numbers of 64 bits in a wide bitmap.
 WIDE = 4
-#: Parts in which the postings are joined and the pairs verified at most.
+#: Parts in which the postings are joined.
+POSTING_ROUNDS = 2
+#: Parts in which pairs are verified at most.
 ROUNDS = 4
 #: Pairs that are verified in one part.
 PAIRS_PER_ROUND = 200_000
@@ -49,10 +54,13 @@ def _document_key() -> list[Column]:
 
 def _folded(text: Column) -> Column:
     """Lower case, with a blank for every white space but the line feed."""
-    folded = F.lower(F.coalesce(text, F.lit("")))
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    folded = lower
     for space in "\t\x0b\x0c\r":
         folded = F.replace(folded, F.lit(space), F.lit(" "))
-    return folded
+    # few texts have any of them, and to see that takes less than to replace none
+    odd = reduce(or_, [F.contains(F.coalesce(text, F.lit("")), F.lit(space)) for space in "\t\x0b\x0c\r"])
+    return F.when(odd, folded).otherwise(lower)
 
 
 def _words(line: Column) -> Column:
@@ -60,7 +68,7 @@ def _words(line: Column) -> Column:
 
 
 def _counter(word: Column) -> Column:
-    return F.pmod(word, F.lit(RARITY_COUNTERS)).cast("int")
+    return word.bitwiseAND(F.lit(RARITY_COUNTERS - 1))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -74,7 +82,7 @@ def _rarity(docs: DataFrame) -> Column:
     for row in counts.collect():
         steps[row["at"]] = int(4 * math.log2(row["count"])) + 1
     # one literal: a string that Spark turns into an array once
-    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<long>")
 
 
 def _needed(similarity: int, a: Column, b: Column) -> Column:
@@ -85,35 +93,42 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
     """One row per line that has words: place, class (``sig``, ``bits``, ``half``, ``wide``, ``n`` words) and ``prefix``.
 
-    Sets are told apart by ``sig``, 64 bits of all their words' hashes.  ``bits`` has the parity of
-    words per hash bit, so two sets differ in at least as many words as their bitmaps
-    differ in bits; ``wide`` is the same over more bits, ``half`` with ``bits`` over twice as many, both null for short lines.  ``prefix`` are the rarest words, of which a similar line must share
-    one, as numbers that sort by rarity first.
+    A word is a number that sorts by rarity first and then by its hash.  Sets are told
+    apart by ``sig``, 64 bits of all their words.  ``bits`` has the parity of words per
+    hash bit, so two sets differ in at least as many words as their bitmaps differ in
+    bits; ``half`` with ``bits`` is the same over twice as many bits, ``wide`` over four
+    times as many, null for lines too short to need them.  ``prefix`` are the rarest
+    words, of which a similar line must share one.
     """
     rarity = _rarity(docs)
     low = F.lit((1 << _KEY_BITS) - 1)
     lines = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
-    # blank lines go before their words are cut: a filter on the words would cut them twice
-    hashed = lines.filter(F.trim("line") != "").select(*_PLACE, F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
 
     def ranked(word: Column) -> Column:
-        return F.shiftleft(F.element_at(rarity, _counter(word) + 1).cast("long"), _KEY_BITS).bitwiseOR(word.bitwiseAND(low))
+        # never null, so that the numbers are sorted as they are and not as objects
+        step = F.coalesce(F.get(rarity, _counter(word)), F.lit(0).cast("long"))
+        return F.shiftleft(step, _KEY_BITS).bitwiseOR(word.bitwiseAND(low))
 
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    # blank lines go before their words are cut: a filter on the words would cut them twice
+    sets = lines.filter(F.trim("line") != "").select(*_PLACE, F.sort_array(F.array_distinct(F.transform(hashes, ranked))).alias("words"))
     n = F.size("words")
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
-    wide = F.when(n >= WIDE_FROM, F.array(*[_parity(lambda w, k=k: F.when(_part(w) == k, _bit(w)).otherwise(0)) for k in range(WIDE)]))
-    folded = F.aggregate("wide", F.lit(0).cast("long"), lambda bits, part: bits.bitwiseXOR(part))
-    sets = hashed.select(*_PLACE, "words", F.sort_array("words").alias("ordered"), n.alias("n"), wide.alias("wide"))
-    return sets.select(
+    maps = sets.select(
         *_PLACE,
-        F.xxhash64("ordered").alias("sig"),
-        F.when(F.col("wide").isNull(), _parity(_bit)).otherwise(folded).alias("bits"),
-        # the bits of the other half are these without the ones of this half
-        F.col("wide")[0].bitwiseXOR(F.col("wide")[1]).alias("half"),
-        "wide",
-        "n",
-        F.slice(F.sort_array(F.transform("words", ranked)), F.lit(1), keep).alias("prefix"),
+        F.xxhash64("words").alias("sig"),
+        _parity().alias("bits"),
+        F.when(n >= WIDE_FROM, _parity(lambda w: _one_of(w, 46))).alias("half"),
+        F.when(n >= WIDER_FROM, _parity(lambda w: _one_of(w, 47))).alias("other"),
+        F.when(n >= WIDER_FROM, _parity(lambda w: _one_of(w, 46).bitwiseAND(_one_of(w, 47)))).alias("both"),
+        n.alias("n"),
+        F.slice("words", F.lit(1), keep).alias("prefix"),
     )
+    # the words of a quarter: neither of the two bits, one of them, the other, both
+    one, other = (F.col(x).bitwiseXOR(F.col("both")) for x in ("half", "other"))
+    neither = F.col("bits").bitwiseXOR(F.col("half")).bitwiseXOR(other)
+    wide = F.when(F.col("both").isNotNull(), F.array(neither, one, other, F.col("both")))
+    return maps.select(*_PLACE, "sig", "bits", "half", wide.alias("wide"), "n", "prefix")
 
 
 def with_keys(classes: DataFrame) -> DataFrame:
@@ -125,17 +140,19 @@ def with_keys(classes: DataFrame) -> DataFrame:
     return classes.withColumn("mixed", mixed).withColumn("keys", keys).drop("mixed")
 
 
-def _parity(bit: Callable[[Column], Column]) -> Column:
-    return F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+def _parity(counted: Callable[[Column], Column] | None = None) -> Column:
+    """For each hash bit the parity of the words that fall on it, of all or of those for which ``counted`` is 1 and not 0."""
+    one = F.lit(1).cast("long")
 
+    def bit(word: Column) -> Column:
+        # of the distance a shift takes the last six bits
+        return F.call_function("shiftleft", one if counted is None else counted(word), F.shiftright(word, 40).cast("int"))
 
-def _part(word: Column) -> Column:
-    """Which number of a wide bitmap a word falls in; their parity together is ``bits``."""
-    return F.shiftright(word, 46).bitwiseAND(F.lit(WIDE - 1))
+    return F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
-def _bit(word: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(word, 40).bitwiseAND(F.lit(63)).cast("int"))
+def _one_of(word: Column, at: int) -> Column:
+    return F.shiftright(word, at).bitwiseAND(F.lit(1).cast("long"))
 
 
 def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
@@ -203,17 +220,17 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     same document both orders pass; verification tells which is later.  With ``centers``
     only those classes are searched for.
 
-    The words are joined in ``ROUNDS`` parts, one after another, so that no more than a
+    The words are joined in ``POSTING_ROUNDS`` parts, one after another, so that no more than a
     part of the postings lies on disk at a time.  Few centers are broadcast; then no
     posting goes to disk, and one part is enough.
     """
     known = small(settled)
     postings = _postings(classes, known)
     if centers is None:
-        return _pairs_in_parts(postings, postings, similarity, ROUNDS)
+        return _pairs_in_parts(postings, postings, similarity, POSTING_ROUNDS)
     searched = settle(_postings(classes.join(small(centers), "sig", "left_semi"), known), "centers")
     few = is_small(searched)
-    return _pairs_in_parts(postings, F.broadcast(searched) if few else searched, similarity, 1 if few else ROUNDS)
+    return _pairs_in_parts(postings, F.broadcast(searched) if few else searched, similarity, 1 if few else POSTING_ROUNDS)
 
 
 def _pairs_in_parts(postings: DataFrame, searched: DataFrame, similarity: int, parts: int) -> DataFrame:
