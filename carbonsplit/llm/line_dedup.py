@@ -3,6 +3,7 @@
 A line is the set of its lower-cased words.  Lines with equal sets form a class, and the
 join runs over classes.  Words are ordered by rarity; two sets that are similar enough
 share a word among their first few (prefix filter), so those words are the join key.
+Of two sets the one with fewer words is looked up by fewer of them than the other.
 Length and position of the shared word and a bitmap of the set, of twice the bits for the
 longer lines, refuse nearly all other pairs in the join itself, a bitmap of twice the bits
 again most of what is left; the rest is verified on the words.
@@ -71,13 +72,24 @@ def _counter(word: Column) -> Column:
     return word.bitwiseAND(F.lit(RARITY_COUNTERS - 1))
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """For each counter how often its words occur in all texts, in steps of a fourth of a doubling.
+def line_words(docs: DataFrame) -> DataFrame:
+    """One row per line that has words: place, class (``sig``) and ``words``, the sorted hashes of its words, each once.
+
+    Sets are told apart by ``sig``, 64 bits of all their words.
+    """
+    lines = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    # blank lines go before their words are cut: a filter on the words would cut them twice
+    sets = lines.filter(F.trim("line") != "").select(*_PLACE, F.sort_array(F.array_distinct(hashes)).alias("words"))
+    return sets.select(*_PLACE, F.xxhash64("words").alias("sig"), "words")
+
+
+def _rarity(lines: DataFrame) -> Column:
+    """For each counter in how many lines its words occur, in steps of a fourth of a doubling.
 
     The counters are all that comes to the driver, and their number is fixed.
     """
-    words = docs.select(F.explode(F.split(F.replace(_folded(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(_counter(F.xxhash64("word")).alias("at")).count()
+    counts = lines.select(F.explode("words").alias("word")).groupBy(_counter(F.col("word")).alias("at")).count()
     steps = [0] * RARITY_COUNTERS
     for row in counts.collect():
         steps[row["at"]] = int(4 * math.log2(row["count"])) + 1
@@ -91,32 +103,34 @@ def _needed(similarity: int, a: Column, b: Column) -> Column:
 
 
 def signatures(docs: DataFrame, similarity: int) -> DataFrame:
-    """One row per line that has words: place, class (``sig``, ``bits``, ``half``, ``wide``, ``n`` words) and ``prefix``.
-
-    A word is a number that sorts by rarity first and then by its hash.  Sets are told
-    apart by ``sig``, 64 bits of all their words.  ``bits`` has the parity of words per
-    hash bit, so two sets differ in at least as many words as their bitmaps differ in
-    bits; ``half`` with ``bits`` is the same over twice as many bits, ``wide`` over four
-    times as many, null for lines too short to need them.  ``prefix`` are the rarest
-    words, of which a similar line must share one.
+    """One row per line that has words, by place: class (``sig``, ``bits``, ``half``, ``wide``, ``n`` words) and ``prefix``."""
+    lines = settle(line_words(docs), "word-hashes")
+    return described(lines, _rarity(lines), similarity).orderBy(*_PLACE)
+
+
+def described(lines: DataFrame, rarity: Column, similarity: int) -> DataFrame:
+    """Rows of ``line_words`` with ``bits``, ``half``, ``wide``, ``n`` words and ``prefix`` instead of the words.
+
+    A word is a number that sorts by rarity first and then by its hash.  ``bits`` has the
+    parity of words per hash bit, so two sets differ in at least as many words as their
+    bitmaps differ in bits; ``half`` with ``bits`` is the same over twice as many bits,
+    ``wide`` over four times as many, null for lines too short to need them.  ``prefix``
+    are the rarest words, of which a similar line must share one.
     """
-    rarity = _rarity(docs)
     low = F.lit((1 << _KEY_BITS) - 1)
-    lines = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
+    none = F.lit(0).cast("long")
 
     def ranked(word: Column) -> Column:
+        step = F.coalesce(F.get(rarity, _counter(word)), none)
         # never null, so that the numbers are sorted as they are and not as objects
-        step = F.coalesce(F.get(rarity, _counter(word)), F.lit(0).cast("long"))
-        return F.shiftleft(step, _KEY_BITS).bitwiseOR(word.bitwiseAND(low))
+        return F.coalesce(F.shiftleft(step, _KEY_BITS).bitwiseOR(word.bitwiseAND(low)), none)
 
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    # blank lines go before their words are cut: a filter on the words would cut them twice
-    sets = lines.filter(F.trim("line") != "").select(*_PLACE, F.sort_array(F.array_distinct(F.transform(hashes, ranked))).alias("words"))
+    sets = lines.select(*_PLACE, "sig", F.sort_array(F.transform("words", ranked)).alias("words"))
     n = F.size("words")
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
     maps = sets.select(
         *_PLACE,
-        F.xxhash64("words").alias("sig"),
+        "sig",
         _parity().alias("bits"),
         F.when(n >= WIDE_FROM, _parity(lambda w: _one_of(w, 46))).alias("half"),
         F.when(n >= WIDER_FROM, _parity(lambda w: _one_of(w, 47))).alias("other"),
@@ -178,8 +192,13 @@ def _wide_may_match(similarity: int, a: str, b: str) -> Column:
 
 def likely_pairs(classes: DataFrame, similarity: int) -> DataFrame:
     """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another that may match."""
-    keyed = classes.select(F.explode("keys").alias("key"), "doc_id", "sig", "n", "bits")
-    earliest = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "n", "bits")).alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
+    keyed = classes.select(F.explode("keys").alias("key"), "doc_id", _place(classes).alias("place"), "sig", "n", "bits")
+    if _whole_ids(classes):
+        # all of one row, as they are led by the same number; numbers are grouped by hashing, structs by sorting
+        first = F.struct(*[F.min_by(c, "place").alias(c) for c in ("sig", "n", "bits")])
+    else:
+        first = F.min(F.struct("doc_id", "sig", "n", "bits"))
+    earliest = keyed.groupBy("key").agg(first.alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
     shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
     found = keyed.join(small(settle(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
@@ -201,15 +220,21 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return single.unionByName(first)
 
 
-def _postings(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """A row for each class and word of its prefix; ``settled`` as given by ``small``."""
+def _whole_ids(classes: DataFrame) -> bool:
+    return isinstance(classes.schema["doc_id"].dataType, IntegralType)
+
+
+def _place(classes: DataFrame) -> Column:
+    """The document's place in the order; ids of another type do not sort as numbers: all places are then alike, and verification tells which line is earlier."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if _whole_ids(classes) else F.lit(0).cast("long")
+
+
+def _postings(classes: DataFrame, settled: DataFrame, words: Column) -> DataFrame:
+    """A row for each class and each of ``words`` from the start of its prefix; ``settled`` as given by ``small``."""
     marked = classes.join(settled.withColumn("done", F.lit(True)), "sig", "left")
-    # ids of another type do not sort as numbers: all places are then alike, and verification tells which line is earlier
-    whole = isinstance(classes.schema["doc_id"].dataType, IntegralType)
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.lit(0).cast("long")
-    # one number for the words, whether the class still searches and the place in the prefix; one exchange then serves both sides of the join
+    # one number for the words, whether the class still searches and the place in the prefix
     size = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).cast("long")
-    rows = marked.select("sig", "bits", "half", place.alias("place"), size.alias("size"), F.posexplode("prefix").alias("pos", "word"))
+    rows = marked.select("sig", "bits", "half", _place(classes).alias("place"), size.alias("size"), F.posexplode(words).alias("pos", "word"))
     return rows.select("sig", "bits", "half", "place", (F.shiftleft("size", _POS_BITS) + F.col("pos")).alias("at"), "word")
 
 
@@ -220,44 +245,72 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     same document both orders pass; verification tells which is later.  With ``centers``
     only those classes are searched for.
 
+    All classes are joined with those that have no more words.  These share at least as
+    many words as two sets of their size must, so they are found by a shorter prefix,
+    which leaves out its most frequent words.
+
     The words are joined in ``POSTING_ROUNDS`` parts, one after another, so that no more than a
     part of the postings lies on disk at a time.  Few centers are broadcast; then no
     posting goes to disk, and one part is enough.
     """
     known = small(settled)
-    postings = _postings(classes, known)
+    whole = F.col("prefix")
+    postings = _postings(classes, known, whole)
     if centers is None:
-        return _pairs_in_parts(postings, postings, similarity, POSTING_ROUNDS)
-    searched = settle(_postings(classes.join(small(centers), "sig", "left_semi"), known), "centers")
+        n = F.col("n")
+        shorter = _postings(classes, known, F.slice(whole, F.lit(1), (n - _needed(similarity, n, n) + 1).cast("int")))
+        return _pairs_in_parts(postings, shorter, similarity, POSTING_ROUNDS, _met_shorter)
+    searched = settle(_postings(classes.join(small(centers), "sig", "left_semi"), known, whole), "centers")
     few = is_small(searched)
-    return _pairs_in_parts(postings, F.broadcast(searched) if few else searched, similarity, 1 if few else POSTING_ROUNDS)
+    return _pairs_in_parts(postings, F.broadcast(searched) if few else searched, similarity, 1 if few else POSTING_ROUNDS, _met)
 
 
-def _pairs_in_parts(postings: DataFrame, searched: DataFrame, similarity: int, parts: int) -> DataFrame:
+def _pairs_in_parts(postings: DataFrame, searched: DataFrame, similarity: int, parts: int, met: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     if parts == 1:
-        return _met(postings, searched, similarity)
+        return met(postings, searched, similarity)
     found = None
     for turn in range(parts):
         of_turn = F.pmod(F.col("word"), F.lit(parts)) == turn
-        part = settle(_met(postings.filter(of_turn), searched.filter(of_turn), similarity), "pairs-of-turn")
+        part = settle(met(postings.filter(of_turn), searched.filter(of_turn), similarity), "pairs-of-turn")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
 
-def _met(postings: DataFrame, searched: DataFrame, similarity: int) -> DataFrame:
-    a, b = postings.alias("a"), searched.alias("b")
-    a_size, b_size = (F.shiftright(f"{x}.at", _POS_BITS) for x in "ab")
+def _size(posting: str) -> Column:
+    return F.shiftright(f"{posting}.at", _POS_BITS)
+
+
+def _near(similarity: int) -> Column:
+    """Whether postings ``a`` and ``b`` of the same word can be of similar sets."""
     a_pos, b_pos = (F.col(f"{x}.at").bitwiseAND((1 << _POS_BITS) - 1) for x in "ab")
-    a_n, b_n = F.abs(a_size), F.abs(b_size)
-    needed = _needed(similarity, a_n, b_n)
-    earlier = F.when(a_size > 0, F.col("a.place")) >= F.col("b.place")
-    near = _may_match(similarity, a_n, F.col("a.bits"), b_n, F.col("b.bits")) & (F.col("a.sig") != F.col("b.sig"))
+    a_n, b_n = F.abs(_size("a")), F.abs(_size("b"))
     # the shared word and all that follow it must be enough
-    placed = F.least(a_n - a_pos, b_n - b_pos) >= needed
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & near & placed & _halves_may_match(similarity, a_n, b_n))
+    placed = F.least(a_n - a_pos, b_n - b_pos) >= _needed(similarity, a_n, b_n)
+    return _may_match(similarity, a_n, F.col("a.bits"), b_n, F.col("b.bits")) & placed & _halves_may_match(similarity, a_n, b_n)
+
+
+def _met(postings: DataFrame, searched: DataFrame, similarity: int) -> DataFrame:
+    """Unsettled classes of ``postings`` with the not later ones of ``searched``."""
+    earlier = F.when(_size("a") > 0, F.col("a.place")) >= F.col("b.place")
+    other = F.col("a.sig") != F.col("b.sig")
+    met = postings.alias("a").join(searched.alias("b"), (F.col("a.word") == F.col("b.word")) & earlier & other & _near(similarity))
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
+def _met_shorter(postings: DataFrame, shorter: DataFrame, similarity: int) -> DataFrame:
+    """The same for classes that all are in both: each pair is met once, with the class of more words from ``postings``."""
+    a_n, b_n = F.abs(_size("a")), F.abs(_size("b"))
+    longer = (a_n > b_n) | ((a_n == b_n) & (F.col("a.sig") > F.col("b.sig")))
+    a_asks = (_size("a") > 0) & (F.col("a.place") >= F.col("b.place"))
+    b_asks = (_size("b") > 0) & (F.col("b.place") >= F.col("a.place"))
+    met = postings.alias("a").join(shorter.alias("b"), (F.col("a.word") == F.col("b.word")) & longer & _near(similarity) & (a_asks | b_asks))
+
+    def pair(asks: Column, a: str, b: str) -> Column:
+        return F.when(asks, F.struct(F.col(f"{a}.sig").alias("a"), F.col(f"{b}.sig").alias("b")))
+
+    return met.select(F.inline(F.array_compact(F.array(pair(a_asks, "a", "b"), pair(b_asks, "b", "a"))))).distinct()
+
+
 def _sigs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
@@ -319,12 +372,12 @@ def _later_matches(docs: DataFrame, similarity: int) -> DataFrame:
     def matched(pairs: Callable[[], DataFrame]) -> DataFrame:
         return keep_last(spark, lambda: with_earlier_match(pairs(), docs, classes, similarity))
 
-    wide = settle(signatures(docs, similarity), "signatures")
+    words = settle(line_words(docs), "word-hashes")
     consumed = written_tables(spark)[-1:]
     # only classes are compared; of a line no more is kept than where it is and which class it has
-    lines = settle(wide.select(*_PLACE, "sig"), "lines")
+    lines = settle(words.select(*_PLACE, "sig"), "lines")
     repeated = repeated_classes(lines)
-    classes = settle(with_keys(first_lines(wide, repeated)), "class-rows")
+    classes = settle(with_keys(described(first_lines(words, repeated), _rarity(words), similarity)), "class-rows")
     release_tables(spark, consumed)
     likely = matched(lambda: likely_pairs(classes, similarity))
     settled, centers = likely.select("sig").distinct(), settle(likely.select(F.col("center").alias("sig")).distinct(), "centers")

@@ -46,3 +46,24 @@ def test_centers_beyond_a_broadcast_are_joined_in_parts(spark, monkeypatch):
     monkeypatch.setattr("carbonsplit.llm.common.BROADCAST_ROWS", 1)
     monkeypatch.setattr(line_dedup, "PAIRS_PER_ROUND", 3)
     assert whole == list(range(1, 12)) == sorted(r.doc_id for r in line_dedup.later_matches(docs).collect())
+
+
+def test_shorter_sets_are_looked_up_by_fewer_words(spark, monkeypatch):
+    """Both sides of the join had the whole prefix, the frequent words at its end included."""
+    choose = random.Random(11)
+    vocabulary = [f"w{n}" for n in range(60)]
+    lines = [choose.sample(vocabulary, choose.randint(18, 24)) for _ in range(60)]
+    lines += [own + [f"new{k}" for k in range(n % 4)] for n, own in enumerate(lines[:40])] + [own[: -1 - n % 4] for n, own in enumerate(lines[20:])]
+    docs = spark.createDataFrame([(n // 2, " ".join(words)) for n, words in enumerate(lines)], "doc_id long, text string")
+    classes = settle(line_dedup.signatures(docs, 80), "lines")
+    none = settle(classes.select("sig").limit(0), "none")
+    sides = []
+    met = line_dedup._met_shorter
+    monkeypatch.setattr(line_dedup, "_met_shorter", lambda a, b, s: sides.append((a.count(), b.count())) or met(a, b, s))
+    pairs = {(r.a, r.b) for r in line_dedup.candidate_pairs(classes, none, 80).collect()}
+    assert sum(b for _, b in sides) < 0.75 * sum(a for a, _ in sides)
+    place = {(r.doc_id, r.text_key, r.line_no): r.sig for r in classes.collect()}
+    sets = {sig: set(lines_of) for sig, lines_of in zip([place[r.doc_id, r.text_key, 0] for r in docs.select(*line_dedup._document_key()).collect()], lines, strict=True)}
+    first = {r.sig: r.doc_id for r in classes.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).collect()}
+    alike = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and first[a] > first[b]}
+    assert len(alike) > 40 and alike <= pairs

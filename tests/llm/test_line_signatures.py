@@ -28,3 +28,16 @@ def test_words_are_numbered_and_sorted_once(spark):
     prefix = [rows[n].prefix for n in range(len(lines))]
     assert all(p == sorted(p) and len(p) == len(s) - -(-len(s) * 80 // 100) + 1 for p, s in zip(prefix, sets, strict=True))
     assert set(prefix[5]) & set(prefix[6])
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """Texts were cut into words for the rarity of words and again for the lines."""
+    docs = spark.createDataFrame([(1, "a b c\nd e"), (2, "c b a")], "doc_id long, text string")
+    seen = []
+    cut = line_dedup._words
+    monkeypatch.setattr(line_dedup, "_words", lambda line: seen.append(line) or cut(line))
+    words = line_dedup.settle(line_dedup.line_words(docs), "words")
+    rows = {(r.doc_id, r.line_no): r for r in words.collect()}
+    assert rows[1, 0].words == rows[2, 0].words and rows[1, 0].sig == rows[2, 0].sig != rows[1, 1].sig
+    plan = line_dedup.described(words, line_dedup._rarity(words), 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and "text#" not in plan
