@@ -4,14 +4,15 @@ A line is the set of its lower-cased words.  Lines with equal sets form a class,
 join runs over classes.  Words are ordered by rarity; two sets that are similar enough
 share a word among their first few (prefix filter), so those words are the join key.
 Of two sets the one with fewer words is looked up by fewer of them than the other.
-Length and position of the shared word and a bitmap of the set, of twice the bits for the
+The key of the join holds a class of sizes beside the word, so that sets of very unlike
+sizes do not meet.  Length and position of the shared word and a bitmap of the set, of twice the bits for the
 longer lines, refuse nearly all other pairs in the join itself, a bitmap of twice the bits
 again most of what is left; the rest is verified on the words.
 
 Only whether a class has an earlier match is asked.  So that a group of near copies is
 not compared pair by pair, each class is first compared with the earliest class that
-shares a hash key with it, and the rest with the classes that were matched that way;
-those that match are settled and no longer search in the join.  They are still found
+shares a hash key with it, and the rest with those classes that many were matched with
+that way; those that match are settled and no longer search in the join.  They are still found
 there by others, so no match is lost.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,10 @@ WIDE_FROM = 48
 WIDER_FROM = 160
 #: Numbers of 64 bits in a wide bitmap.
 WIDE = 4
+#: Between them lie the quarters of all hashes, in which the bitmaps are made.
+_QUARTERS = (-(1 << 62), 0, 1 << 62)
+#: So many matches by hash keys make a class a center; what fewer can miss is left to the join.
+CENTER_FROM = 8
 #: Parts in which the postings are joined.
 POSTING_ROUNDS = 2
 #: Parts in which pairs are verified at most.
@@ -75,13 +81,22 @@ def _counter(word: Column) -> Column:
 def line_words(docs: DataFrame) -> DataFrame:
     """One row per line that has words: place, class (``sig``) and ``words``, the sorted hashes of its words, each once.
 
-    Sets are told apart by ``sig``, 64 bits of all their words.
+    Sets are told apart by ``sig``, 64 bits of all their words.  ``ends`` says how many
+    words lie below each of ``_QUARTERS``.
     """
     lines = docs.select(*_document_key(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
     hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
     # blank lines go before their words are cut: a filter on the words would cut them twice
-    sets = lines.filter(F.trim("line") != "").select(*_PLACE, F.sort_array(F.array_distinct(hashes)).alias("words"))
-    return sets.select(*_PLACE, F.xxhash64("words").alias("sig"), "words")
+    marks = F.array(*[F.lit(x).cast("long") for x in _QUARTERS])
+    marked = lines.filter(F.trim("line") != "").select(*_PLACE, F.sort_array(F.concat(F.array_distinct(hashes), marks)).alias("marked"))
+    # a mark stands behind the words below it and the marks before it
+    ends = F.array(*[(F.array_position("marked", F.lit(x).cast("long")) - k - 1).cast("int") for k, x in enumerate(_QUARTERS)])
+    sets = marked.select(*_PLACE, ends.alias("ends"), _without_marks(F.col("marked")).alias("words"))
+    return sets.select(*_PLACE, F.xxhash64("words").alias("sig"), "ends", "words")
+
+
+def _without_marks(marked: Column) -> Column:
+    return reduce(lambda words, x: F.array_remove(words, F.lit(x).cast("long")), _QUARTERS, marked)
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -121,28 +136,25 @@ def described(lines: DataFrame, rarity: Column, similarity: int) -> DataFrame:
     none = F.lit(0).cast("long")
 
     def ranked(word: Column) -> Column:
-        step = F.coalesce(F.get(rarity, _counter(word)), none)
         # never null, so that the numbers are sorted as they are and not as objects
-        return F.coalesce(F.shiftleft(step, _KEY_BITS).bitwiseOR(word.bitwiseAND(low)), none)
+        return F.coalesce(F.shiftleft(F.get(rarity, _counter(word)), _KEY_BITS).bitwiseOR(word.bitwiseAND(low)), none)
 
-    sets = lines.select(*_PLACE, "sig", F.sort_array(F.transform("words", ranked)).alias("words"))
+    # the bitmaps of the quarters are made first: each word is looked at once for all of them
+    borders = [F.lit(0), *[F.get("ends", F.lit(k)) for k in range(WIDE - 1)], F.size("words")]
+    quarters = [_parity(F.slice("words", low_end + 1, high_end - low_end)).alias(f"q{k}") for k, (low_end, high_end) in enumerate(pairwise(borders))]
+    sets = lines.select(*_PLACE, "sig", *quarters, F.sort_array(F.transform("words", ranked)).alias("words"))
     n = F.size("words")
     keep = n - F.ceil(n * similarity / 100 - F.lit(1e-9)).cast("int") + 1
-    maps = sets.select(
+    quarter = [F.col(f"q{k}") for k in range(WIDE)]
+    return sets.select(
         *_PLACE,
         "sig",
-        _parity().alias("bits"),
-        F.when(n >= WIDE_FROM, _parity(lambda w: _one_of(w, 46))).alias("half"),
-        F.when(n >= WIDER_FROM, _parity(lambda w: _one_of(w, 47))).alias("other"),
-        F.when(n >= WIDER_FROM, _parity(lambda w: _one_of(w, 46).bitwiseAND(_one_of(w, 47)))).alias("both"),
+        reduce(Column.bitwiseXOR, quarter).alias("bits"),
+        F.when(n >= WIDE_FROM, quarter[1].bitwiseXOR(quarter[3])).alias("half"),
+        F.when(n >= WIDER_FROM, F.array(*quarter)).alias("wide"),
         n.alias("n"),
         F.slice("words", F.lit(1), keep).alias("prefix"),
     )
-    # the words of a quarter: neither of the two bits, one of them, the other, both
-    one, other = (F.col(x).bitwiseXOR(F.col("both")) for x in ("half", "other"))
-    neither = F.col("bits").bitwiseXOR(F.col("half")).bitwiseXOR(other)
-    wide = F.when(F.col("both").isNotNull(), F.array(neither, one, other, F.col("both")))
-    return maps.select(*_PLACE, "sig", "bits", "half", wide.alias("wide"), "n", "prefix")
 
 
 def with_keys(classes: DataFrame) -> DataFrame:
@@ -154,19 +166,15 @@ def with_keys(classes: DataFrame) -> DataFrame:
     return classes.withColumn("mixed", mixed).withColumn("keys", keys).drop("mixed")
 
 
-def _parity(counted: Callable[[Column], Column] | None = None) -> Column:
-    """For each hash bit the parity of the words that fall on it, of all or of those for which ``counted`` is 1 and not 0."""
+def _parity(words: Column) -> Column:
+    """For each hash bit the parity of the words that fall on it."""
     one = F.lit(1).cast("long")
 
     def bit(word: Column) -> Column:
         # of the distance a shift takes the last six bits
-        return F.call_function("shiftleft", one if counted is None else counted(word), F.shiftright(word, 40).cast("int"))
-
-    return F.aggregate("words", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
-
+        return F.call_function("shiftleft", one, F.shiftright(word, 40).cast("int"))
 
-def _one_of(word: Column, at: int) -> Column:
-    return F.shiftright(word, at).bitwiseAND(F.lit(1).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
 def _may_match(similarity: int, n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
@@ -193,31 +201,32 @@ def _wide_may_match(similarity: int, a: str, b: str) -> Column:
 def likely_pairs(classes: DataFrame, similarity: int) -> DataFrame:
     """``a, b``: for each class and key, the earliest class ``b`` with the same key, if another that may match."""
     keyed = classes.select(F.explode("keys").alias("key"), "doc_id", _place(classes).alias("place"), "sig", "n", "bits")
+    # few keys are of more than one class; only their rows are carried further
+    sides = keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"))
+    shared = settle(sides.filter("low <> high").select("key"), "shared-keys")
+    members = settle(keyed.join(small(shared), "key"), "key-members")
     if _whole_ids(classes):
         # all of one row, as they are led by the same number; numbers are grouped by hashing, structs by sorting
         first = F.struct(*[F.min_by(c, "place").alias(c) for c in ("sig", "n", "bits")])
     else:
         first = F.min(F.struct("doc_id", "sig", "n", "bits"))
-    earliest = keyed.groupBy("key").agg(first.alias("b"), F.min("sig").alias("low"), F.max("sig").alias("high"))
-    shared = earliest.filter("low <> high").select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
+    earliest = members.groupBy("key").agg(first.alias("b")).select("key", F.col("b.sig").alias("b"), F.col("b.n").alias("b_n"), F.col("b.bits").alias("b_bits"))
     near = _may_match(similarity, F.col("n"), F.col("bits"), F.col("b_n"), F.col("b_bits"))
-    found = keyed.join(small(settle(shared, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
+    found = members.join(small(settle(earliest, "line-keys")), "key").filter((F.col("sig") != F.col("b")) & near)
     return found.select(F.col("sig").alias("a"), "b").distinct()
 
 
 def repeated_classes(lines: DataFrame) -> DataFrame:
-    """``sig, first, places`` of the classes with more than one line."""
-    counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("places"))
-    return settle(counted.filter("places > 1"), "repeated")
+    """``sig, first, row, places`` of the classes with more than one line; ``row`` is one line's own, as rows repeated in id and text have the same place."""
+    counted = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE, "row")).alias("at"), F.count(F.lit(1)).alias("places"))
+    first = F.struct(*[F.col(f"at.{c}").alias(c) for c in _PLACE]).alias("first")
+    return settle(counted.filter("places > 1").select("sig", first, "at.row", "places"), "repeated")
 
 
 def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """The first line of every class."""
-    known = small(repeated.select("sig", "first"))
-    single = lines.join(known, "sig", "left_anti")
-    # rows repeated in id and text have the same place
-    first = lines.join(known, "sig").filter(F.struct(*_PLACE) == F.col("first")).drop("first").dropDuplicates(["sig"])
-    return single.unionByName(first)
+    known = small(repeated.select("sig", F.col("row").alias("first_row")))
+    return lines.join(known, "sig", "left").filter(F.col("first_row").isNull() | (F.col("row") == F.col("first_row"))).drop("first_row")
 
 
 def _whole_ids(classes: DataFrame) -> bool:
@@ -245,7 +254,7 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, similarity: int, cen
     same document both orders pass; verification tells which is later.  With ``centers``
     only those classes are searched for.
 
-    All classes are joined with those that have no more words.  These share at least as
+    All classes are joined with those that have no more words, by word and class of sizes.  These share at least as
     many words as two sets of their size must, so they are found by a shorter prefix,
     which leaves out its most frequent words.
 
@@ -297,13 +306,41 @@ def _met(postings: DataFrame, searched: DataFrame, similarity: int) -> DataFrame
     return met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
 
 
+def _size_class(similarity: int, n: Column) -> Column:
+    """Rises with ``n``, by one at least in about the steps in which sets grow too large to be similar."""
+    return F.floor(F.log(n) / math.log(_step(similarity))).cast("int")
+
+
+def _step(similarity: int) -> float:
+    return 100 / min(max(similarity, 1), 95)
+
+
+def _by_size(postings: DataFrame, shorter: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Both with ``key``, for the word and a class of sizes; a row of ``shorter`` comes for each class in which a similar set of as many words or more can be.
+
+    Two words that share a key make a pair more to look at; none is lost by that.
+    """
+
+    def key(size_class: Column) -> Column:
+        return F.col("word").bitwiseXOR(F.shiftleft(size_class.cast("long"), _KEY_BITS - 9))
+
+    n = F.abs(F.shiftright("at", _POS_BITS))
+    larger = F.floor(n * 100 / max(similarity, 1))
+    spread = shorter.select("*", F.explode(F.sequence(_size_class(similarity, n), _size_class(similarity, larger))).alias("size_class"))
+    # the larger the others are, the more words they must share, and the earlier is the first of them
+    least = F.greatest(n, F.floor(F.pow(F.lit(_step(similarity)), "size_class") * (1 - 1e-9)))
+    spread = spread.filter(F.col("at").bitwiseAND((1 << _POS_BITS) - 1) <= n - _needed(similarity, n, least))
+    return postings.withColumn("key", key(_size_class(similarity, n))).drop("word"), spread.withColumn("key", key(F.col("size_class"))).drop("word", "size_class")
+
+
 def _met_shorter(postings: DataFrame, shorter: DataFrame, similarity: int) -> DataFrame:
     """The same for classes that all are in both: each pair is met once, with the class of more words from ``postings``."""
+    postings, shorter = _by_size(postings, shorter, similarity)
     a_n, b_n = F.abs(_size("a")), F.abs(_size("b"))
     longer = (a_n > b_n) | ((a_n == b_n) & (F.col("a.sig") > F.col("b.sig")))
     a_asks = (_size("a") > 0) & (F.col("a.place") >= F.col("b.place"))
     b_asks = (_size("b") > 0) & (F.col("b.place") >= F.col("a.place"))
-    met = postings.alias("a").join(shorter.alias("b"), (F.col("a.word") == F.col("b.word")) & longer & _near(similarity) & (a_asks | b_asks))
+    met = postings.alias("a").join(shorter.alias("b"), (F.col("a.key") == F.col("b.key")) & longer & _near(similarity) & (a_asks | b_asks))
 
     def pair(asks: Column, a: str, b: str) -> Column:
         return F.when(asks, F.struct(F.col(f"{a}.sig").alias("a"), F.col(f"{b}.sig").alias("b")))
@@ -323,10 +360,10 @@ def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     asked_docs = settle(places.select("doc_id", "text_key").distinct(), "asked-documents")
     texts = docs.select(*_document_key(), "text").alias("here").join(small(asked_docs).alias("asked"), same(_PLACE[:2]), "left_semi")
-    every = texts.select("doc_id", "text_key", F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
+    every = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     found = every.alias("here").join(small(places).alias("asked"), same(_PLACE))
     # rows repeated in id and text give the same words twice
-    return found.select("asked.sig", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["sig"])
+    return found.select("asked.sig", F.array_distinct(_words(_folded(F.col("line")))).alias("words")).dropDuplicates(["sig"])
 
 
 def with_earlier_match(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
@@ -372,18 +409,20 @@ def _later_matches(docs: DataFrame, similarity: int) -> DataFrame:
     def matched(pairs: Callable[[], DataFrame]) -> DataFrame:
         return keep_last(spark, lambda: with_earlier_match(pairs(), docs, classes, similarity))
 
-    words = settle(line_words(docs), "word-hashes")
+    words = settle(line_words(docs).withColumn("row", F.monotonically_increasing_id()), "word-hashes")
     consumed = written_tables(spark)[-1:]
     # only classes are compared; of a line no more is kept than where it is and which class it has
-    lines = settle(words.select(*_PLACE, "sig"), "lines")
+    lines = settle(words.select(*_PLACE, "row", "sig"), "lines")
     repeated = repeated_classes(lines)
     classes = settle(with_keys(described(first_lines(words, repeated), _rarity(words), similarity)), "class-rows")
     release_tables(spark, consumed)
     likely = matched(lambda: likely_pairs(classes, similarity))
-    settled, centers = likely.select("sig").distinct(), settle(likely.select(F.col("center").alias("sig")).distinct(), "centers")
-    # what the keys missed of a group of near copies meets the group's first class here
-    near = matched(lambda: candidate_pairs(classes, settle(settled, "settled"), similarity, centers))
-    settled = settle(settled.union(near.select("sig")).distinct(), "settled")
+    settled = settle(likely.select("sig").distinct(), "settled")
+    centers = settle(likely.groupBy(F.col("center").alias("sig")).count().filter(F.col("count") >= CENTER_FROM).select("sig"), "centers")
+    if centers.count():
+        # what the keys missed of a large group of near copies meets the group's first class here
+        near = matched(lambda: candidate_pairs(classes, settled, similarity, centers))
+        settled = settle(settled.union(near.select("sig")).distinct(), "settled")
     rest = matched(lambda: candidate_pairs(classes, settled, similarity))
     later = settled.union(rest.select("sig")).distinct().withColumn("later", F.lit(True))
     # a class goes whole if it has an earlier match, else but for its first line
